@@ -9,7 +9,7 @@ from fairlead.functions.clock import parse_report_time
 from fairlead.functions.identity import mmsi_usable
 from fairlead.operators.area import inside
 from fairlead.params import ReportRules
-from fairlead.schema import POSITION_COLUMNS, RAW_SCHEMA, RAW_TIME, expect
+from fairlead.schema import RAW_COLUMNS, RAW_SCHEMA, RAW_TIME, expect
 
 
 def _text(name: str) -> Column:
@@ -21,37 +21,55 @@ def _number(name: str) -> Column:
     return F.col(f"`{name}`").try_cast("double")
 
 
+def _keys() -> dict[str, Column]:
+    return {
+        "mmsi": _text("MMSI"),
+        "timestamp": parse_report_time(F.col(f"`{RAW_TIME}`")),
+        "latitude": _number("Latitude"),
+        "longitude": _number("Longitude"),
+    }
+
+
+def _details() -> dict[str, Column]:
+    return {
+        "navigational_status": _text("Navigational status"),
+        "sog": _number("SOG"),
+        "cog": _number("COG"),
+        "heading": _number("Heading"),
+        "name": _text("Name"),
+        "ship_type": _text("Ship type"),
+        "width": _number("Width"),
+        "length": _number("Length"),
+        "draught": _number("Draught"),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
 def type_reports(raw: DataFrame) -> DataFrame:
     """The thirteen position columns, parsed and trimmed; nothing is dropped."""
-    expect(raw, RAW_SCHEMA)
-    return raw.select(
-        _text("MMSI").alias("mmsi"),
-        parse_report_time(F.col(f"`{RAW_TIME}`")).alias("timestamp"),
-        _number("Latitude").alias("latitude"),
-        _number("Longitude").alias("longitude"),
-        _text("Navigational status").alias("navigational_status"),
-        _number("SOG").alias("sog"),
-        _number("COG").alias("cog"),
-        _number("Heading").alias("heading"),
-        _text("Name").alias("name"),
-        _text("Ship type").alias("ship_type"),
-        _number("Width").alias("width"),
-        _number("Length").alias("length"),
-        _number("Draught").alias("draught"),
-    )
+    return expect(raw, RAW_SCHEMA).select(*_named(_keys() | _details()))
 
 
 def clean_reports(raw: DataFrame, rules: ReportRules = ReportRules()) -> DataFrame:
     """Typed reports with a usable identity, a time and a position on the globe and in the area.
 
-    A narrow operator: no shuffle, and cheap identity tests run before any number is parsed.
+    A narrow operator, without a shuffle. The four columns the tests need are parsed once, the
+    others only for rows that pass.
     """
-    positions = (
-        type_reports(raw)
-        .filter(mmsi_usable(F.col("mmsi"), rules.blocked_mmsi, rules.allocated_mids))
+    # Generated rather than selected: Spark would copy a selected expression into every test that
+    # names it, and parse each text again for each.
+    parsed = expect(raw, RAW_SCHEMA).select(
+        *(f"`{name}`" for name in RAW_COLUMNS if name not in (RAW_TIME, "MMSI", "Latitude", "Longitude")),
+        F.inline(F.array(F.struct(*_named(_keys())))),
+    )
+    passing = (
+        parsed.filter(mmsi_usable(F.col("mmsi"), rules.blocked_mmsi, rules.allocated_mids))
         .filter(F.col("timestamp").isNotNull())
         .filter(F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0))
     )
     if rules.area is not None:
-        positions = positions.filter(inside(rules.area))
-    return positions.select(*POSITION_COLUMNS)
+        passing = passing.filter(inside(rules.area))
+    return passing.select(*_keys(), *_named(_details()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def unique_positions(positions: DataFrame) -> DataFrame:
     once, and an instant repeated a billion times leaves each map task as a single row.
     """
     expect(positions, POSITION_SCHEMA)
+    present = reduce(Column.__and__, (F.col(name).isNotNull() for name in _INSTANT + _PLACE))
     spread = (
-        positions.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        positions.filter(present)
         .groupBy(*_INSTANT)
         .agg(F.min(F.struct(*_PLACE, *_REST)).alias("low"), F.max(F.struct(*_PLACE)).alias("high"))
     )
@@ -81,7 +84,9 @@ def neighbour_speeds(unique: DataFrame, segment_seconds: int = JumpRules.segment
         F.lead("head").over(along).alias("head_after"),
     )
     within = Window.partitionBy("mmsi", "segment").orderBy("timestamp")
-    linked = slices.join(links, ["mmsi", "segment"]).select(
+    # A left join: it adds no null test to ``slices``, so both readings of the input stay alike and
+    # Spark shuffles it once.
+    linked = slices.join(links, ["mmsi", "segment"], "left").select(
         *unique.columns,
         fix.alias("here"),
         F.coalesce(F.lag(fix).over(within), F.col("tail_before")).alias("previous"),
@@ -101,12 +106,16 @@ def neighbour_speeds(unique: DataFrame, segment_seconds: int = JumpRules.segment
 def believable(rules: JumpRules) -> Column:
     """Predicate on the two implied speeds; see ``JumpRules`` for the two edge modes."""
     previous, following = F.col("previous_speed_knots"), F.col("next_speed_knots")
-    limit, edge_limit = F.lit(rules.speed_knots), F.lit(rules.edge_speed_knots)
-    spike = (previous > limit) & (following > limit)
-    edge_spike = (previous.isNull() & (following > edge_limit)) | (following.isNull() & (previous > edge_limit))
-    if rules.edge_mode == "limit":
-        return ~F.coalesce(spike, F.lit(False)) & ~F.coalesce(edge_spike, F.lit(False))
-    return ~spike & ~edge_spike
+    # Not "both above": one at or below the limit. Unknown unless a known speed decides.
+    middle = (previous <= rules.speed_knots) | (following <= rules.speed_knots)
+    if rules.edge_mode == "strict":
+        # Whatever passes here also passes the edge test: it has a known speed below the lower limit.
+        return middle
+    return (
+        F.when(previous.isNull(), F.coalesce(following <= rules.edge_speed_knots, F.lit(True)))
+        .when(following.isNull(), previous <= rules.edge_speed_knots)
+        .otherwise(middle)
+    )
 
 
 def remove_gps_jumps(positions: DataFrame, rules: JumpRules = JumpRules()) -> DataFrame:

@@ -17,7 +17,10 @@ REPORTS_PER_SAILING = 10_000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events. A table of fewer partitions than cores (one small file) is spread over the cores."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id", "value")
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, "event_id")
 
 
 def sample_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
