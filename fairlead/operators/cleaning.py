@@ -66,7 +66,7 @@ def clean_reports(raw: DataFrame, rules: ReportRules = ReportRules()) -> DataFra
         F.inline(F.array(F.struct(*_named(_keys())))),
     )
     passing = (
-        parsed.filter(mmsi_usable(F.col("mmsi"), rules.blocked_mmsi, rules.allocated_mids))
+        parsed.filter(mmsi_usable("mmsi", rules.blocked_mmsi, rules.allocated_mids))
         .filter(F.col("timestamp").isNotNull())
         .filter(F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0))
     )

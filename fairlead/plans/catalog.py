@@ -88,7 +88,7 @@ def cast_numerics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmsi_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.coalesce(mmsi_rejection(F.col("mmsi")), F.lit("usable"))
+    reason = F.coalesce(mmsi_rejection("mmsi"), F.lit("usable"))
     return type_reports(sample_reports(spark, sf_dir)).groupBy(reason.alias("reason")).agg(F.count("*").alias("reports"))
 
 
