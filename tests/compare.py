@@ -33,6 +33,9 @@ def bag(names: list[str], rows) -> Counter:
 def compare(spark, connection, query, sql: str, sf_dir: str) -> tuple[int, str]:
     """Number of rows and, if they differ, how."""
     frame = query(spark, sf_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoopJoin", "PythonUDF", "ArrowEval", "MapInPandas"):
+        assert operator not in plan, operator
     ours = bag(frame.columns, frame.collect())
     answer = connection.execute(sql)
     names = [column[0] for column in answer.description]
