@@ -19,6 +19,10 @@ from fairlead.schema import CANDIDATE_COLUMNS, POSITION_SCHEMA, expect
 CELL = ("time_bucket", "lat_cell", "lon_cell")
 _PART = ("early_part", "late_part")
 
+# Length of the time slots in which ``nearest_slots`` notes a pair's least distance. Short: the reports
+# of a slot are compared once more. Not too short: a pair has one number per slot.
+_SLOT_SECONDS = 10
+
 
 def _cell_degrees(rules: ProximityRules) -> float:
     return rules.cell_degrees or min(4 * latitude_reach(rules.distance_nm), 90.0)
@@ -109,56 +113,131 @@ def _divide(cells: DataFrame, crowded: DataFrame, own: str, other: str) -> DataF
     )
 
 
+def _distance(one: str, two: str) -> Column:
+    return haversine_nm(
+        F.col(f"{one}.latitude"), F.col(f"{one}.longitude"), F.col(f"{two}.latitude"), F.col(f"{two}.longitude")
+    )
+
+
+def _meetings(points: DataFrame, rules: ProximityRules, crowded: DataFrame | None) -> DataFrame:
+    """The join: an ``early`` and a ``late`` report of two vessels within both limits, each pair once."""
+    if crowded is None:
+        crowded = crowded_cells(points, rules)
+    points = points.withColumn("seconds", epoch_seconds(F.col("timestamp")))
+    early = _divide(home_cells(points, rules), crowded, *_PART).alias("early")
+    late = _divide(reached_cells(points, rules), crowded, *reversed(_PART)).alias("late")
+
+    early_seconds, late_seconds = F.col("early.seconds"), F.col("late.seconds")
+    earlier = (early_seconds < late_seconds) | (
+        (early_seconds == late_seconds) & (F.col("early.mmsi") < F.col("late.mmsi"))
+    )
+    climb = F.abs(F.col("early.latitude") - F.col("late.latitude"))
+    return (
+        early.join(late, [*CELL, *_PART])
+        .filter(earlier & (late_seconds - early_seconds <= rules.gap_seconds))
+        .filter(climb <= F.lit(latitude_reach(rules.distance_nm)))
+        .filter(F.col("early.mmsi") != F.col("late.mmsi"))
+        .filter(_distance("early", "late") <= F.lit(rules.distance_nm))
+    )
+
+
+def _of_first(name: str) -> Column:
+    in_order = F.col("early.mmsi") < F.col("late.mmsi")
+    return F.when(in_order, F.col(f"early.{name}")).otherwise(F.col(f"late.{name}"))
+
+
+def _of_second(name: str) -> Column:
+    in_order = F.col("early.mmsi") < F.col("late.mmsi")
+    return F.when(in_order, F.col(f"late.{name}")).otherwise(F.col(f"early.{name}"))
+
+
+def _fixes(points: DataFrame, *more: str) -> DataFrame:
+    columns = ["mmsi", "timestamp", "latitude", "longitude", *more]
+    return expect(points, POSITION_SCHEMA, columns).select(*columns)
+
+
 def proximity_pairs(
     points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
 ) -> DataFrame:
     """Every pair of reports of two vessels within both limits, once; ``mmsi_1 < mmsi_2``.
 
     ``points`` holds one row per vessel and time (see ``unique_positions``). ``crowded`` is the
-    stored result of ``crowded_cells``; left out, it becomes part of the plan.
+    stored result of ``crowded_cells``; left out, it becomes part of the plan. For the closest
+    approaches alone, ``nearest_slots`` and ``pinpoint`` do without the list of all pairs.
     """
-    columns = ["mmsi", "timestamp", "latitude", "longitude", "name"]
-    points = expect(points, POSITION_SCHEMA, columns).select(*columns)
-    if crowded is None:
-        crowded = crowded_cells(points, rules)
-    early = _divide(home_cells(points, rules), crowded, *_PART).alias("early")
-    late = _divide(reached_cells(points, rules), crowded, *reversed(_PART)).alias("late")
+    return _meetings(_fixes(points, "name"), rules, crowded).select(
+        _of_first("mmsi").alias("mmsi_1"),
+        _of_second("mmsi").alias("mmsi_2"),
+        _of_first("name").alias("name_1"),
+        _of_second("name").alias("name_2"),
+        _of_first("timestamp").alias("timestamp_1"),
+        _of_second("timestamp").alias("timestamp_2"),
+        ((F.col("early.latitude") + F.col("late.latitude")) / 2).alias("latitude"),
+        ((F.col("early.longitude") + F.col("late.longitude")) / 2).alias("longitude"),
+        _distance("early", "late").alias("distance_nm"),
+    )
 
-    def of(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
 
-    early_seconds, late_seconds = (epoch_seconds(of(side, "timestamp")) for side in ("early", "late"))
-    earlier = (early_seconds < late_seconds) | (
-        (early_seconds == late_seconds) & (of("early", "mmsi") < of("late", "mmsi"))
+def _slot(timestamp: Column) -> Column:
+    return F.floor(epoch_seconds(timestamp) / _SLOT_SECONDS)
+
+
+def nearest_slots(
+    points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
+) -> DataFrame:
+    """Per vessel pair: its least distance, and the first time slot of vessel 1 with that distance.
+
+    Two ships moored side by side meet with every report. Their meetings go from the join straight
+    into a hash aggregation of one number per pair and slot; they are never sorted or shuffled.
+    """
+    slotted = _fixes(points).withColumn("slot", _slot(F.col("timestamp")))
+    met = _meetings(slotted, rules, crowded).select(
+        F.least("early.mmsi", "late.mmsi").alias("mmsi_1"),
+        F.greatest("early.mmsi", "late.mmsi").alias("mmsi_2"),
+        _of_first("slot").alias("slot"),
+        _distance("early", "late").alias("distance_nm"),
     )
-    distance = haversine_nm(
-        of("early", "latitude"), of("early", "longitude"), of("late", "latitude"), of("late", "longitude")
+    slots = met.groupBy("mmsi_1", "mmsi_2", "slot").agg(F.min("distance_nm").alias("distance_nm"))
+    nearest = slots.groupBy("mmsi_1", "mmsi_2").agg(F.min(F.struct("distance_nm", "slot")).alias("nearest"))
+    return nearest.select("mmsi_1", "mmsi_2", "nearest.slot", "nearest.distance_nm")
+
+
+def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = ProximityRules()) -> DataFrame:
+    """The report pairs (as in ``proximity_pairs``) behind ``nearest_slots``: those at the least distance.
+
+    The reports of both vessels around the slot are looked up by (vessel, slot). Against a stored
+    ``nearest`` small enough to broadcast, ``points`` is scanned once and not shuffled. With at most
+    one report per vessel and second, a pair gathers a slot's worth of reports of one vessel and
+    that plus twice the time limit of the other.
+    """
+    first, last = F.col("slot") * _SLOT_SECONDS, (F.col("slot") + 1) * _SLOT_SECONDS - 1
+    around = F.sequence(
+        F.floor((first - rules.gap_seconds) / _SLOT_SECONDS), F.floor((last + rules.gap_seconds) / _SLOT_SECONDS)
     )
-    met = (
-        early.join(late, [*CELL, *_PART])
-        .filter(of("early", "mmsi") != of("late", "mmsi"))
-        .filter(earlier & (late_seconds - early_seconds <= rules.gap_seconds))
-        .filter(F.abs(of("early", "latitude") - of("late", "latitude")) <= F.lit(latitude_reach(rules.distance_nm)))
-        .filter(distance <= F.lit(rules.distance_nm))
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("mmsi_1").alias("mmsi"), F.array("slot").alias("slots")),
+        F.struct(F.lit(2).alias("side"), F.col("mmsi_2").alias("mmsi"), around.alias("slots")),
     )
-    in_order = of("early", "mmsi") < of("late", "mmsi")
-
-    def first(name: str) -> Column:
-        return F.when(in_order, of("early", name)).otherwise(of("late", name))
-
-    def second(name: str) -> Column:
-        return F.when(in_order, of("late", name)).otherwise(of("early", name))
-
-    return met.select(
-        first("mmsi").alias("mmsi_1"),
-        second("mmsi").alias("mmsi_2"),
-        first("name").alias("name_1"),
-        second("name").alias("name_2"),
-        first("timestamp").alias("timestamp_1"),
-        second("timestamp").alias("timestamp_2"),
-        ((of("early", "latitude") + of("late", "latitude")) / 2).alias("latitude"),
-        ((of("early", "longitude") + of("late", "longitude")) / 2).alias("longitude"),
-        distance.alias("distance_nm"),
+    visits = nearest.select("mmsi_1", "mmsi_2", "distance_nm", F.inline(sides)).withColumn("slot", F.explode("slots"))
+    heard = visits.join(_fixes(points, "name").withColumn("slot", _slot(F.col("timestamp"))), ["mmsi", "slot"])
+    fix = F.struct("timestamp", "latitude", "longitude", "name")
+    gathered = heard.groupBy("mmsi_1", "mmsi_2", "distance_nm").agg(
+        *(F.collect_list(F.when(F.col("side") == side, fix)).alias(f"fixes_{side}") for side in (1, 2))
+    )
+    both = gathered.withColumn("one", F.explode("fixes_1")).withColumn("two", F.explode("fixes_2"))
+    apart = epoch_seconds(F.col("one.timestamp")) - epoch_seconds(F.col("two.timestamp"))
+    # Room for the last bit, in which two machines' sines may differ.
+    least = F.col("distance_nm") * F.lit(1 + 1e-12) + F.lit(1e-15)
+    return both.filter((F.abs(apart) <= rules.gap_seconds) & (_distance("one", "two") <= least)).select(
+        "mmsi_1",
+        "mmsi_2",
+        F.col("one.name").alias("name_1"),
+        F.col("two.name").alias("name_2"),
+        F.col("one.timestamp").alias("timestamp_1"),
+        F.col("two.timestamp").alias("timestamp_2"),
+        ((F.col("one.latitude") + F.col("two.latitude")) / 2).alias("latitude"),
+        ((F.col("one.longitude") + F.col("two.longitude")) / 2).alias("longitude"),
+        _distance("one", "two").alias("distance_nm"),
     )
 
 
@@ -191,5 +270,9 @@ def closest_approach(pairs: DataFrame) -> DataFrame:
 def find_candidates(
     points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
 ) -> DataFrame:
-    """Encounter candidates among ``points``."""
-    return closest_approach(proximity_pairs(points, rules, crowded))
+    """Encounter candidates among ``points``: ``closest_approach(proximity_pairs(points))``, by the short way.
+
+    One lazy plan. A run that can store tables keeps ``crowded_cells`` and ``nearest_slots`` between
+    the steps instead (see ``plans.pipeline``).
+    """
+    return closest_approach(pinpoint(nearest_slots(points, rules, crowded), points, rules))

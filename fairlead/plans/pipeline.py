@@ -1,7 +1,7 @@
 """From report files to collisions and trajectories.
 
-Five tables are stored on the way, because more than one later step reads them or because their
-size decides how a join runs: tracks, crowded grid cells, candidates, scored and validated rows.
+Tables are stored on the way where more than one later step reads them or where their size decides
+how a join runs: tracks, crowded grid cells, nearest slots, candidates, scored and validated rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from fairlead.operators.area import within_area
 from fairlead.operators.cleaning import clean_reports
 from fairlead.operators.collisions import score_candidates, validate_candidates
 from fairlead.operators.jumps import remove_gps_jumps
-from fairlead.operators.proximity import crowded_cells, find_candidates
+from fairlead.operators.proximity import closest_approach, crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths
 from fairlead.params import Rules
 from fairlead.sources.documents import write_collision_document, write_trajectories
@@ -44,7 +44,8 @@ def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules())
 def stage_candidates(tracks: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
     points = within_area(tracks, rules.area)
     crowded = staging.keep(crowded_cells(points, rules.proximity), "crowded")
-    return staging.keep(find_candidates(points, rules.proximity, crowded), "candidates")
+    nearest = staging.keep(nearest_slots(points, rules.proximity, crowded), "nearest")
+    return staging.keep(closest_approach(pinpoint(nearest, points, rules.proximity)), "candidates")
 
 
 def find_encounters(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> Encounters:

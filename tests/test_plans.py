@@ -12,7 +12,7 @@ from fairlead.operators.behaviour import after_stats, candidate_sides, side_stat
 from fairlead.operators.cleaning import clean_reports
 from fairlead.operators.collisions import score_candidates
 from fairlead.operators.jumps import remove_gps_jumps, unique_positions
-from fairlead.operators.proximity import crowded_cells, find_candidates
+from fairlead.operators.proximity import crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths
 from fairlead.sources.sample import sample_reports
 from fairlead.sources.tables import Staging
@@ -91,14 +91,24 @@ def test_jump_filter_never_shuffles_a_whole_track_to_one_task(tables, no_broadca
     assert widths["mmsi"] == 0
 
 
-def test_candidates_shuffle_cells_and_then_only_pairs(tables, no_broadcast):
+def test_meetings_are_hashed_down_before_any_sort_or_shuffle(tables, no_broadcast):
     track, _, staging = tables
     crowded = staging.keep(crowded_cells(track), "crowded")
-    plan = planned(find_candidates(track, crowded=crowded))
+    plan = planned(nearest_slots(track, crowded=crowded))
     keys = [key(text) for text in shuffles(plan)]
     assert keys.count(["time_bucket", "lat_cell", "lon_cell", "early_part", "late_part"]) == 2
-    assert keys.count(["mmsi_1", "mmsi_2"]) == 1
-    assert "partial_min(struct(distance_nm" in plan and "Window" not in plan
+    assert keys.count(["mmsi_1", "mmsi_2", "slot"]) == keys.count(["mmsi_1", "mmsi_2"]) == 1
+    assert "HashAggregate(keys=[mmsi_1" in plan and "partial_min(distance_nm" in plan and "Window" not in plan
+    # Names do not travel through the join.
+    assert "name" not in re.sub(r"\S*fairlead\S*|tracks", "", plan)
+
+
+def test_looking_up_the_nearest_reports_scans_once_and_does_not_shuffle_points(tables):
+    track, _, staging = tables
+    nearest = staging.keep(nearest_slots(track), "nearest")
+    plan = planned(pinpoint(nearest, track))
+    assert [key(text) for text in shuffles(plan)] == [["mmsi_1", "mmsi_2", "distance_nm"]]
+    assert len(re.findall(r"ReadSchema: struct<[^>]*name", plan)) == 1
 
 
 def test_crowded_cells_count_before_the_shuffle(tables):

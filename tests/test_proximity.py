@@ -112,6 +112,19 @@ def test_closest_approach(spark):
     assert first.candidate_id == hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("seed, still", [(21, False), (22, True)])
+def test_short_way_equals_the_list_of_all_pairs(spark, seed, still):
+    """Also where vessels lie still, so that many report pairs share the least distance."""
+    rows = cloud(seed, 55.2, 14.2, size=0.0008, number=400)
+    if still:
+        rows = [position(row[0], (row[1] - START).total_seconds(), 55.2 + int(row[0][-1]) * 1e-4) for row in rows]
+    table = positions(spark, rows)
+    listed = closest_approach(proximity_pairs(table))
+    assert listed.count() == 10
+    for rules in (ProximityRules(), ProximityRules(split_rows=3), ProximityRules(cell_degrees=0.01, bucket_seconds=60)):
+        assert sorted(find_candidates(table, rules).collect()) == sorted(listed.collect())
+
+
 def test_published_candidate(spark):
     rows = [
         position("219021240", 1649, 55.223067, 14.24373, name="KARIN HOEJ"),
