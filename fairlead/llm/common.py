@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,34 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(context: SparkContext) -> None:
+    """Lets Python workers import this library: Spark's file server hands its modules out, once per application."""
+    if _shipped.get("to") == context.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="modules-"), "fairlead-modules.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _shipped["to"] = context.applicationId
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_batches(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+    """``mapInArrow`` with this library at hand in the workers."""
+    ship(df.sparkSession.sparkContext)
+    return df.mapInArrow(function, schema)
+
+
 def numbered(df: DataFrame, order: Sequence[Column], staging: Staging, name: str, sums: Sequence[str] = ()) -> DataFrame:
     """Adds ``position`` (from 0) in the total order and, per column of ``sums``, its sum before the row.
 
