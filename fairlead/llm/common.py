@@ -7,7 +7,9 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,20 @@ def ship(context: SparkContext) -> None:
 
 
 Batches = Iterator[pa.RecordBatch]
+#: Bytes of text that a Python worker works on at once.
+PORTION = 1 << 21
+
+
+def portions(batches: Batches, column: str = "text", most: int = PORTION) -> Batches:
+    """Cuts batches so that the texts of each have at most ``most`` bytes, or are a single one."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        ends, low = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def in_batches(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import documents, in_batches
+from fairlead.llm.common import documents, in_batches, portions
 from fairlead.llm.words import PUNCTUATION, word_hashes
 
 
@@ -87,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> D
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labels rows of two numbers
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             values, bounds = word_features(batch.column("text"), rules.feature_bits)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: OrdinalModel, rules: ToxicityRules = ToxicityR
     """Per row: doc_id, severity (expected grade), p_toxic, toxic. Null or empty text has no features."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             expected, chance = severity(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(expected), pa.array(chance), pa.array(chance >= rules.limit)],
@@ -217,7 +217,7 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, rules: ToxicityRules = T
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs.columns.index("text")
-        for batch in batches:
+        for batch in portions(batches):
             yield batch.filter(pa.array(severity(batch.column(at), model)[1] < rules.limit))
 
     return in_batches(docs, kept, docs.schema)
