@@ -5,10 +5,12 @@ from __future__ import annotations
 from fairlead.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from fairlead.llm.line_dedup import OP3_SQL, op3_line_dedup
 from fairlead.llm.mixing import op1_mixing
+from fairlead.llm.tokens import op2_token_counts
 from fairlead.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_toxicity": op9_toxicity,
