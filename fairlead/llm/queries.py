@@ -5,6 +5,7 @@ from __future__ import annotations
 from fairlead.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from fairlead.llm.line_dedup import OP3_SQL, op3_line_dedup
 from fairlead.llm.mixing import op1_mixing
+from fairlead.llm.shingle_join import op10_shingle_join
 from fairlead.llm.tokens import op2_token_counts
 from fairlead.llm.toxicity import op9_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_shingle_join": op10_shingle_join,
 }
 
 SQL = {
