@@ -5,6 +5,7 @@ from __future__ import annotations
 from fairlead.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from fairlead.llm.line_dedup import OP3_SQL, op3_line_dedup
 from fairlead.llm.mixing import op1_mixing
+from fairlead.llm.neighbours import op5_neighbours
 from fairlead.llm.packing import op4_packing
 from fairlead.llm.shingle_join import op10_shingle_join
 from fairlead.llm.tokens import op2_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_neighbours": op5_neighbours,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_shingle_join": op10_shingle_join,
