@@ -118,19 +118,14 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
     return condition
 
 
-def mix(docs: DataFrame, staging: Staging, rules: MixRules = MixRules()) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
-
-    Null text has size 0; null is a source of its own, last in order. Rows that are equal in every
-    column used get their words by their number, so reruns agree. Documents of one source are
-    dealt to shards by hash, so a source with most rows is ordered in many tasks. Other columns are not read.
-    """
+def _drawn(docs: DataFrame, staging: Staging, rules: MixRules) -> DataFrame:
+    """Per row: doc_id, source, size, draw (its place in the seeded order), source_size, target, and of its shard ends, quota, blocks, start."""
     sizes = staging.keep(
         docs.select(
             "doc_id",
             "source",
             F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(rules.seed), F.col("doc_id"), whole()).alias("draw"),
+            _draw(rules).alias("draw"),
         ),
         "sizes",
     )
@@ -158,40 +153,84 @@ def mix(docs: DataFrame, staging: Staging, rules: MixRules = MixRules()) -> Data
     )
     quotas = staging.keep(apportion(shards, ["source"], "shard", staging, "shard_quotients"), "quotas")
 
-    b = F.lit(rules.block_words)
-    blocks = F.ceil(F.col("votes") / b).cast("long")
-    drawn = quotas.withColumn("blocks", blocks).withColumn(
+    blocks = F.ceil(F.col("votes") / rules.block_words).cast("long")
+    quotas = quotas.withColumn("blocks", blocks).withColumn(
         "quota", F.least(F.col("quota"), F.col("blocks") * rules.most)
     )
     inside = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size")
     placed = rows.withColumn("ends", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.alias("d").join(
-        drawn.select("source", "shard", "source_size", "target", "quota", "blocks").alias("q"),
+    return placed.alias("d").join(
+        quotas.select("source", "shard", "source_size", "target", "quota", "blocks").alias("q"),
         _same("d", "q", ["source", "shard"]),
     ).select(
-        "d.doc_id", "d.source", "size", "source_size", "target", "quota", "blocks", "ends",
+        "d.doc_id", "d.source", "size", "draw", "source_size", "target", "quota", "blocks", "ends",
         F.pmod(F.xxhash64(F.lit(rules.seed + 2), F.col("d.source"), F.col("d.shard")), "blocks").alias("start"),
     )
 
-    def taken_before(at: str) -> str:
-        """Words taken of the shard's first ``at`` words, as SQL.
-
-        Every block is taken ``quota div blocks`` times. Of the rest, ``extra``, those blocks are
-        taken once more at which ``(block * extra + start) div blocks`` steps up: exactly ``extra`` for any start.
-        """
-        block, extra = f"({at} div {rules.block_words})", "(quota % blocks)"
-        steps = f"(({block} * {extra} + start) div blocks)"
-        next_steps = f"((({block} + 1) * {extra} + start) div blocks)"
-        times = f"((quota div blocks) + {next_steps} - {steps})"
-        full = f"({rules.block_words} * ({block} * (quota div blocks) + {steps}))"
-        return f"({full} + ({at} % {rules.block_words}) * {times})"
-
-    taken = F.expr(f"{taken_before('ends')} - {taken_before('(ends - size)')}")
-    return placed.select(
+
+def _draw(rules: MixRules) -> Column:
+    return F.xxhash64(F.lit(rules.seed), F.col("doc_id"), whole())
+
+
+def _times(block: str) -> str:
+    """How often a block is taken, as SQL.
+
+    Every block is taken ``quota div blocks`` times. Of the rest, ``quota % blocks``, those blocks are taken once more at which
+    ``(block * rest + start) div blocks`` steps up: exactly as many, for any start.
+    """
+    steps = f"((({block} + 1) * (quota % blocks) + start) div blocks - ({block} * (quota % blocks) + start) div blocks)"
+    return f"((quota div blocks) + {steps})"
+
+
+def mix(docs: DataFrame, staging: Staging, rules: MixRules = MixRules()) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    Null text has size 0; null is a source of its own, last in order. Rows that are equal in doc_id and text
+    are rows of their own; reruns agree. Documents of one source are dealt to shards by hash, so a source with
+    most rows is ordered in many tasks. Other columns are not read. An empty table gives an empty result.
+    """
+
+    def before(at: str) -> str:
+        """Words taken of the shard's first ``at`` words, as SQL."""
+        block = f"({at} div {rules.block_words})"
+        full = f"({block} * (quota div blocks) + ({block} * (quota % blocks) + start) div blocks)"
+        return f"({rules.block_words} * {full} + ({at} % {rules.block_words}) * {_times(block)})"
+
+    taken = F.expr(f"{before('ends')} - {before('(ends - size)')}")
+    return _drawn(docs, staging, rules).select(
         "doc_id", "source", "size", "source_size", "target",
         F.when((F.col("size") > 0) & (F.col("blocks") > 0), taken).otherwise(F.lit(0)).cast("long").alias("taken"),
     )
 
 
+def mixed_documents(docs: DataFrame, staging: Staging, rules: MixRules = MixRules()) -> DataFrame:
+    """The mix itself: rows with the columns of ``docs``, and in ``text`` the words taken, with the white space after them.
+
+    The first row of a document has the words of all blocks taken at least once, a second one those of blocks taken
+    twice, and so on; rows without words are left out. A text taken whole is unchanged.
+    """
+    turn = Window.partitionBy("draw").orderBy("ends")
+    plan = _drawn(docs, staging, rules).filter("size > 0 and quota > 0").withColumn("nth", F.row_number().over(turn))
+    plan = plan.select("draw", "nth", "size", "quota", "blocks", "ends", "start")
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("draw", F.xxhash64(F.lit(rules.seed), *_named(docs, "doc_id", "text")))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("draw").orderBy(names[0])))
+    text = names[docs.columns.index("text")]
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    times = f"transform(sequence(0, size - 1), i -> {_times(f'((ends - size + i) div {rules.block_words})')})"
+    taken = rows.join(plan, ["draw", "nth"]).withColumn("__times", F.expr(times)).withColumn("__words", words)
+    taken = taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.array_max("__times").cast("int"))))
+    taken = taken.filter("__turn > 0 and array_max(__times) >= __turn")
+    chosen = F.array_join(F.filter("__words", lambda w, i: F.get("__times", i) >= F.col("__turn")), "")
+    new = F.when(F.array_min("__times") >= F.col("__turn"), F.col(text)).otherwise(chosen)
+    return taken.select(*((new if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns)))
+
+
+def _named(docs: DataFrame, *columns: str) -> list[Column]:
+    """Of columns renamed by number, the given ones, null texts as empty."""
+    at = [F.col(f"__{docs.columns.index(c)}") for c in columns]
+    return [whole(c) if name == "text" else c for name, c in zip(columns, at)]
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), Staging(spark)).drop("source")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import documents, in_batches, may_hold, portions, row_filter, salted, ship, spread, whole
+from fairlead.llm.mixing import WORD
 from fairlead.llm.words import scramble, shingles, word_hashes
 from fairlead.sources.tables import Staging
 
@@ -321,7 +322,9 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
 
 
 def similar_documents(docs: DataFrame, staging: Staging, rules: JoinRules = JoinRules()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included).
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included), text_hash, and group.
+
+    The group is a number that linked rows share, null for a row that is linked with none.
 
     Rows with equal sets are linked. A row without words, also of null text, has no shingles and its own doc_id. Null doc_ids
     take part, and are never the smallest unless all are null. Rows of one doc_id with several texts may lie
@@ -336,16 +339,41 @@ def similar_documents(docs: DataFrame, staging: Staging, rules: JoinRules = Join
         "rooted",
     )
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = staging.keep(rooted.join(firsts, "root").select("c", "component_id"), "answer")
-    joined = salted(shape, F.struct("doc_id", "text_hash")).join(spread(answer).withColumn("known", F.lit(True)), ["c", "__salt"], "left")
+    answer = staging.keep(rooted.join(firsts, "root").select("c", "component_id", "root"), "answer")
+    joined = salted(shape, F.struct("doc_id", "text_hash")).join(spread(answer), ["c", "__salt"], "left")
     return joined.select(
         "doc_id",
         F.col("size").alias("n_shingles"),
-        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "text_hash",
+        F.col("root").alias("group"),
+    )
+
+
+def one_of_each_group(docs: DataFrame, staging: Staging, rules: JoinRules = JoinRules()) -> DataFrame:
+    """The rows of ``docs`` without those linked to a row that stays: of each group, one row of the smallest doc_id stays.
+
+    Rows without words stay. Rows whose doc_id and text are equal are told apart only in number.
+    """
+    found = staging.keep(similar_documents(docs, staging, rules).filter("group is not null"), "groups")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keepers = found.groupBy("group").agg(F.min(key).alias("key")).select("key.*")
+    rows = found.select(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").distinct()
+    same = ["none", "id", "text_hash"]
+    named = lambda df: df.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    losers = staging.keep(named(rows).join(named(keepers), same, "left_anti"), "losers")
+    ours = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64(whole())]
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    marked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *(o.alias(n) for o, n in zip(ours, same, strict=True)))
+    kept = marked.join(losers, same, "left_anti")
+    text = names[docs.columns.index("text")]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(names[0]))
+    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    return kept.withColumn("nth", nth).filter((F.col("nth") == 1) | empty).select(
+        *(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True))
     )
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(documents(spark, sf_dir), Staging(spark), JoinRules(width=4, percent=85))
-    return found.drop("text_hash")
+    return found.drop("text_hash", "group")
