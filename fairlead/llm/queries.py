@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from fairlead.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from fairlead.llm.line_dedup import OP3_SQL, op3_line_dedup
+from fairlead.llm.lm_scoring import op8_lm_scoring
 from fairlead.llm.mixing import op1_mixing
 from fairlead.llm.neighbours import op5_neighbours
 from fairlead.llm.packing import op4_packing
 from fairlead.llm.shingle_join import op10_shingle_join
 from fairlead.llm.tokens import op2_token_counts
 from fairlead.llm.toxicity import op9_toxicity
+from fairlead.llm.transcripts import op7_transcripts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_neighbours": op5_neighbours,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_transcripts": op7_transcripts,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_shingle_join": op10_shingle_join,
 }
