@@ -8,6 +8,7 @@ neighbours on the curve share sequences. Only the line's end is shorter than a s
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,13 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import documents, in_batches, numbered, portions
-from fairlead.llm.tokens import part_blocks, pieces_of, tokenizer_file
+from fairlead.llm.tokens import segments, token_bytes, tokenizer_file
 from fairlead.llm.words import scramble
 from fairlead.sources.tables import Staging
 
-#: Pieces whose ids a worker keeps in memory.
-MOST_PIECES = 300_000
-
 
 @dataclass(frozen=True)
 class PackRules:
@@ -41,61 +39,61 @@ class PackRules:
     seed: int = 4
 
 
-class PieceIds(dict):
-    """Piece -> its place in a pool of token ids. New pieces are encoded by the library, many at once."""
+class Encoder:
+    """Token ids of whole texts, as the tokenizer library gives them for a byte-level BPE file.
+
+    The merges' order is that of the ids in such a file, so the ids are found by a faster encoder of the same vocabulary
+    and pattern; where a file is of another kind, by the library itself. Tests compare the two.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in order, and where each piece's begin (and the last end)."""
-        if len(self) > MOST_PIECES:
-            self.forget()
-        new = list({piece for piece in pieces if piece not in self})
-        if new:
-            texts = [piece.decode("utf-8", "surrogatepass") for piece in new]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            fresh = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            self.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, fresh])
-        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.starts[at + 1] - self.starts[at]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.arange(bounds[-1]) + np.repeat(self.starts[at] - bounds[:-1], sizes)
-        return self.ids[places], bounds
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.largest = self.library.get_vocab_size(with_added_tokens=True)
+        self.fast = self._fast(model)
+
+    def _fast(self, model: dict):
+        splitter, bpe = model.get("pre_tokenizer") or {}, model["model"]
+        plain = not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or model.get("normalizer") or not plain:
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in bpe["merges"]]
+        made = [bpe["vocab"][a + b] for a, b in pairs]
+        if made != sorted(made):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {token_bytes(name): i for name, i in bpe["vocab"].items() if name not in self.special}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def part(self, text: str) -> np.ndarray:
+        if self.fast:
+            return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
-def piece_ids(path: str) -> PieceIds:
-    return PieceIds(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(texts: Sequence[str], path: str) -> list[np.ndarray]:
-    """The token ids of each whole text, as the tokenizer library gives them, without begin or end tokens.
+    """The token ids of each whole text, without begin or end tokens.
 
-    The library encodes each distinct piece once. A special token's string in a text is that token, as is the library's default.
+    A special token's string in a text is that token, as is the library's default.
     """
-    known = piece_ids(path)
+    known = encoder(path)
     parts: list[list[np.ndarray]] = [[] for _ in texts]
-    for block in part_blocks(texts, sorted(known.special, key=len, reverse=True)):
-        pieces, edges = pieces_of([part for _, part, _ in block])
-        ids, bounds = known.encode(pieces)
-        cuts = bounds[edges]
-        for (number, _, mark), low, high in zip(block, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            parts[number].append(ids[low:high])
-            if mark is not None:
-                parts[number].append(np.array([known.special[mark]], np.uint32))
-    return [p[0] if len(p) == 1 else np.concatenate([np.zeros(0, np.uint32), *p]) for p in parts]
+    for number, part, mark in segments(texts, sorted(known.special, key=len, reverse=True)):
+        parts[number].append(known.part(part))
+        if mark is not None:
+            parts[number].append(np.array([known.special[mark]], np.uint32))
+    return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
 
 
 def hilbert(places: np.ndarray, bits: int) -> np.ndarray:
@@ -144,9 +142,7 @@ def encoded(docs: DataFrame, path: str, rules: PackRules) -> DataFrame:
     """Per row: doc_id, n (tokens with the end), curve, and ids in 16 bits each, or 32 for large vocabularies."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_ids(path)
-        largest = max(known.tokenizer.get_vocab_size(with_added_tokens=True), rules.end_id)
-        kind = np.uint16 if largest < 1 << 16 else np.uint32
+        kind = np.uint16 if max(encoder(path).largest, rules.end_id) < 1 << 16 else np.uint32
         for batch in portions(batches):
             ids = encode(batch.column("text").fill_null("").to_pylist(), path)
             keys = curve_keys(ids, rules)

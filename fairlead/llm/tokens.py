@@ -144,6 +144,11 @@ def _byte_of() -> dict[str, int]:
     return names
 
 
+def token_bytes(name: str) -> bytes:
+    byte_of = _byte_of()
+    return bytes(byte_of[c] for c in name)
+
+
 #: Stands for no tokens added in a transition; the count may also fall, by less than a token's length.
 _ZERO = 128
 
@@ -161,12 +166,10 @@ class PieceMachine:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        byte_of = _byte_of()
-        text = lambda name: bytes(byte_of[c] for c in name)
         self.special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
-        self.tokens = {text(name) for name in model["model"]["vocab"] if name not in self.special}
+        self.tokens = {token_bytes(name) for name in model["model"]["vocab"] if name not in self.special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.ranks = {(text(a), text(b)): rank for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(token_bytes(a), token_bytes(b)): rank for rank, (a, b) in enumerate(pairs)}
         self.heads = {token[:n] for token in self.tokens for n in range(1, len(token) + 1)}
         self.made = {a + b: (rank, a, b) for (a, b), rank in self.ranks.items()}
         self.alone: dict[bytes, bool] = {}
