@@ -2,7 +2,7 @@
 
 A set is cut by hash into parts, and each part's sketch is the XOR of its shingles' hashes. One shingle in
 only one of two sets changes one part, so sets with at most d differences agree in a part if there are
-d + 1 of them (pigeonhole). Sizes of similar sets are close: sets are joined within a size band and with the next. A second
+d + 1 of them (pigeonhole). A few more parts make it possible to leave out those that say little, see ``part_keys``. Sizes of similar sets are close: sets are joined within a size band and with the next. A second
 sketch of single bits, whose Hamming distance is at most the number of differences, discards candidates; the rest
 are verified on the whole sets. Rows with equal sets are one class throughout, and copies are never paired.
 
@@ -49,14 +49,21 @@ class JoinRules:
         return (100 - self.percent) * (size + larger) // (100 + self.percent)
 
     def bands(self, most: int) -> list[tuple[int, int]]:
-        """(largest size, parts) of each size band, up to the one that holds ``most``."""
+        """(largest size, parts) of each size band, up to the one that holds ``most``.
+
+        There are some more parts than differences: so many that linked sets agree in ``spare`` parts or more.
+        """
         found, low = [], 1
         while low <= most:
             high = low * 100 // self.percent
-            found.append((high, self.differences(high) + 1))
+            differences = self.differences(high)
+            found.append((high, differences + self.spare(differences)))
             low = high + 1
         return found
 
+    def spare(self, differences: int) -> int:
+        return 1 + differences // 12
+
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
@@ -68,12 +75,24 @@ def _name(values: np.ndarray) -> np.uint64:
     return scramble(np.bitwise_xor.reduce(values) ^ scramble(total + np.uint64(len(values))))[0]
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
+def _sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """Bit i is the parity of the shingles whose hash ends in i."""
-    bits = np.bincount((values & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    bits = np.bincount((values & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _wide_words(size: int) -> int:
+    """Words of a sketch with four to eight bits for each shingle, a power of two."""
+    return max(SKETCH_WORDS, 1 << (size // 16).bit_length())
+
+
+def _apart(one: np.ndarray, other: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    short = min(len(one), len(other))
+    one, other = (np.bitwise_xor.reduce(s.reshape(-1, short), axis=0) for s in (one, other))
+    return int(np.bitwise_count(one ^ other).sum())
+
+
 def shapes(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """Per row: doc_id, text_hash, size of its set, and the set's name c (null if it is empty)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(whole()).alias("text_hash"))
@@ -91,7 +110,9 @@ def shapes(docs: DataFrame, rules: JoinRules) -> DataFrame:
 def part_keys(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """(key, c) for each part of each set, in its own size band's cut and in the next smaller band's.
 
-    A task emits each set once; how many parts there are grows with the set.
+    A task emits each set once; how many parts there are grows with the set. Parts with less than two shingles are weak: many unrelated sets
+    agree in them. Linked sets agree in ``spare`` parts, and what is weak in one is so in the other; so a set with fewer weak
+    parts than that does without them, and any other emits all.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +132,20 @@ def part_keys(docs: DataFrame, rules: JoinRules) -> DataFrame:
                 own = int(np.searchsorted(tops, len(values)))
                 content, high = scramble(values), values >> np.uint64(32)
                 for band in (own, own - 1):
-                    if band < 0 or bands[band][1] == 1:
-                        continue  # no difference is allowed: only equal sets are linked
+                    if band < 0 or not rules.differences(bands[band][0]):
+                        continue  # only equal sets are linked
                     parts = bands[band][1]
                     part = (high * np.uint64(parts)) >> np.uint64(32)  # sorted, as the values are
                     starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
                     sketch = np.zeros(parts, np.uint64)
                     sketch[part[starts].astype(np.int64)] = np.bitwise_xor.reduceat(content, starts)
                     place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-                    keys.append(scramble(sketch ^ scramble(place + np.uint64(1))))
-                    names.append(np.full(parts, name, np.uint64))
+                    held = np.bincount(part.astype(np.int64), minlength=parts)
+                    strong = held > 1
+                    if parts - int(strong.sum()) >= rules.spare(rules.differences(bands[band][0])):
+                        strong[:] = True
+                    keys.append(scramble(sketch ^ scramble(place + np.uint64(1)))[strong])
+                    names.append(np.full(len(keys[-1]), name, np.uint64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [_signed(np.concatenate(keys)), _signed(np.concatenate(names))], ["key", "c"]
@@ -130,7 +155,7 @@ def part_keys(docs: DataFrame, rules: JoinRules) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
-    """c, size, sketch and items (the sorted shingles) of the sets whose texts have the hashes ``wanted`` (text_hash), and maybe of others."""
+    """c, size, sketch, wide (a sketch as long as the set needs) and items (the sorted shingles) of the sets whose texts have the hashes ``wanted`` (text_hash), and maybe of others."""
     rows = docs.select("text", F.xxhash64(whole()).alias("text_hash"))
     rows = may_hold(rows, "text_hash", row_filter(wanted, "text_hash"))
 
@@ -142,29 +167,36 @@ def class_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFram
                 name = int(_name(values).view(np.int64)) if len(values) else None
                 if name is not None and name not in seen:
                     seen.add(name)
-                    found.append((name, len(values), _sketch(values), values.tobytes()))
+                    wide = _sketch(values, _wide_words(len(values))).tobytes()
+                    found.append((name, len(values), _sketch(values), wide, values.tobytes()))
             if found:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["c", "size", "sketch", "items"])
+                yield pa.RecordBatch.from_arrays(columns, ["c", "size", "sketch", "wide", "items"])
 
-    sets = in_batches(rows.select("text"), whole_sets, "c long, size long, sketch array<long>, items binary")
-    return sets.groupBy("c").agg(*(F.first(n).alias(n) for n in ("size", "sketch", "items")))
+    sets = in_batches(rows.select("text"), whole_sets, "c long, size long, sketch array<long>, wide binary, items binary")
+    return sets.groupBy("c").agg(*(F.first(n).alias(n) for n in ("size", "sketch", "wide", "items")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules, staging: Staging, name: str) -> DataFrame:
     """The pairs (x, y) that are linked: sizes and sketches are compared first, then the whole sets."""
+    p = rules.percent
     for side in ("x", "y"):
-        shape = sets.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        shape = sets.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
         pairs = pairs.join(shape, side)
-    apart = F.aggregate(
-        F.zip_with("sketch_x", "sketch_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n
-    )
-    p, total = rules.percent, F.col("size_x") + F.col("size_y")
-    close = pairs.filter(
-        (F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * p)
-        & (apart * (100 + p) <= total * (100 - p))
-    ).select("x", "y")
+        if side == "y":
+            pairs = pairs.filter(F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * p)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("size_x").to_numpy() + batch.column("size_y").to_numpy()
+            wide = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"wide_{side}")] for side in "xy")
+            apart = np.array([_apart(one, other) for one, other in zip(*wide, strict=True)], np.int64)
+            kept = batch.filter(pa.array(apart * (100 + p) <= total * (100 - p)))
+            yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
+
+    close = in_batches(pairs.select("x", "y", "size_x", "size_y", "wide_x", "wide_y"), near, "x long, y long")
+    close = staging.keep(close, f"close_{name}")
     for side in ("y", "x"):
         close = close.join(sets.select(F.col("c").alias(side), F.col("items").alias(f"items_{side}")), side)
 
@@ -295,7 +327,7 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     one_text = shape.groupBy("c").agg(F.min("text_hash").alias("text_hash"))
     wanted = one_text.join(members.select("c").distinct(), "c", "left_semi").select("text_hash")
     sets = staging.keep(class_sets(docs, wanted, rules), "sets")
-    links = staging.keep(verified(stars, sets, rules), "links_1")
+    links = staging.keep(verified(stars, sets, rules, staging, "1"), "links_1")
 
     left = staging.keep(_rooted(members.drop("lead"), components(links, staging, "roots_1")), "left_1")
     small = left.filter(F.col("members") <= rules.small)
@@ -310,14 +342,14 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     looks = sets.select("c", "size", "sketch")
     connecting = close_pairs(large.join(looks, "c"), rules, all_of_them=False)
     pairs = pairs.unionByName(connecting).distinct().join(stars, ["x", "y"], "left_anti")
-    links = staging.keep(links.unionByName(verified(staging.keep(pairs, "pairs_2"), sets, rules)), "links_2")
+    links = staging.keep(links.unionByName(verified(staging.keep(pairs, "pairs_2"), sets, rules, staging, "2")), "links_2")
     roots = components(links, staging, "roots_2")
 
     large = staging.keep(_rooted(large.drop("root"), roots), "left_2")
     if large.isEmpty():
         return roots
     rest = close_pairs(large.join(looks, "c"), rules, all_of_them=True)
-    more = verified(staging.keep(rest, "pairs_3"), sets, rules)
+    more = verified(staging.keep(rest, "pairs_3"), sets, rules, staging, "3")
     return components(links.unionByName(more), staging, "roots_3")
 
 
