@@ -36,12 +36,12 @@ class NeighbourRules:
 
     k: int = 10
     dimensions: int = 8
-    chance: float = 0.98
+    chance: float = 0.95
     sample: int = 20_000
     most_cells: int = 1024
     block: int = 8192
     queries: int = 4096
-    leaf: int = 32
+    leaf: int = 256
     seed: int = 5
 
 
