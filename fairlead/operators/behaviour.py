@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from fairlead.functions.clock import epoch_seconds
 from fairlead.functions.geo import haversine_metres
 from fairlead.params import BehaviourRules
-from fairlead.schema import AFTER_FIELDS, BEFORE_FIELDS, CANDIDATE_SCHEMA, POSITION_SCHEMA, SIDE_SCHEMA, SIDES, expect
+from fairlead.schema import (
+    AFTER_FIELDS,
+    BEFORE_FIELDS,
+    CANDIDATE_SCHEMA,
+    DAY,
+    POSITION_SCHEMA,
+    SIDE_SCHEMA,
+    SIDES,
+    expect,
+)
 
 _SIDE = ("candidate_id", "vessel_side")
 _BEFORE = tuple(name for name, _ in BEFORE_FIELDS)
@@ -32,11 +41,13 @@ def reports_around(
     An interval join turned into an equi-join: track rows fall into slots as long as the interval,
     a side visits the at most two slots its interval touches, and the exact bounds are checked
     on what meets. A slot of one vessel holds at most one row per second, so the work per side is
-    bounded whatever the length of the track.
+    bounded whatever the length of the track. If the tracks have their day as a column, as stored tracks do,
+    it takes part in the join, and Spark reads only the days that some side looks at.
     """
     expect(sides, SIDE_SCHEMA)
     needed = ["mmsi", "timestamp", *columns]
-    track = expect(tracks, POSITION_SCHEMA, needed).select(*needed)
+    by_day = DAY in tracks.columns
+    track = expect(tracks, POSITION_SCHEMA, needed).select(*needed, *([DAY] if by_day else []))
     slot = max(before_seconds + after_seconds, 1)
     when = epoch_seconds(F.col("collision_time"))
     visits = sides.withColumn(
@@ -48,28 +59,32 @@ def reports_around(
     slotted = track.withColumn("slot", F.floor(epoch_seconds(F.col("timestamp")) / slot))
     start = F.col("collision_time") - F.expr(f"INTERVAL {int(before_seconds)} SECONDS")
     end = F.col("collision_time") + F.expr(f"INTERVAL {int(after_seconds)} SECONDS")
-    return visits.join(slotted, ["mmsi", "slot"]).filter(F.col("timestamp").between(start, end)).drop("slot")
+    if by_day:
+        # A condition on the sides lets Spark prune days while it runs.
+        visits = visits.filter(F.col("vessel_side").isin(*SIDES)).withColumn(DAY, F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+    met = visits.join(slotted, ["mmsi", "slot", *([DAY] if by_day else [])])
+    return met.filter(F.col("timestamp").between(start, end)).drop("slot", DAY)
 
 
-def _median(speed: Column) -> Column:
-    # The lower median. Exact: a window holds far fewer rows than the default accuracy of 10000.
-    return F.percentile_approx(speed, F.lit(0.5))
+def _lower_median(condition: str) -> Column:
+    """The exact lower median of the speeds of rows for which ``condition`` holds, at any number of rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {condition} THEN sog END)")
 
 
-def _before_aggregates(early: Column) -> list[Column]:
-    place, at = F.struct("latitude", "longitude"), F.when(early, F.col("timestamp"))
+def _before_aggregates(early: str) -> list[Column]:
+    place, at = F.struct("latitude", "longitude"), F.when(F.expr(early), F.col("timestamp"))
     return [
-        F.count(F.when(early, F.lit(1))).alias("before_point_count"),
-        _median(F.when(early, F.col("sog"))).alias("before_median_sog"),
+        F.count_if(F.expr(early)).alias("before_point_count"),
+        _lower_median(early).alias("before_median_sog"),
         F.min_by(place, at).alias("first"),
         F.max_by(place, at).alias("last"),
     ]
 
 
-def _after_aggregates(late: Column) -> list[Column]:
+def _after_aggregates(late: str) -> list[Column]:
     return [
-        F.count(F.when(late, F.lit(1))).alias("after_point_count"),
-        _median(F.when(late, F.col("sog"))).alias("after_median_sog"),
+        F.count_if(F.expr(late)).alias("after_point_count"),
+        _lower_median(late).alias("after_median_sog"),
     ]
 
 
@@ -91,7 +106,7 @@ def _with_places(stats: DataFrame) -> DataFrame:
 def before_stats(sides: DataFrame, tracks: DataFrame, rules: BehaviourRules = BehaviourRules()) -> DataFrame:
     """Statistics over the closed window [t - w, t]; a side without a report there has no row."""
     near = reports_around(sides, tracks, rules.window_minutes * 60, 0, ["latitude", "longitude", "sog"])
-    return _with_places(near.groupBy(*_SIDE).agg(*_before_aggregates(F.lit(True)))).select(*_SIDE, *_BEFORE)
+    return _with_places(near.groupBy(*_SIDE).agg(*_before_aggregates("true"))).select(*_SIDE, *_BEFORE)
 
 
 def after_stats(sides: DataFrame, tracks: DataFrame, rules: BehaviourRules = BehaviourRules()) -> DataFrame:
@@ -101,7 +116,7 @@ def after_stats(sides: DataFrame, tracks: DataFrame, rules: BehaviourRules = Beh
     """
     near = reports_around(sides, tracks, 0, rules.window_minutes * 60, ["sog"])
     late = near.filter(F.col("timestamp") > F.col("collision_time"))
-    heard = late.groupBy(*_SIDE).agg(*_after_aggregates(F.lit(True)))
+    heard = late.groupBy(*_SIDE).agg(*_after_aggregates("true"))
     return sides.select(*_SIDE).join(heard, list(_SIDE), "left").fillna({"after_point_count": 0})
 
 
@@ -113,8 +128,8 @@ def side_stats(sides: DataFrame, tracks: DataFrame, rules: BehaviourRules = Beha
     """
     window = rules.window_minutes * 60
     near = reports_around(sides, tracks, window, window, ["latitude", "longitude", "sog"])
-    early = F.col("timestamp") <= F.col("collision_time")
-    stats = near.groupBy(*_SIDE).agg(*_before_aggregates(early), *_after_aggregates(~early))
+    early, late = "timestamp <= collision_time", "timestamp > collision_time"
+    stats = near.groupBy(*_SIDE).agg(*_before_aggregates(early), *_after_aggregates(late))
     return _with_places(stats).filter(F.col("before_point_count") > 0).select(*_SIDE, *_BEFORE, *_AFTER)
 
 

@@ -19,10 +19,9 @@ from fairlead.functions.identity import mmsi_rejection
 from fairlead.operators import behaviour, collisions, jumps, proximity, results
 from fairlead.operators.area import within_area
 from fairlead.operators.cleaning import clean_reports, type_reports
-from fairlead.params import Circle, CollisionRules, JumpRules, Rules
+from fairlead.params import Circle, CollisionRules, JumpRules, ProximityRules, Rules
 from fairlead.plans.pipeline import ingest, stage_candidates, stage_tracks
 from fairlead.schema import POSITION_COLUMNS, RAW_COLUMNS, RAW_TIME
-from fairlead.sources.reports import header_of, list_report_files
 from fairlead.sources.sample import sample_reports
 from fairlead.sources.tables import DAY, Staging, read_positions, with_day
 from fairlead.streaming.ingest import ingest_new_files
@@ -104,10 +103,13 @@ def daily_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_day(positions(spark, sf_dir))
 
 
-def _report_files(spark: SparkSession, sf_dir: str, staging: Staging) -> str:
+def _report_files(
+    spark: SparkSession, sf_dir: str, staging: Staging, which: str = "true", name: str = "all", backwards: bool = False
+) -> str:
     """The sample reports as CSV files with a header, as they would arrive."""
-    folder = f"{staging.folder}/reports"
-    sample_reports(spark, sf_dir).select(*(f"`{name}`" for name in RAW_COLUMNS)).write.option("header", True).option(
+    folder = f"{staging.folder}/reports-{name}"
+    columns = RAW_COLUMNS[::-1] if backwards else RAW_COLUMNS
+    sample_reports(spark, sf_dir).filter(which).select(*(f"`{c}`" for c in columns)).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return folder
@@ -123,8 +125,18 @@ def csv_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     staging = Staging(spark)
     folder, table = _report_files(spark, sf_dir, staging), f"{staging.folder}/positions"
-    header = header_of(spark, list_report_files(spark, folder)[0])
-    ingest_new_files(spark, folder, table, f"{staging.folder}/seen", header=header)
+    ingest_new_files(spark, folder, table, f"{staging.folder}/seen")
+    return _per_day(read_positions(spark, table))
+
+
+def mixed_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the reports by the batch job, the other half, in files of another column order, by the stream; one table."""
+    staging = Staging(spark)
+    table = f"{staging.folder}/positions"
+    even = _report_files(spark, sf_dir, staging, "event_id % 2 = 0", "even")
+    odd = _report_files(spark, sf_dir, staging, "event_id % 2 = 1", "odd", backwards=True)
+    ingest(spark, even, table)
+    ingest_new_files(spark, odd, table, f"{staging.folder}/seen")
     return _per_day(read_positions(spark, table))
 
 
@@ -187,6 +199,11 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(proximity.proximity_pairs(within_area(tracks(spark, sf_dir))))
 
 
+def proximity_pairs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, with cells of more than four reports divided."""
+    return shown(proximity.proximity_pairs(within_area(tracks(spark, sf_dir)), ProximityRules(split_rows=4)))
+
+
 def closest_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(encounters(spark, sf_dir)[1])
 
@@ -289,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "daily_ingest_counts": daily_ingest_counts,
     "csv_ingest_counts": csv_ingest_counts,
     "stream_ingest_counts": stream_ingest_counts,
+    "mixed_ingest_counts": mixed_ingest_counts,
     "haversine_distance": haversine_distance,
     "bounding_box_filter": bounding_box_filter,
     "area_filter": area_filter,
@@ -301,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "gps_jump_clean_limit": partial(gps_jump_clean, edge_mode="limit"),
     "grid_cells": grid_cells,
     "proximity_pairs": proximity_pairs,
+    "proximity_pairs_split": proximity_pairs_split,
     "closest_approach": closest_approach,
     "candidate_sides": candidate_sides,
     "before_stats": before_stats,

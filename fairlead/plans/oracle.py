@@ -59,22 +59,29 @@ sailing AS (
          CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS heading_sign
   FROM events),
 shaped AS (
-  SELECT *, TIMESTAMP '2021-12-13 00:00:00' + to_seconds(clock) AS moment,
+  SELECT *, TIMESTAMP '2021-12-12 23:45:00' + to_seconds(clock) AS moment,
          CAST(CASE WHEN event_id % 211 = 0 THEN 555555555 WHEN event_id % 223 = 0 THEN 999000000 + v
+                   WHEN event_id % 227 = 0 OR v = 15 AND s > meeting OR v = 21 AND abs(s - meeting) > 40 THEN 12345
+                   WHEN event_id % 229 = 0 THEN 123456789
+                   WHEN event_id % 1009 = 5 THEN 265000000 + event_id % 1000000
+                   WHEN event_id % 1013 IN (7, 17) THEN 266000000 + event_id // 1013 % 1000000
                    ELSE 219000000 + 50 * (sailing % 20000) + v END AS VARCHAR) AS id,
-         55.0::DOUBLE + 0.02::DOUBLE * pair + 0.00005::DOUBLE * (heading_sign * (s - meeting))
-           + CASE WHEN event_id % 97 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lat,
-         14.0::DOUBLE + 0.02::DOUBLE * pair AS lon
+         CASE WHEN event_id % 239 = 0 THEN 95.0::DOUBLE WHEN event_id % 1013 = 7 THEN 55.6::DOUBLE
+              WHEN event_id % 1013 = 17 THEN 55.6023::DOUBLE
+              WHEN pair = 9 THEN 55.18::DOUBLE + 0.00001::DOUBLE * heading_sign
+              ELSE 55.0::DOUBLE + 0.02::DOUBLE * pair + 0.00005::DOUBLE * (heading_sign * (s - meeting))
+                   + CASE WHEN event_id % 97 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS lat,
+         CASE WHEN event_id % 1013 IN (7, 17) THEN 14.2::DOUBLE ELSE 14.0::DOUBLE + 0.02::DOUBLE * pair END AS lon
   FROM sailing),
 reports AS (
   SELECT event_id,
-         CASE WHEN event_id % 3 = 0 THEN '  ' || strftime(moment, '%d/%m/%Y %H:%M:%S') || ' '
+         CASE WHEN event_id % 233 = 0 THEN 'no time' WHEN event_id % 3 = 0 THEN '  ' || strftime(moment, '%d/%m/%Y %H:%M:%S') || ' '
               WHEN event_id % 3 = 1 THEN strftime(moment, '%Y-%m-%d %H:%M:%S')
               ELSE strftime(moment, '%Y-%m-%dT%H:%M:%S') END AS time_text,
          CASE WHEN event_id % 7 = 0 THEN ' ' || id || '  ' ELSE id END AS mmsi_text,
          CAST(lat AS VARCHAR) AS lat_text, CAST(lon AS VARCHAR) AS lon_text, ' ' || event_type AS status_text,
          CASE WHEN event_id % 131 = 0 THEN 'n/a' WHEN event_id % 137 = 0 THEN ''
-              ELSE ' ' || CASE WHEN s <= meeting THEN '10.0' ELSE '6.0' END END AS sog_text,
+              ELSE ' ' || CASE WHEN pair = 9 THEN '0.2' WHEN v = 25 THEN 'n/a' WHEN s <= meeting THEN '10.0' ELSE '6.0' END END AS sog_text,
          CASE WHEN heading_sign = 1 THEN '0.0' ELSE '180.0' END AS cog_text,
          CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE CAST(event_id % 360 AS VARCHAR) END AS heading_text,
          ' V' || CAST(v AS VARCHAR) || ' ' AS name_text,
@@ -363,6 +370,12 @@ def statements() -> dict[str, str]:
         f"CAST(NULL AS VARCHAR) AS {n}" for n in ("candidate_id", "mmsi_1", "mmsi_2", "name_1", "name_2", "collision_time")
     )
     before_columns = f"candidate_id, vessel_side, {_rounded(_BEFORE)}"
+    pairs = _with(
+        PAIRS,
+        f"""SELECT mmsi_1, mmsi_2, name_1, name_2, {_text_time("timestamp_1")}, {_text_time("timestamp_2")},
+            round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(distance_nm, 6) AS distance_nm
+            FROM pairs""",
+    )
     return {
         "parse_timestamps": _with(
             REPORTS,
@@ -381,6 +394,7 @@ def statements() -> dict[str, str]:
         "daily_ingest_counts": per_day,
         "csv_ingest_counts": per_day,
         "stream_ingest_counts": per_day,
+        "mixed_ingest_counts": per_day,
         "haversine_distance": _with(
             TYPED,
             f"""SELECT {_INSTANT}, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
@@ -417,12 +431,8 @@ def statements() -> dict[str, str]:
                FROM (SELECT *, 1 AS home FROM lying UNION ALL SELECT *, 0 AS home FROM looking)
                GROUP BY time_bucket, lat_cell, lon_cell""",
         ),
-        "proximity_pairs": _with(
-            PAIRS,
-            f"""SELECT mmsi_1, mmsi_2, name_1, name_2, {_text_time("timestamp_1")}, {_text_time("timestamp_2")},
-                round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(distance_nm, 6) AS distance_nm
-                FROM pairs""",
-        ),
+        "proximity_pairs": pairs,
+        "proximity_pairs_split": pairs,
         "closest_approach": _with(CANDIDATES, candidates),
         "candidate_sides": _with(
             CANDIDATES, f"SELECT candidate_id, {_text_time('collision_time')}, vessel_side, mmsi FROM sides"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairlead.operators.area import within_area
 from fairlead.operators.cleaning import clean_reports
@@ -17,9 +18,10 @@ from fairlead.operators.jumps import remove_gps_jumps
 from fairlead.operators.proximity import closest_approach, crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths
 from fairlead.params import Rules
+from fairlead.schema import DAY
 from fairlead.sources.documents import write_collision_document, write_trajectories
 from fairlead.sources.reports import read_mixed_reports
-from fairlead.sources.tables import Staging, read_positions, write_positions
+from fairlead.sources.tables import Staging, read_positions, with_day, write_positions
 
 
 @dataclass(frozen=True)
@@ -32,17 +34,30 @@ class Encounters:
     validated: DataFrame
 
 
-def ingest(spark: SparkSession, folder: str, table: str, rules: Rules = Rules(), mode: str = "append") -> None:
-    """Clean every report file of ``folder`` into a position table, in one job."""
+def ingest(spark: SparkSession, folder: str, table: str, rules: Rules = Rules(), mode: str = "overwrite") -> None:
+    """Clean every report file of ``folder`` into a position table, in one job.
+
+    The whole folder is read each time, so the table begins anew unless ``mode="append"`` adds to it. For new files only
+    there is ``streaming.ingest.ingest_new_files``, on the same tables.
+    """
     write_positions(clean_reports(read_mixed_reports(spark, folder), rules.reports), table, mode)
 
 
+#: Tasks that write one day of tracks.
+_TASKS_PER_DAY = 8
+
+
 def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
-    return staging.keep(remove_gps_jumps(positions, rules.jumps), "tracks")
+    """Tracks, laid out by day: what looks at reports around an encounter reads only its days."""
+    tracks = with_day(remove_gps_jumps(positions, rules.jumps))
+    dealt = tracks.repartition(DAY, F.pmod(F.hash("mmsi"), F.lit(_TASKS_PER_DAY)))
+    return staging.keep(dealt, "tracks", by=DAY)
 
 
 def stage_candidates(tracks: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
-    points = within_area(tracks, rules.area)
+    """Candidates. The area is stored once, with the five columns that the next steps read, each more than once."""
+    inside = within_area(tracks, rules.area).select("mmsi", "timestamp", "latitude", "longitude", "name")
+    points = staging.keep(inside, "area")
     crowded = staging.keep(crowded_cells(points, rules.proximity), "crowded")
     nearest = staging.keep(nearest_slots(points, rules.proximity, crowded), "nearest")
     return staging.keep(closest_approach(pinpoint(nearest, points, rules.proximity)), "candidates")

@@ -19,6 +19,9 @@ def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in pairs])
 
 
+# The day of a stored position, by which its table is laid out.
+DAY = "event_date"
+
 _STRING, _DOUBLE, _LONG = T.StringType(), T.DoubleType(), T.LongType()
 _BOOLEAN, _TIME = T.BooleanType(), T.TimestampNTZType()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -21,8 +22,22 @@ def list_report_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(row.path for row in found.toLocalIterator())
 
 
+def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """The CSV files that arrive in ``folder``, as a stream of names; each is delivered once, contents aren't read."""
+    layout = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(layout).option("pathGlobFilter", _CSV_NAMES)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(folder).select("path")
+
+
 def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
-    return tuple(spark.read.option("header", True).csv(file).columns)
+    return tuple(spark.read.option("header", True).csv(as_written(file)).columns)
+
+
+def as_written(path: str) -> str:
+    """A listed path with its glob characters escaped, so that reading it finds that file."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def _text_layout(header: tuple[str, ...]) -> T.StructType:
@@ -41,13 +56,13 @@ def read_reports(spark: SparkSession, paths: str | list[str], header: tuple[str,
     return reader.csv(paths).select(*(f"`{name}`" for name in RAW_COLUMNS))
 
 
-def read_mixed_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports of a folder whose files differ in column order or in extra columns.
+def read_mixed_reports(spark: SparkSession, folder: str, files: list[str] | None = None) -> DataFrame:
+    """Reports of a folder, or of listed files in it, that differ in column order or in extra columns.
 
     One read per distinct header, then a union by name. The headers are read eight files at a time;
     a folder with one known layout needs only ``read_reports``.
     """
-    files = list_report_files(spark, folder)
+    files = list_report_files(spark, folder) if files is None else files
     if not files:
         raise FileNotFoundError(f"no CSV file in {folder}")
     with ThreadPoolExecutor(8) as pool:
@@ -55,12 +70,4 @@ def read_mixed_reports(spark: SparkSession, folder: str) -> DataFrame:
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for header, file in zip(headers, files):
         groups[header].append(file)
-    return reduce(DataFrame.unionByName, (read_reports(spark, group, header) for header, group in groups.items()))
-
-
-def stream_reports(spark: SparkSession, folder: str, header: tuple[str, ...], max_files: int | None = None) -> DataFrame:
-    """The same reports as a file stream: each file is delivered once. ``header`` is the files' full header."""
-    reader = spark.readStream.options(**_OPTIONS).option("pathGlobFilter", _CSV_NAMES).schema(_text_layout(header))
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(folder).select(*(f"`{name}`" for name in RAW_COLUMNS))
+    return reduce(DataFrame.unionByName, (read_reports(spark, [as_written(f) for f in group], header) for header, group in groups.items()))

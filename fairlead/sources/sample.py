@@ -2,8 +2,9 @@
 
 The given tables hold no positions. Each event becomes one report: blocks of 10,000 events form a
 sailing of 25 vessel pairs that meet head-on, so vessels, encounters and collisions all grow with the
-table. The text is deliberately untidy (three time spellings, blanks, words where numbers belong,
-unusable identities, GPS spikes, undefined and excluded ship types).
+table. A sailing crosses midnight. The text is deliberately untidy (three time spellings, blanks, words where numbers or
+times belong, four kinds of unusable identities, places off the globe, GPS spikes, undefined and excluded ship types). Some
+vessels report once or twice, one falls silent after its encounter, one is heard only near it, one tells no speed, and one pair lies still.
 """
 
 from __future__ import annotations
@@ -42,19 +43,26 @@ def sample_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
         "v",
-        "timestampadd(SECOND, clock, TIMESTAMP_NTZ'2021-12-13 00:00:00') AS time",
+        "timestampadd(SECOND, clock, TIMESTAMP_NTZ'2021-12-12 23:45:00') AS time",
         """CAST(CASE WHEN event_id % 211 = 0 THEN 555555555
                      WHEN event_id % 223 = 0 THEN 999000000 + v
+                     WHEN event_id % 227 = 0 OR v = 15 AND s > meeting OR v = 21 AND abs(s - meeting) > 40 THEN 12345
+                     WHEN event_id % 229 = 0 THEN 123456789
+                     WHEN event_id % 1009 = 5 THEN 265000000 + event_id % 1000000
+                     WHEN event_id % 1013 IN (7, 17) THEN 266000000 + event_id DIV 1013 % 1000000
                      ELSE 219000000 + 50 * (sailing % 20000) + v END AS STRING) AS mmsi""",
-        """55.0D + 0.02D * pair + 0.00005D * (heading_sign * (s - meeting))
-           + CASE WHEN event_id % 97 = 0 THEN 1.0D ELSE 0.0D END AS latitude""",
-        "14.0D + 0.02D * pair AS longitude",
-        "CASE WHEN s <= meeting THEN '10.0' ELSE '6.0' END AS sog",
+        """CASE WHEN event_id % 239 = 0 THEN 95.0D WHEN event_id % 1013 = 7 THEN 55.6D WHEN event_id % 1013 = 17 THEN 55.6023D
+                WHEN pair = 9 THEN 55.18D + 0.00001D * heading_sign
+                ELSE 55.0D + 0.02D * pair + 0.00005D * (heading_sign * (s - meeting))
+                     + CASE WHEN event_id % 97 = 0 THEN 1.0D ELSE 0.0D END END AS latitude""",
+        "CASE WHEN event_id % 1013 IN (7, 17) THEN 14.2D ELSE 14.0D + 0.02D * pair END AS longitude",
+        "CASE WHEN pair = 9 THEN '0.2' WHEN v = 25 THEN 'n/a' WHEN s <= meeting THEN '10.0' ELSE '6.0' END AS sog",
         "CASE WHEN heading_sign = 1 THEN '0.0' ELSE '180.0' END AS cog",
         """CASE WHEN v % 10 = 3 THEN 'Pilot' WHEN event_id % 5 = 0 THEN 'Undefined' ELSE 'Cargo' END AS ship_type""",
     )
     texts = {
-        RAW_TIME: """CASE WHEN event_id % 3 = 0 THEN concat('  ', date_format(time, 'dd/MM/yyyy HH:mm:ss'), ' ')
+        RAW_TIME: """CASE WHEN event_id % 233 = 0 THEN 'no time'
+                          WHEN event_id % 3 = 0 THEN concat('  ', date_format(time, 'dd/MM/yyyy HH:mm:ss'), ' ')
                           WHEN event_id % 3 = 1 THEN date_format(time, 'yyyy-MM-dd HH:mm:ss')
                           ELSE date_format(time, "yyyy-MM-dd'T'HH:mm:ss") END""",
         "MMSI": "CASE WHEN event_id % 7 = 0 THEN concat(' ', mmsi, '  ') ELSE mmsi END",

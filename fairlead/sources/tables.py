@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.schema import POSITION_COLUMNS, POSITION_SCHEMA, expect
+from fairlead.schema import DAY, POSITION_COLUMNS, POSITION_SCHEMA, expect
 
-DAY = "event_date"
+# The batch that wrote a row.
+BATCH = "ingest"
 
 
 def with_day(positions: DataFrame) -> DataFrame:
     return positions.withColumn(DAY, F.to_date("timestamp"))
 
 
-def write_positions(positions: DataFrame, path: str, mode: str = "append") -> None:
-    """Positions as Parquet, one folder per day, so that a period query reads only its days.
+def write_positions(positions: DataFrame, path: str, mode: str = "append", batch: str | None = None) -> None:
+    """Positions as Parquet, one folder per day and batch, so that a period query reads only its days.
 
-    No shuffle: report files come by day, so a task writes to one or two folders.
+    A batch written again under its name takes the place of what it wrote before, so a job that is repeated after a
+    failure adds nothing twice; batches of other names, also from other jobs, stay. Without a name it
+    is a new batch. ``mode="overwrite"`` begins the table anew. No shuffle: report files come by day, so a task writes to one or two folders.
     """
-    with_day(expect(positions, POSITION_SCHEMA)).write.mode(mode).partitionBy(DAY).parquet(path)
+    rows = with_day(expect(positions, POSITION_SCHEMA)).withColumn(BATCH, F.lit(batch or f"batch-{uuid.uuid4().hex}"))
+    writer = rows.write.partitionBy(DAY, BATCH)
+    if mode == "append":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
@@ -42,13 +51,13 @@ def write_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Where staged tables go: the session's checkpoint folder.
 
-    A local session without one gets a temporary folder; on a cluster that would be lost with a
-    machine, so there the setting is required.
+    A session in one process without one gets a temporary folder; where there are executors, that would be lost
+    with a machine, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="fairlead-")
 
@@ -64,7 +73,14 @@ class Staging:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 
-    def keep(self, table: DataFrame, name: str) -> DataFrame:
+    def keep(self, table: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table, stored; ``by``: a column to lay it out by, so that readers skip its other values."""
         path = f"{self.folder}/{name}"
-        write_table(table, path)
+        writer = table.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Deletes what was stored, when nothing reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,17 +1,20 @@
 """Report files -> position table, each file once.
 
-Cleaning keeps no state, so the stream needs no watermark; the checkpoint remembers the files.
+Cleaning keeps no state, so the stream needs no watermark; the checkpoint remembers the files. The stream is of
+file names: each batch reads its files by their own headers and writes as the batch job does, so both can share one table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.operators.cleaning import clean_reports
 from fairlead.params import ReportRules
-from fairlead.sources.reports import header_of, list_report_files, stream_reports
-from fairlead.sources.tables import DAY, with_day
+from fairlead.sources.reports import read_mixed_reports, stream_files
+from fairlead.sources.tables import write_positions
 
 
 def start_ingest(
@@ -20,25 +23,24 @@ def start_ingest(
     table: str,
     checkpoint: str,
     rules: ReportRules = ReportRules(),
-    header: tuple[str, ...] | None = None,
-    max_files: int | None = None,
+    max_files: int = 1000,
 ) -> StreamingQuery:
     """Clean the files that arrived in ``folder`` since the last call, append them to ``table``, stop.
 
-    ``header`` is the files' full header; by default that of the first file. A file with another
-    header fails the run.
+    ``max_files`` bounds a batch, and with it the names that reach the driver. A batch repeated after a failure is written
+    under the same name and so replaces what it wrote.
     """
-    if header is None:
-        files = list_report_files(spark, folder)
-        if not files:
-            raise FileNotFoundError(f"no CSV file in {folder}")
-        header = header_of(spark, files[0])
-    positions = with_day(clean_reports(stream_reports(spark, folder, header, max_files), rules))
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(names: DataFrame, number: int) -> None:
+        files = sorted(row.path for row in names.collect())
+        if files:
+            positions = clean_reports(read_mixed_reports(spark, folder, files), rules)
+            write_positions(positions, table, batch=f"stream-{source}-{number}")
+
     return (
-        positions.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(DAY)
-        .option("path", table)
+        stream_files(spark, folder, max_files)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
