@@ -33,7 +33,7 @@ def start_ingest(
     source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(names: DataFrame, number: int) -> None:
-        files = sorted(row.path for row in names.collect())
+        files = sorted({row.path for row in names.collect()})
         if files:
             positions = clean_reports(read_mixed_reports(spark, folder, files), rules)
             write_positions(positions, table, batch=f"stream-{source}-{number}")

@@ -70,6 +70,17 @@ def test_median_ignores_nulls_and_takes_the_lower(spark):
     assert by_side(before_stats(sides_of(spark), nothing))["c1", "1"].before_median_sog is None
 
 
+def test_median_is_exact_in_large_groups(spark):
+    """30,001 speeds in one long window: beyond what a sketch of 10,000 values tells exactly."""
+    track = spark.range(30_001).selectExpr(
+        f"'{ONE}' AS mmsi", "timestampadd(SECOND, id, timestamp_ntz'2021-12-13 00:00:00') AS timestamp", "55.0D AS latitude",
+        "14.0D AS longitude", "CAST(NULL AS STRING) AS navigational_status", "CAST(id AS DOUBLE) + 0.5D AS sog", "0.0D AS cog",
+        "0.0D AS heading", "'N' AS name", "'Cargo' AS ship_type", "1.0D AS width", "1.0D AS length", "1.0D AS draught",
+    )
+    row = by_side(before_stats(sides_of(spark, candidate(seconds=23_000)), track, BehaviourRules(window_minutes=600)))["c1", "1"]
+    assert (row.before_point_count, row.before_median_sog) == (30_001, 15000.5)
+
+
 def test_first_last_and_metres_moved(spark):
     track = positions(spark, [position(ONE, 950, 55.02), position(ONE, 900, 55.0), position(ONE, 999, 55.01, 14.01)])
     row = by_side(before_stats(sides_of(spark), track))["c1", "1"]

@@ -6,6 +6,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
+from fairlead.plans import catalog, oracle
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,12 +17,14 @@ def connection():
 
 
 def test_names_agree():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.statements())
+    assert set(catalog.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    rows, difference = compare(spark, connection, contract.queries()[name], contract.oracle_sql()[name], FOLDER)
+    rows, difference = compare(spark, connection, catalog.QUERIES[name], oracle.statements()[name], FOLDER)
     assert not difference
     assert rows or name == "conflicting_positions"
 

@@ -126,3 +126,10 @@ def test_longitude_reach_is_wide_enough(spark):
     for row in frame.collect():
         if row.reach < 180:
             assert miles(row.lat, 0, row.lat, row.reach * 1.0001) > 0.05 * 0.999
+
+
+def test_an_empty_list_switches_its_rule_off(spark):
+    rows = spark.createDataFrame([("999000001",), ("123456789",), ("219000001",), ("5555",)], "mmsi string")
+    found = {r.mmsi: r.why for r in rows.select("mmsi", mmsi_rejection("mmsi", (), ()).alias("why")).collect()}
+    assert found == {"999000001": None, "123456789": None, "219000001": None, "5555": "format"}
+    assert rows.filter(mmsi_usable("mmsi", None, None)).count() == 3

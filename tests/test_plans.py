@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from helpers import at, candidate, candidates, position, positions
+from helpers import candidate, candidates, position, positions
 
 from fairlead.operators.area import within_area
 from fairlead.operators.behaviour import after_stats, candidate_sides, side_stats, vessel_types
@@ -14,8 +14,10 @@ from fairlead.operators.collisions import score_candidates
 from fairlead.operators.jumps import remove_gps_jumps, unique_positions
 from fairlead.operators.proximity import crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths
+from fairlead.params import JumpRules
+from fairlead.schema import DAY
 from fairlead.sources.sample import sample_reports
-from fairlead.sources.tables import Staging
+from fairlead.sources.tables import Staging, with_day
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -149,11 +151,23 @@ def test_paths_read_only_their_columns(tables):
 
 
 def test_a_vessel_with_a_third_of_all_rows_is_spread(spark):
-    """Most rows of one vessel: no partition after the segment shuffle holds much more than its segments."""
+    """Most rows are of one vessel: the jump filter's tasks still hold about as many rows each."""
     rows = [position("219000001", hour * 3600 + s, 55.0) for hour in range(200) for s in range(5)]
     rows += [position(f"2190{n:05d}", 0) for n in range(2, 1000)]
-    table = positions(spark, rows)
-    segment = table.selectExpr("*", "unix_timestamp(timestamp) div 3600 AS segment")
-    sizes = segment.repartition(8, "mmsi", "segment").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
-    assert max(sizes) < 2 * len(rows) / 8
-    assert at(0) == rows[0][1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        clean = remove_gps_jumps(positions(spark, rows), JumpRules(edge_mode="limit", segment_seconds=3600))
+        sizes = clean.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == len(rows) and max(sizes) < 2 * len(rows) / 8
+
+
+def test_only_days_near_an_encounter_are_read(spark):
+    staging = Staging(spark)
+    rows = [position(mmsi, day * 86_400 + s) for mmsi in ("219000001", "219000002") for day in range(6) for s in range(0, 900, 10)]
+    track = staging.keep(with_day(positions(spark, rows)), "tracks", by=DAY)
+    stored = staging.keep(candidates(spark, [candidate(seconds=2 * 86_400 + 600.0)]), "candidates")
+    stats = side_stats(candidate_sides(stored), track)
+    assert "dynamicpruning" in planned(stats)
+    assert sorted(row.before_point_count for row in stats.collect()) == [61, 61]

@@ -8,7 +8,7 @@ from helpers import position, positions, report
 
 from fairlead.operators.cleaning import clean_reports
 from fairlead.params import CollisionRules, ReportRules, Rules
-from fairlead.plans.pipeline import run
+from fairlead.plans.pipeline import ingest, run
 from fairlead.schema import RAW_COLUMNS
 from fairlead.sources.reports import list_report_files, read_mixed_reports, read_reports
 from fairlead.sources.sample import sample_reports
@@ -82,6 +82,38 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert len(glob.glob(f"{table}/event_date=*")) == 2
 
 
+@pytest.mark.parametrize("stream_first", [True, False])
+def test_batch_and_stream_share_a_table(spark, tmp_path, stream_first):
+    """Five rows by the batch job, seven by the stream, in files of another column order."""
+    one, two, table = tmp_path / "one", tmp_path / "two", str(tmp_path / "table")
+    one.mkdir(), two.mkdir()
+    write_csv(one / "a.csv", [report(Latitude=f"55.{i}") for i in range(5)])
+    write_csv(two / "b.csv", [report(Latitude=f"56.{i}") for i in range(4)], columns=tuple(reversed(RAW_COLUMNS)))
+    write_csv(two / "c [1].csv", [report(Latitude=f"57.{i}") for i in range(3)], extra=("More",))
+    steps = [
+        lambda: ingest(spark, str(one), table, Rules(reports=GLOBE), mode="append"),
+        lambda: ingest_new_files(spark, str(two), table, str(tmp_path / "seen"), GLOBE),
+    ]
+    for step in reversed(steps) if stream_first else steps:
+        step()
+    assert read_positions(spark, table).count() == 12
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "positions")
+    for rows, batch in (([position()], "a"), ([position(), position(seconds=5)], "b"), ([position()], "a")):
+        write_positions(positions(spark, rows), path, batch=batch)
+    assert read_positions(spark, path).count() == 3
+
+
+def test_staged_tables_can_be_removed(spark):
+    staging = Staging(spark)
+    staging.keep(spark.range(3), "numbers")
+    staging.remove()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{staging.folder}/numbers")
+
+
 def test_staging_uses_the_configured_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     staging = Staging(spark)
@@ -97,7 +129,7 @@ def test_pipeline_from_files(spark, tmp_path, metres, points, found):
     reports.repartition(3).write.option("header", True).csv(folder)
     rules = Rules(collisions=CollisionRules(collision_metres=metres, collision_min_points=points))
     result = run(spark, folder, output, rules)
-    assert (result.tracks.count(), result.candidates.count(), result.validated.count()) == (950, 4, found)
+    assert (result.tracks.count(), result.candidates.count(), result.validated.count()) == (931, 4, found)
     text = "".join(open(part).read() for part in sorted(glob.glob(f"{output}/collision_result/part-*")))
     document = json.loads(text)
     assert document["collision_count"] == found == len(document["collisions"])
