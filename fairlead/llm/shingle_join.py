@@ -41,7 +41,7 @@ class JoinRules:
     width: int = 5
     percent: int = 80
     small: int = 32
-    block: int = 256
+    block: int = 2048
 
     def differences(self, size: int) -> int:
         """The most differences of linked sets, of which the smaller has at most ``size`` shingles."""
@@ -299,11 +299,17 @@ def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their roots, of those buckets whose classes aren't all connected."""
-    known = members.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    """key, c, root and the number of members, of those buckets whose classes aren't all connected; each class once.
+
+    A class with copies in several tasks has come in from each of them.
+    """
+    known = members.select("key", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     bucket = Window.partitionBy("key")
+    again = F.col("c").eqNullSafe(F.lag("c").over(bucket.orderBy("c")))
+    known = known.withColumn("again", again).filter("not again").drop("again")
     apart = F.min("root").over(bucket) != F.max("root").over(bucket)
-    return known.withColumn("apart", apart).filter("apart").drop("apart")
+    counted = known.withColumn("apart", apart).withColumn("members", F.count(F.lit(1)).over(bucket))
+    return counted.filter("apart").drop("apart")
 
 
 def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRules) -> DataFrame:
@@ -315,7 +321,6 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
             "key", "c",
             F.min("c").over(bucket).alias("lead"),
             F.max("c").over(bucket).alias("last"),
-            F.count(F.lit(1)).over(bucket).alias("members"),
         )
         .filter("lead <> last")
         .drop("last"),
@@ -329,7 +334,7 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     sets = staging.keep(class_sets(docs, wanted, rules), "sets")
     links = staging.keep(verified(stars, sets, rules, staging, "1"), "links_1")
 
-    left = staging.keep(_rooted(members.drop("lead"), components(links, staging, "roots_1")), "left_1")
+    left = staging.keep(_rooted(members, components(links, staging, "roots_1")), "left_1")
     small = left.filter(F.col("members") <= rules.small)
     pairs = (
         small.select("key", F.col("c").alias("x"), F.col("root").alias("root_x"))
@@ -345,7 +350,7 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     links = staging.keep(links.unionByName(verified(staging.keep(pairs, "pairs_2"), sets, rules, staging, "2")), "links_2")
     roots = components(links, staging, "roots_2")
 
-    large = staging.keep(_rooted(large.drop("root"), roots), "left_2")
+    large = staging.keep(_rooted(large, roots), "left_2")
     if large.isEmpty():
         return roots
     rest = close_pairs(large.join(looks, "c"), rules, all_of_them=True)
