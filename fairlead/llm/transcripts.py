@@ -117,10 +117,13 @@ def fit(messages: DataFrame, staging: Staging, rules: TranscriptRules = Transcri
     for row in table:
         tables[row["kind"]][0 if row["kind"] == "first" else row["i"], row["j"]] += row["n"]
     logs = {k: np.log((t + rules.prior) / (t + rules.prior).sum(axis=1, keepdims=True)) for k, t in tables.items()}
-    # A marker that was hardly seen says whose line it is by its name.
-    for role in range(len(ROLES)):
-        for state, (owner, begins) in enumerate(STATES):
+    # Tables of messages have one turn each and no markers. A marker says by its name whose line it is, and a turn may also begin
+    # inside a message.
+    for state, (owner, begins) in enumerate(STATES):
+        for role in range(len(ROLES)):
             logs["seen0"][state, role + 1] = np.log(0.9 if owner == role and begins else 0.01)
+        if begins:
+            logs["seen1"][state] = np.log([0.1, 0.9])
     return RoleModel(logs["first"][0], logs["next"], tuple(logs[f"seen{i}"] for i in range(len(SHAPE))))
 
 
