@@ -243,7 +243,8 @@ def close_pairs(rows: DataFrame, rules: JoinRules, all_of_them: bool) -> DataFra
             close &= np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * rules.percent
             found.extend(zip(apart[close].tolist(), [i] * int(close.sum()), others[close].tolist(), strict=True))
         if not all_of_them:
-            found = _forest(sorted(found), roots)
+            # One order of pairs for all buckets: they then mostly choose the same ones.
+            found = _forest(sorted(found, key=lambda p: (p[0], *sorted((names[p[1]], names[p[2]])))), roots)
         pairs = [(min(names[i], names[j]), max(names[i], names[j])) for _, i, j in found]
         return pd.DataFrame(pairs, columns=["x", "y"], dtype="int64")
 

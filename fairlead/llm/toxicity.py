@@ -31,7 +31,7 @@ class ToxicityRules:
     toxic if P(grade >= 1) is at least ``limit``.
     """
 
-    max_labels: int = 10_000
+    max_labels: int = 8_000
     feature_bits: int = 20
     least_rows: int = 3
     sparsity: float = 0.002
@@ -102,7 +102,7 @@ class _Rows:
 
     def __init__(self, features: np.ndarray, bounds: np.ndarray, width: int) -> None:
         self.features, self.bounds, self.width = features, bounds, width
-        self.row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.features], minlength=len(self.bounds) - 1)
@@ -111,7 +111,7 @@ class _Rows:
         return np.bincount(self.features, slopes[self.row], minlength=self.width)
 
     def only(self, columns: np.ndarray) -> _Rows:
-        place = np.full(self.width, -1)
+        place = np.full(self.width, -1, np.int32)
         place[columns] = np.arange(len(columns))
         keep = place[self.features] >= 0
         bounds = np.searchsorted(self.row[keep], np.arange(len(self.bounds)))
@@ -168,9 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
         return OrdinalModel(grades, nothing, nothing.astype(np.int64), nothing, rules.feature_bits)
     lists = table.column("features").combine_chunks()
     bounds = np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
-    rows = _Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds, 1 << rules.feature_bits)
-    known = np.flatnonzero(np.bincount(rows.features, minlength=rows.width) >= rules.least_rows)
-    rows = rows.only(known)
+    features = lists.flatten().to_numpy(zero_copy_only=False)
+    frequent = np.bincount(features, minlength=1 << rules.feature_bits) >= rules.least_rows
+    known = np.flatnonzero(frequent)
+    keep = frequent[features]
+    held = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    rows = _Rows((np.cumsum(frequent, dtype=np.int32) - 1)[features[keep]], held[bounds], len(known))
+    del table, lists, features, keep, held
     shares = np.cumsum(np.bincount(grade))[:-1] / len(grade)
     start = np.log(shares / (1 - shares))
     weights, _ = _descend(rows, grade, start, rules.sparsity + 1 / len(grade), 0.0, rules.steps)
