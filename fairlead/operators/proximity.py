@@ -8,7 +8,7 @@ constant, and cells wrap at 180 degrees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.clock import epoch_seconds, from_epoch
@@ -22,6 +22,7 @@ _PART = ("early_part", "late_part")
 # Length of the time slots in which ``nearest_slots`` notes a pair's least distance. Short: the reports
 # of a slot are compared once more. Not too short: a pair has one number per slot.
 _SLOT_SECONDS = 10
+_ENCOUNTER = "encounter"
 
 
 def _cell_degrees(rules: ProximityRules) -> float:
@@ -185,7 +186,7 @@ def _slot(timestamp: Column) -> Column:
 def nearest_slots(
     points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
 ) -> DataFrame:
-    """Per vessel pair: its least distance, and the first time slot of vessel 1 with that distance.
+    """Per vessel pair, or per encounter of one: the least distance, and the first time slot of vessel 1 with that distance.
 
     Two ships moored side by side meet with every report. Their meetings go from the join straight
     into a hash aggregation of one number per pair and slot; they are never sorted or shuffled.
@@ -198,8 +199,20 @@ def nearest_slots(
         _distance("early", "late").alias("distance_nm"),
     )
     slots = met.groupBy("mmsi_1", "mmsi_2", "slot").agg(F.min("distance_nm").alias("distance_nm"))
-    nearest = slots.groupBy("mmsi_1", "mmsi_2").agg(F.min(F.struct("distance_nm", "slot")).alias("nearest"))
-    return nearest.select("mmsi_1", "mmsi_2", "nearest.slot", "nearest.distance_nm")
+    kept = ["mmsi_1", "mmsi_2"]
+    if rules.per == "encounter":
+        in_time = Window.partitionBy("mmsi_1", "mmsi_2").orderBy("slot")
+        pause = (F.col("slot") - F.lag("slot").over(in_time)) * _SLOT_SECONDS
+        fresh = F.coalesce(pause > rules.encounter_gap_seconds, F.lit(True)).cast("int")
+        slots = slots.withColumn("fresh", fresh).withColumn(_ENCOUNTER, F.sum("fresh").over(in_time)).drop("fresh")
+        kept.append(_ENCOUNTER)
+    nearest = slots.groupBy(*kept).agg(F.min(F.struct("distance_nm", "slot")).alias("nearest"))
+    return nearest.select(*kept, "nearest.slot", "nearest.distance_nm")
+
+
+def _pair_key(table: DataFrame) -> list[str]:
+    """What a row of the result is for: the vessel pair, and its encounter if there may be several."""
+    return ["mmsi_1", "mmsi_2", *([_ENCOUNTER] if _ENCOUNTER in table.columns else [])]
 
 
 def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = ProximityRules()) -> DataFrame:
@@ -218,10 +231,11 @@ def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = Prox
         F.struct(F.lit(1).alias("side"), F.col("mmsi_1").alias("mmsi"), F.array("slot").alias("slots")),
         F.struct(F.lit(2).alias("side"), F.col("mmsi_2").alias("mmsi"), around.alias("slots")),
     )
-    visits = nearest.select("mmsi_1", "mmsi_2", "distance_nm", F.inline(sides)).withColumn("slot", F.explode("slots"))
+    key = _pair_key(nearest)
+    visits = nearest.select(*key, "distance_nm", F.inline(sides)).withColumn("slot", F.explode("slots"))
     heard = visits.join(_fixes(points, "name").withColumn("slot", _slot(F.col("timestamp"))), ["mmsi", "slot"])
     fix = F.struct("timestamp", "latitude", "longitude", "name")
-    gathered = heard.groupBy("mmsi_1", "mmsi_2", "distance_nm").agg(
+    gathered = heard.groupBy(*key, "distance_nm").agg(
         *(F.collect_list(F.when(F.col("side") == side, fix)).alias(f"fixes_{side}") for side in (1, 2))
     )
     both = gathered.withColumn("one", F.explode("fixes_1")).withColumn("two", F.explode("fixes_2"))
@@ -229,8 +243,7 @@ def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = Prox
     # Room for the last bit, in which two machines' sines may differ.
     least = F.col("distance_nm") * F.lit(1 + 1e-12) + F.lit(1e-15)
     return both.filter((F.abs(apart) <= rules.gap_seconds) & (_distance("one", "two") <= least)).select(
-        "mmsi_1",
-        "mmsi_2",
+        *key,
         F.col("one.name").alias("name_1"),
         F.col("two.name").alias("name_2"),
         F.col("one.timestamp").alias("timestamp_1"),
@@ -242,11 +255,11 @@ def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = Prox
 
 
 def closest_approach(pairs: DataFrame) -> DataFrame:
-    """One candidate per vessel pair: its closest two reports, ties broken by the earlier times.
+    """One candidate per vessel pair (or encounter): its closest two reports, ties broken by the earlier times.
 
     An aggregation, not a ranking: each map task sends on one row per vessel pair.
     """
-    best = pairs.groupBy("mmsi_1", "mmsi_2").agg(
+    best = pairs.groupBy(*_pair_key(pairs)).agg(
         F.min(
             F.struct("distance_nm", "timestamp_1", "timestamp_2", "name_1", "name_2", "latitude", "longitude")
         ).alias("best")

@@ -68,6 +68,9 @@ class ProximityRules:
     only. Cells left at ``None`` follow from the limits: four times the distance limit and twice the
     time limit, which replicates a report about 3.4 times instead of the 27 of a full neighbourhood.
     ``split_rows`` is the number of reports above which one cell is divided between tasks.
+
+    ``per="pair"`` keeps one closest approach per vessel pair. ``per="encounter"`` keeps one per encounter: meetings of a pair
+    with no more than ``encounter_gap_seconds`` between them, counted in slots of ten seconds.
     """
 
     distance_nm: float = 0.05
@@ -75,8 +78,12 @@ class ProximityRules:
     cell_degrees: float | None = None
     bucket_seconds: int | None = None
     split_rows: int = 4096
+    per: str = "pair"
+    encounter_gap_seconds: int = 3600
 
     def __post_init__(self) -> None:
+        if self.per not in ("pair", "encounter"):
+            raise ValueError(f"unknown per {self.per!r}")
         if self.distance_nm <= 0 or self.gap_seconds < 0:
             raise ValueError("distance_nm must be positive and gap_seconds not negative")
         if self.cell_degrees is not None and not 0 < self.cell_degrees <= 90:

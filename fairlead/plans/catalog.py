@@ -208,6 +208,13 @@ def closest_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(encounters(spark, sf_dir)[1])
 
 
+def encounter_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several encounters per pair: meetings more than a minute apart are two."""
+    rules = Rules(proximity=ProximityRules(per="encounter", encounter_gap_seconds=60))
+    staging = Staging(spark)
+    return shown(stage_candidates(stage_tracks(positions(spark, sf_dir), staging, rules), staging, rules))
+
+
 def candidate_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(behaviour.candidate_sides(encounters(spark, sf_dir)[1]))
 
@@ -321,6 +328,7 @@ QUERIES: dict[str, Query] = {
     "proximity_pairs": proximity_pairs,
     "proximity_pairs_split": proximity_pairs_split,
     "closest_approach": closest_approach,
+    "encounter_candidates": encounter_candidates,
     "candidate_sides": candidate_sides,
     "before_stats": before_stats,
     "after_stats": after_stats,

@@ -169,20 +169,34 @@ pairs AS (
   WHERE a.mmsi < b.mmsi AND abs(a.sec - b.sec) <= 60
     AND {_distance("a.latitude", "a.longitude", "b.latitude", "b.longitude")} <= 0.05::DOUBLE)"""
 
+_CANDIDATE_ROWS = f"""candidates AS (
+  SELECT sha256(mmsi_1 || '|' || mmsi_2 || '|' || strftime(met, {_STAMP})) AS candidate_id, mmsi_1, mmsi_2, name_1, name_2,
+         met AS collision_time, latitude AS collision_latitude, longitude AS collision_longitude,
+         distance_nm AS minimum_distance_nm
+  FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds((sec_1 + sec_2) // 2) AS met FROM ranked WHERE place = 1))"""
+
 CANDIDATES = f"""{PAIRS},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY mmsi_1, mmsi_2 ORDER BY distance_nm, timestamp_1, timestamp_2) AS place
   FROM pairs),
-candidates AS (
-  SELECT sha256(mmsi_1 || '|' || mmsi_2 || '|' || strftime(met, {_STAMP})) AS candidate_id, mmsi_1, mmsi_2, name_1, name_2,
-         met AS collision_time, latitude AS collision_latitude, longitude AS collision_longitude,
-         distance_nm AS minimum_distance_nm
-  FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds((sec_1 + sec_2) // 2) AS met FROM ranked WHERE place = 1)),
+{_CANDIDATE_ROWS},
 sides AS (
   SELECT candidate_id, collision_time, '1' AS vessel_side, mmsi_1 AS mmsi FROM candidates
   UNION ALL
   SELECT candidate_id, collision_time, '2' AS vessel_side, mmsi_2 AS mmsi FROM candidates)"""
 
+ENCOUNTERS = f"""{PAIRS},
+slots AS (SELECT DISTINCT mmsi_1, mmsi_2, sec_1 // 10 AS slot FROM pairs),
+marked AS (
+  SELECT *, coalesce(10 * (slot - lag(slot) OVER w) > 60, true) AS fresh FROM slots
+  WINDOW w AS (PARTITION BY mmsi_1, mmsi_2 ORDER BY slot)),
+sessions AS (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY mmsi_1, mmsi_2 ORDER BY slot) AS encounter FROM marked),
+ranked AS (
+  SELECT p.*, row_number() OVER (PARTITION BY mmsi_1, mmsi_2, encounter ORDER BY distance_nm, timestamp_1, timestamp_2) AS place
+  FROM pairs p JOIN sessions s USING (mmsi_1, mmsi_2) WHERE s.slot = p.sec_1 // 10),
+{_CANDIDATE_ROWS}"""
+
 STATS = f"""{CANDIDATES},
 before_rows AS (
   SELECT s.candidate_id, s.vessel_side, t.* FROM sides s JOIN tracks t ON s.mmsi = t.mmsi
@@ -434,6 +448,7 @@ def statements() -> dict[str, str]:
         "proximity_pairs": pairs,
         "proximity_pairs_split": pairs,
         "closest_approach": _with(CANDIDATES, candidates),
+        "encounter_candidates": _with(ENCOUNTERS, candidates),
         "candidate_sides": _with(
             CANDIDATES, f"SELECT candidate_id, {_text_time('collision_time')}, vessel_side, mmsi FROM sides"
         ),
