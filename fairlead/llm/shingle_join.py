@@ -178,8 +178,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFram
     return sets.groupBy("c").agg(*(F.first(n).alias(n) for n in ("size", "sketch", "wide", "items")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules, staging: Staging, name: str) -> DataFrame:
-    """The pairs (x, y) that are linked: sizes and sketches are compared first, then the whole sets."""
+def close_in_sketch(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+    """The pairs (x, y) whose sizes and sketches allow a link, and how many bits their sketches are apart."""
     p = rules.percent
     for side in ("x", "y"):
         shape = sets.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
@@ -192,11 +192,17 @@ def verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules, staging: Stagi
             total = batch.column("size_x").to_numpy() + batch.column("size_y").to_numpy()
             wide = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"wide_{side}")] for side in "xy")
             apart = np.array([_apart(one, other) for one, other in zip(*wide, strict=True)], np.int64)
-            kept = batch.filter(pa.array(apart * (100 + p) <= total * (100 - p)))
-            yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
+            near_enough = pa.array(apart * (100 + p) <= total * (100 - p))
+            columns = [c.filter(near_enough) for c in (batch.column("x"), batch.column("y"), pa.array(apart))]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "apart"])
+
+    columns = ("x", "y", "size_x", "size_y", "wide_x", "wide_y")
+    return in_batches(pairs.select(*columns), near, "x long, y long, apart long")
+
 
-    close = in_batches(pairs.select("x", "y", "size_x", "size_y", "wide_x", "wide_y"), near, "x long, y long")
-    close = staging.keep(close, f"close_{name}")
+def linked_pairs(close: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+    """The pairs (x, y) that are linked, by their whole sets."""
+    p = rules.percent
     for side in ("y", "x"):
         close = close.join(sets.select(F.col("c").alias(side), F.col("items").alias(f"items_{side}")), side)
 
@@ -333,7 +339,7 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     one_text = shape.groupBy("c").agg(F.min("text_hash").alias("text_hash"))
     wanted = one_text.join(members.select("c").distinct(), "c", "left_semi").select("text_hash")
     sets = staging.keep(class_sets(docs, wanted, rules), "sets")
-    links = staging.keep(verified(stars, sets, rules, staging, "1"), "links_1")
+    links = staging.keep(linked_pairs(close_in_sketch(stars, sets, rules), sets, rules), "links_1")
 
     left = staging.keep(_rooted(members, components(links, staging, "roots_1")), "left_1")
     small = left.filter(F.col("members") <= rules.small)
@@ -348,15 +354,33 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     looks = sets.select("c", "size", "sketch")
     connecting = close_pairs(large.join(looks, "c"), rules, all_of_them=False)
     pairs = pairs.unionByName(connecting).distinct().join(stars, ["x", "y"], "left_anti")
-    links = staging.keep(links.unionByName(verified(staging.keep(pairs, "pairs_2"), sets, rules, staging, "2")), "links_2")
+    links = _more_links(links, pairs, sets, staging, rules, "2")
     roots = components(links, staging, "roots_2")
 
     large = staging.keep(_rooted(large, roots), "left_2")
     if large.isEmpty():
         return roots
     rest = close_pairs(large.join(looks, "c"), rules, all_of_them=True)
-    more = verified(staging.keep(rest, "pairs_3"), sets, rules, staging, "3")
-    return components(links.unionByName(more), staging, "roots_3")
+    return components(_more_links(links, rest, sets, staging, rules, "3"), staging, "roots_3")
+
+
+def _more_links(links: DataFrame, pairs: DataFrame, sets: DataFrame, staging: Staging, rules: JoinRules, name: str) -> DataFrame:
+    """``links`` and enough of those among ``pairs`` to connect the same classes as all of them would.
+
+    Whole sets are sent only where they can matter: first for the closest pairs of each class, then for the pairs that these have not connected.
+    """
+    close = close_in_sketch(pairs, sets, rules)
+    places = (F.row_number().over(Window.partitionBy(side).orderBy("apart", "x", "y")) for side in ("x", "y"))
+    close = staging.keep(close.withColumn("first", F.least(*places) <= 2), f"close_{name}")
+    best = linked_pairs(close.filter("first").select("x", "y"), sets, rules)
+    links = staging.keep(links.unionByName(best), f"links_{name}a")
+    roots = components(links, staging, f"roots_{name}a")
+    rest = close.filter("not first").select("x", "y")
+    for side in ("x", "y"):
+        top = roots.select(F.col("c").alias(side), F.col("root").alias(f"root_{side}"))
+        rest = rest.join(top, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    rest = staging.keep(rest.filter("root_x <> root_y").select("x", "y"), f"rest_{name}")
+    return staging.keep(links.unionByName(linked_pairs(rest, sets, rules)), f"links_{name}")
 
 
 def similar_documents(docs: DataFrame, staging: Staging, rules: JoinRules = JoinRules()) -> DataFrame:
