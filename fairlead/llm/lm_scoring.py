@@ -86,11 +86,10 @@ def bigram_counts(docs: DataFrame, vocabulary: np.ndarray, rules: ModelRules) ->
             cells, n = np.unique(before * size + words, return_counts=True)
             table[cells] += n
         cells = np.flatnonzero(table)
-        columns = [pa.array(cells // size), pa.array(cells % size), pa.array(table[cells])]
-        yield pa.RecordBatch.from_arrays(columns, ["before", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
 
-    counts = in_batches(docs.select("text"), counted, "before long, word long, n long")
-    return counts.groupBy("before", "word").agg(F.sum("n").alias("n"))
+    counts = in_batches(docs.select("text"), counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return counts.select(F.expr(f"cell div {size}").alias("before"), (F.col("cell") % size).alias("word"), "n")
 
 
 @dataclass(frozen=True)
@@ -175,10 +174,13 @@ def score(docs: DataFrame, models: BigramModels) -> DataFrame:
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents labelled as of high quality and not toxic. Only texts that pass the bitmap of their ids are joined."""
+    """Documents labelled as of high quality and not toxic. Only texts that pass the bitmap of their ids are joined.
+
+    The join is by sorted ids at every size: labels grow with the documents, so they aren't broadcast while they are few.
+    """
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     likely = may_hold(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", row_filter(good, "doc_id"))
-    return likely.join(good, "doc_id", "left_semi")
+    return likely.join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
