@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import documents, in_batches, may_hold, portions, row_filter, ship
 from fairlead.llm.words import PUNCTUATION, word_hashes
+from fairlead.sources.tables import Staging
 
 #: Numbers of what is no word: a word outside the vocabulary, and the start of a document.
 UNKNOWN, START = 0, 1
@@ -111,7 +112,7 @@ def losses(counts: np.ndarray, unigrams: np.ndarray, rules: ModelRules) -> np.nd
     return -np.log((counts - taken + taken.sum() * single) / total)
 
 
-def fit(docs: DataFrame, target: DataFrame, rules: ModelRules = ModelRules()) -> BigramModels:
+def fit(docs: DataFrame, target: DataFrame, staging: Staging, rules: ModelRules = ModelRules()) -> BigramModels:
     """Both models; their counts cover all of ``docs`` and all of ``target``.
 
     What reaches the driver is bounded by the vocabulary: its words, its unigram counts, and a row of losses for each word.
@@ -121,6 +122,7 @@ def fit(docs: DataFrame, target: DataFrame, rules: ModelRules = ModelRules()) ->
     cells = bigram_counts(target, vocabulary, rules).withColumn("kind", F.lit("target")).unionByName(
         bigram_counts(docs, vocabulary, rules).withColumn("kind", F.lit("background"))
     )
+    cells = staging.keep(cells, "bigrams")  # read twice
     size = rules.vocabulary
     singles = {kind: np.zeros(size) for kind in ("target", "background")}
     for row in cells.groupBy("kind", "word").agg(F.sum("n").alias("n")).collect():
@@ -186,4 +188,4 @@ def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     target = labelled_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, fit(docs, target))
+    return score(docs, fit(docs, target, Staging(spark)))

@@ -85,11 +85,11 @@ def brute_losses(texts, target, vocabulary, rules):
     return result
 
 
-def test_language_model_scores(spark):
+def test_language_model_scores(spark, staging):
     texts = [f"the cat sat on mat{i % 3}" for i in range(30)] + [f"buy cheap cheap pills {i}" for i in range(30)] + ["", None]
     rows = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
     rules = lm_scoring.ModelRules(vocabulary=8, held=5)
-    models = lm_scoring.fit(rows, rows.filter("doc_id < 30"), rules)
+    models = lm_scoring.fit(rows, rows.filter("doc_id < 30"), staging, rules)
     assert np.exp(-models.target).sum(axis=1) == pytest.approx(1, abs=1e-4)
     got = {r.doc_id: r for r in lm_scoring.score(rows, models).collect()}
     counts = {"cheap": 60, "the": 30, "cat": 30, "sat": 30, "on": 30, "buy": 30, "pills": 30}
