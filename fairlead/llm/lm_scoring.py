@@ -2,6 +2,9 @@
 
 The target model is counted on the documents of a wanted kind, the background model on all. Both have the same vocabulary, smoothing
 and order, so that a difference of losses says which kind of text a document is, not how the models were made.
+
+``score_whole`` counts every word and every bigram; its models are Spark tables that grow with the documents. ``fit`` and ``score``
+are for models of a bounded vocabulary that fit into every task.
 """
 
 from __future__ import annotations
@@ -13,29 +16,33 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import documents, in_batches, may_hold, portions, row_filter, ship
-from fairlead.llm.words import PUNCTUATION, word_hashes
+from fairlead.llm.words import PUNCTUATION, scramble, word_hashes
 from fairlead.sources.tables import Staging
 
 #: Numbers of what is no word: a word outside the vocabulary, and the start of a document.
 UNKNOWN, START = 0, 1
+#: What ``score_whole`` reads off a text: a row of its own, and one per bigram that isn't common.
+NAMES = ["row", "doc_id", "n_words", "target_sum", "background_sum", "before", "word", "n"]
 
 
 @dataclass(frozen=True)
 class ModelRules:
     """``vocabulary``: the most frequent words of the background, with two more entries for unknown words and starts.
 
-    It bounds the models: two tables of its square. ``discount`` is taken off each bigram seen and given to the unigrams, whose
-    counts start at ``prior``. A task counts up to ``held`` distinct words before it hands them on.
+    It bounds the models of ``fit``: two tables of its square. ``discount`` is taken off each bigram seen and given to the unigrams, whose
+    counts start at ``prior``. A task counts up to ``held`` distinct words or bigrams before it hands them on. Words and bigrams with more than
+    one ``common``-th of all counts, so fewer than ``common``, are looked up in each task; all others are joined.
     """
 
     vocabulary: int = 2048
     discount: float = 0.75
     prior: float = 0.5
     held: int = 1_000_000
+    common: int = 65_536
 
 
 def word_counts(docs: DataFrame, rules: ModelRules) -> DataFrame:
@@ -175,6 +182,144 @@ def score(docs: DataFrame, models: BigramModels) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), scored, schema)
 
 
+def _word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash before each word, START for a text's first, the word's, and where each text's words begin (and the last end)."""
+    words, bounds = word_hashes(column, PUNCTUATION)
+    before, words = _bigrams(words.view(np.int64), bounds)
+    return before, words, bounds
+
+
+def _summed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The distinct rows of the keys, in order, and the sums of ``n``."""
+    order = np.lexsort(keys[::-1])
+    keys, n = tuple(k[order] for k in keys), n[order]
+    fresh = np.ones(len(n), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(fresh)
+    return tuple(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n
+
+
+def pair_counts(docs: DataFrame, rules: ModelRules) -> DataFrame:
+    """before, word (hashes) and n: all bigrams of ``docs``. Tasks sum first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def batch() -> pa.RecordBatch:
+            before, words = (np.concatenate([np.zeros(0, np.int64), *(w[i] for w in waiting)]) for i in (0, 1))
+            keys, n = _summed((before, words), np.ones(len(words), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(n)], ["before", "word", "n"])
+
+        for part in portions(batches):
+            waiting.append(_word_pairs(part.column("text"))[:2])
+            if sum(len(w) for _, w in waiting) > rules.held:
+                yield batch()
+                waiting.clear()
+        yield batch()
+
+    counts = in_batches(docs.select("text"), counted, "before long, word long, n long")
+    return counts.groupBy("before", "word").agg(F.sum("n").alias("n"))
+
+
+def _with_stats(bigrams: DataFrame, stats: DataFrame, side: str, size: str, least: float) -> DataFrame:
+    """Bigrams with the numbers of their word on this side. Those of common words are broadcast, their rows dealt out by bigram."""
+    names = [c for c in stats.columns if c != side]
+    common = stats.filter(F.col(size) > least).select(side, *(F.col(c).alias(f"common_{c}") for c in names))
+    rare = stats.filter(F.col(size) <= least).withColumnRenamed(side, "rare")
+    known = bigrams.join(F.broadcast(common), side, "left")
+    key = F.when(F.col(f"common_{size}").isNull(), F.col(side)).otherwise(F.xxhash64("before", "word"))
+    joined = known.withColumn("key", key).join(rare, F.col("key") == F.col("rare"), "left")
+    return joined.select(*bigrams.columns, *(F.coalesce(F.col(f"common_{c}"), F.col(c)).alias(c) for c in names))
+
+
+def pair_losses(docs: DataFrame, target: DataFrame, staging: Staging, rules: ModelRules = ModelRules()) -> tuple[DataFrame, DataFrame]:
+    """before, word, target and background: the losses -log P(word | before) of both models, of the common and of the other bigrams of ``docs``.
+
+    ``target`` holds some of ``docs``. The vocabulary is all words of ``docs``, an unknown one and the start.
+    """
+    kinds = pair_counts(docs, rules).withColumn("t", F.lit(0).cast("long")).unionByName(
+        pair_counts(target, rules).select("before", "word", F.lit(0).cast("long").alias("n"), F.col("n").alias("t"))
+    )
+    bigrams = staging.keep(kinds.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
+    taken = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(rules.discount))).alias(f"taken_{c}") for c in "nt"}
+    after = bigrams.groupBy("before").agg(F.sum("n").alias("after_n"), F.sum("t").alias("after_t"), *taken.values())
+    after = staging.keep(after, "after")
+    single = staging.keep(bigrams.groupBy("word").agg(F.sum("n").alias("single_n"), F.sum("t").alias("single_t")), "single")
+    whole = single.agg(F.sum("single_n").alias("n"), F.sum("single_t").alias("t"), F.count(F.lit(1)).alias("words")).first()
+    least = (whole["n"] or 0) / rules.common
+
+    def loss(c: str) -> Column:
+        mass = (whole[c] or 0) + rules.prior * (whole["words"] + 2)
+        alone = (F.col(f"single_{c}") + F.lit(rules.prior)) / F.lit(mass)
+        seen = F.col(c) - F.least(F.col(c).cast("double"), F.lit(rules.discount)) + F.col(f"taken_{c}") * alone
+        return -F.log(F.when(F.col(f"after_{c}") > 0, seen / F.col(f"after_{c}")).otherwise(alone))
+
+    losses = ["before", "word", loss("t").cast("float").alias("target"), loss("n").cast("float").alias("background")]
+    # Both words of a common bigram are common.
+    common = bigrams.filter(F.col("n") > least)
+    for stats, side, size in ((after, "before", "after_n"), (single, "word", "single_n")):
+        common = common.join(F.broadcast(stats.filter(F.col(size) > least)), side)
+    rare = _with_stats(bigrams.filter(F.col("n") <= least), after, "before", "after_n", least)
+    rare = _with_stats(rare, single, "word", "single_n", least)
+    return common.select(*losses), rare.select(*losses)
+
+
+def score_whole(docs: DataFrame, target: DataFrame, staging: Staging, rules: ModelRules = ModelRules()) -> DataFrame:
+    """As ``score``, by models of all words: the target's of ``target``, some of ``docs``, and the background's of all ``docs``.
+
+    Common bigrams are summed where a text is read. The others go to the table of losses as one row per text and bigram, and their sums back
+    to the text; none of them has more than one ``common``-th of all rows.
+    """
+    common, rare = pair_losses(docs, target, staging, rules)
+    common = common.orderBy("before", "word").toPandas()  # fewer than ``rules.common`` rows
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(common[c].to_numpy() for c in ("before", "word", "target", "background")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_before, table_words, *tables = shared.value
+        keys = scramble(table_before.view(np.uint64)) + table_words.view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        for batch in portions(batches):
+            before, words, bounds = _word_pairs(batch.column("text"))
+            n = np.diff(bounds)
+            text = np.repeat(np.arange(len(n)), n)
+            sums, known = [np.zeros(len(n))] * 2, np.zeros(len(words), bool)
+            if len(keys):
+                key = scramble(before.view(np.uint64)) + words.view(np.uint64)
+                at = order[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
+                known = (table_before[at] == before) & (table_words[at] == words)
+                sums = [np.bincount(text[known], table[at[known]], minlength=len(n)) for table in tables]
+            (row, before, words), times = _summed((text[~known], before[~known], words[~known]), np.ones((~known).sum(), np.int64))
+            rows, ids = batch.column("row"), batch.column("doc_id")
+            # A text's own row has n = 0 and meets no bigram.
+            alone = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [rows, ids, pa.array(n), *map(pa.array, sums), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(alone)],
+                NAMES,
+            )
+            nothing = [pa.nulls(len(row), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(row)), *nothing, *map(pa.array, (before, words, times))], NAMES)
+
+    layout = "row long, doc_id long, n_words long, target_sum double, background_sum double, before long, word long, n long"
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = in_batches(texts, read, layout)
+    key = F.when(F.col("n") > 0, F.xxhash64("before", "word")).otherwise(F.xxhash64("row")).alias("pair")
+    rare = rare.select(F.xxhash64("before", "word").alias("pair"), "target", "background")
+    met = parts.select("row", "doc_id", "n_words", "target_sum", "background_sum", "n", key).join(rare, "pair", "left")
+
+    def total(kind: str) -> Column:
+        own = F.coalesce(F.sum(f"{kind}_sum"), F.lit(0.0))
+        rest = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(kind))), F.lit(0.0))
+        return (own + rest).alias(f"{kind}_total")
+
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), total("target"), total("background"))
+    means = {kind: F.when(F.col("n_words") > 0, F.col(f"{kind}_total") / F.col("n_words")) for kind in ("target", "background")}
+    return sums.select(
+        "doc_id", "n_words", means["target"].alias("target_loss"), means["background"].alias("background_loss"),
+        (means["target"] - means["background"]).alias("score"),
+    )
+
+
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled as of high quality and not toxic. Only texts that pass the bitmap of their ids are joined.
 
@@ -188,4 +333,4 @@ def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     target = labelled_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, fit(docs, target, Staging(spark)))
+    return score_whole(docs, target, Staging(spark))

@@ -101,6 +101,33 @@ def test_language_model_scores(spark, staging):
     assert got[0].score < 0 < got[40].score and got[61].score is None and got[60].n_words == 0
 
 
+@pytest.mark.parametrize("common", [4, 65_536])
+def test_language_model_of_all_words(spark, staging, common):
+    texts = [f"the cat sat on mat{i % 3}" for i in range(30)] + [f"buy cheap cheap pills {i}" for i in range(30)] + ["", None]
+    rows = spark.createDataFrame([(i % 61 or None, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+    words = {w for t in texts for w in (t or "").split()}
+    rules = lm_scoring.ModelRules(vocabulary=len(words) + 2, held=5, common=common)
+    found = lm_scoring.score_whole(rows, rows.filter("doc_id < 30 or text like '%mat0'"), staging, rules).collect()
+    want = brute_losses(texts, texts[:30], words, rules)
+    rounded = lambda *x: tuple(v if v is None else round(v, 4) for v in x)
+    expected = [(i % 61 or None, len((t or "").split()), *rounded(want["target"][i], want["background"][i])) for i, t in enumerate(texts)]
+    assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.n_words, *rounded(r.target_loss, r.background_loss))) for r in found)
+
+
+def test_rare_words_keep_their_identity(spark, tmp_path):
+    texts = [" ".join(f"{'good' if i < 20 else 'bad'}{j}" for j in range(i % 20, 2000, 20)) for i in range(40)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < 20), 0) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    words = {w for t in texts for w in t.split()}
+    assert len(words) == 4000
+    want = brute_losses(texts, texts[:20], words, lm_scoring.ModelRules(vocabulary=4002))
+    found = lm_scoring.op8_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(found) == 40
+    for r in found:
+        assert r.target_loss == pytest.approx(want["target"][r.doc_id]) and r.background_loss == pytest.approx(want["background"][r.doc_id])
+
+
 def test_roles_are_recovered(spark, staging):
     layout = "conv_id long, turn long, role string, text string, part string"
     rows = []
