@@ -203,6 +203,10 @@ def test_neighbours(spark, staging):
     assert nearest(table.filter("false"), "vec_id = 0", staging).count() == 0
 
 
+def test_neighbours_are_missed_with_two_per_cent_at_most():
+    assert NeighbourRules().chance >= 0.98
+
+
 def test_quantile_of_chi_square():
     assert chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
     assert chi_square_quantile(0.99, 2) == pytest.approx(9.2103, abs=1e-3)
