@@ -36,11 +36,15 @@ STATES = [(role, begins) for role in range(len(ROLES)) for begins in (True, Fals
 
 @dataclass(frozen=True)
 class TranscriptRules:
-    """A task decodes ``window`` messages of a conversation, with ``context`` more on either side. Counts start at ``prior``."""
+    """A task decodes ``window`` messages of a conversation, or joins ``fan`` such stretches. Counts start at ``prior``.
+
+    For counting, a window has ``context`` more messages on either side.
+    """
 
     window: int = 256
     context: int = 16
     prior: float = 0.5
+    fan: int = 256
 
 
 @dataclass(frozen=True)
@@ -61,16 +65,18 @@ def line_features(line: str, begins: bool) -> tuple[tuple[int, ...], str]:
     return (marker, int(begins), min(len(rest).bit_length(), SHAPE[2] - 1), ending), rest
 
 
-def windows(messages: DataFrame, staging: Staging, rules: TranscriptRules) -> DataFrame:
-    """Messages with their window, and once more as context of a neighbouring one; a long conversation has many windows.
-
-    Messages are in order of turn, then text; null turns come last.
-    """
+def placed_messages(messages: DataFrame, staging: Staging) -> DataFrame:
+    """Messages with their place in the conversation, and how many it has, in order of turn, then text; null turns come last."""
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("text"), F.col("role")]
     line = staging.keep(numbered(messages, order, staging, "messages"), "ordered")
-    starts = line.groupBy("conv_id").agg(F.min("position").alias("start"))
+    starts = line.groupBy("conv_id").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("messages"))
     placed = line.alias("m").join(starts.alias("s"), F.col("m.conv_id").eqNullSafe(F.col("s.conv_id")))
-    placed = placed.select("m.*", (F.col("position") - F.col("start")).alias("at"))
+    return placed.select("m.*", (F.col("position") - F.col("start")).alias("at"), "messages")
+
+
+def windows(messages: DataFrame, staging: Staging, rules: TranscriptRules) -> DataFrame:
+    """Messages with their window, and once more as context of a neighbouring one; a long conversation has many windows."""
+    placed = placed_messages(messages, staging)
     near = F.array_distinct(
         F.transform(
             F.array(F.lit(-rules.context), F.lit(0), F.lit(rules.context)),
@@ -127,22 +133,92 @@ def fit(messages: DataFrame, staging: Staging, rules: TranscriptRules = Transcri
     return RoleModel(logs["first"][0], logs["next"], tuple(logs[f"seen{i}"] for i in range(len(SHAPE))))
 
 
-def viterbi(features: np.ndarray, model: RoleModel, begins_conversation: bool) -> np.ndarray:
-    """The most likely states; ties go to the first state."""
-    seen = sum(table[:, features[:, i]].T for i, table in enumerate(model.seen))
-    best = seen[0] + (model.first if begins_conversation else 0)
+def _seen(features: np.ndarray, model: RoleModel) -> np.ndarray:
+    return sum(table[:, features[:, i]].T for i, table in enumerate(model.seen))
+
+
+def viterbi(features: np.ndarray, model: RoleModel, begins_conversation: bool, entry: int | None = None, leave: int | None = None) -> np.ndarray:
+    """The most likely states; ties go to the first state. ``entry``: the state before the first line; ``leave``: the last line's, if known."""
+    seen = _seen(features, model)
+    best = seen[0] + (model.first if begins_conversation else 0 if entry is None else model.following[entry])
     back = np.zeros(seen.shape, np.int64)
     for i in range(1, len(seen)):
         ways = best[:, None] + model.following
         back[i] = ways.argmax(axis=0)
         best = ways.max(axis=0) + seen[i]
     path = np.empty(len(seen), np.int64)
-    path[-1] = best.argmax()
+    path[-1] = best.argmax() if leave is None else leave
     for i in range(len(seen) - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path
 
 
+def crossing(features: np.ndarray, model: RoleModel, begins_conversation: bool) -> np.ndarray:
+    """The best score of all lines, by the state before the first and that of the last."""
+    seen = _seen(features, model)
+    best = seen[0] + (np.tile(model.first, (len(STATES), 1)) if begins_conversation else model.following)
+    for own in seen[1:]:
+        best = (best[:, :, None] + model.following).max(axis=1) + own
+    return best
+
+
+def _features(group: pd.DataFrame) -> np.ndarray:
+    return np.array([line_features(line, begins)[0] for _, line, begins in _lines(group)])
+
+
+def window_states(long: DataFrame, model: RoleModel, staging: Staging, rules: TranscriptRules) -> DataFrame | None:
+    """conv_id, window, entry and leave: the states before and at the end of each window, on the best path of the whole conversation.
+
+    ``long``: messages with their window. Crossings are joined ``fan`` at a time until one is left per conversation, whose best end is
+    known; then the states between are found going back down. No task has more than ``window`` messages or ``fan`` crossings.
+    """
+    size = len(STATES)
+
+    def crossed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        best = crossing(_features(group), model, group["at"].iloc[0] == 0)
+        return pd.DataFrame({"conv_id": group["conv_id"].iloc[:1], "node": group["window"].iloc[:1], "best": [best.ravel().tolist()]}).astype({"conv_id": "Int64"})
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        best, *others = (np.array(b).reshape(size, size) for b in group["best"])
+        for other in others:
+            best = (best[:, :, None] + other).max(axis=1)
+        return pd.DataFrame({"conv_id": group["conv_id"].iloc[:1], "node": group["above"].iloc[:1], "best": [best.ravel().tolist()]}).astype({"conv_id": "Int64"})
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        steps = [np.array(b).reshape(size, size) for b in group["best"]]
+        scores = [steps[0][group["entry"].iloc[0]]]
+        for step in steps[1:]:
+            scores.append((scores[-1][:, None] + step).max(axis=0))
+        leave = [int(group["leave"].iloc[0])]
+        for score, step in zip(scores[-2::-1], steps[:0:-1], strict=True):
+            leave.append(int((score + step[:, leave[-1]]).argmax()))
+        leave.reverse()
+        entry = [int(group["entry"].iloc[0]), *leave[:-1]]
+        return pd.DataFrame({"conv_id": group["conv_id"], "node": group["node"], "entry": entry, "leave": leave}).astype({"conv_id": "Int64"})
+
+    layout = "conv_id long, node long, best array<double>"
+    above = F.expr(f"node div {rules.fan}").alias("above")
+    levels = [staging.keep(long.groupBy("conv_id", "window").applyInPandas(crossed, layout), "crossings_0")]
+    while (last := levels[-1].agg(F.max("node")).first()[0]) is not None and last > 0:
+        joins = levels[-1].select("*", above).groupBy("conv_id", "above").applyInPandas(joined, layout)
+        levels.append(staging.keep(joins, f"crossings_{len(levels)}"))
+    if last is None:
+        return None
+    # A conversation's first state doesn't hang on what is before it.
+    ends = F.expr(f"array_position(slice(best, 1, {size}), array_max(slice(best, 1, {size}))) - 1")
+    states = levels[-1].select("conv_id", "node", F.lit(0).cast("long").alias("entry"), ends.alias("leave"))
+    for i, level in reversed(list(enumerate(levels[:-1]))):
+        one, other = level.select("*", above).alias("one"), states.alias("other")
+        same = F.col("one.conv_id").eqNullSafe(F.col("other.conv_id")) & (F.col("one.above") == F.col("other.node"))
+        met = one.join(other, same).select("one.*", "entry", "leave")
+        found = met.groupBy("conv_id", "above").applyInPandas(between, "conv_id long, node long, entry long, leave long")
+        states = staging.keep(found, f"states_{i}")
+    return states.withColumnRenamed("node", "window")
+
+
 def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip()}\n<|end|>"
 
@@ -152,26 +228,25 @@ def recover_turns(messages: DataFrame, model: RoleModel, staging: Staging, rules
 
     A message may hold lines of several speakers; each that the model tells apart is a part, numbered from 0. A part that goes on with
     the last message's turn is a part of its own. Null text is one empty line; null conv_ids are one conversation. Repeated rows are messages of their own.
-    Conversations of more than ``window`` messages are decoded by windows, each with the context around it. Other columns are not read.
+    Conversations of more than ``window`` messages are decoded by windows between states known from the whole conversation. Other columns are not read.
     """
 
     def decoded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
         lines = [(number, *line_features(line, begins)) for number, line, begins in _lines(group)]
-        path = viterbi(np.array([features for _, features, _ in lines]), model, group["at"].iloc[0] == 0)
+        entry, leave = (None if pd.isna(group[c].iloc[0]) else int(group[c].iloc[0]) for c in ("entry", "leave"))
+        path = viterbi(np.array([features for _, features, _ in lines]), model, group["at"].iloc[0] == 0, entry, leave)
         found: list[list] = []
-        inside = (group["at"] // rules.window == group["window"]).tolist()
         conv, turns = group["conv_id"].tolist(), group["turn"].tolist()
         last = None
         for (number, _, rest), state in zip(lines, path.tolist(), strict=True):
             role, begins = STATES[state]
-            if inside[number]:
-                if last is None or last[0] != number:
-                    found.append([conv[number], turns[number], 0, ROLES[role], [rest]])
-                elif begins or last[1] != role:
-                    found.append([conv[number], turns[number], found[-1][2] + 1, ROLES[role], [rest]])
-                else:
-                    found[-1][4].append(rest)
+            if last is None or last[0] != number:
+                found.append([conv[number], turns[number], 0, ROLES[role], [rest]])
+            elif begins or last[1] != role:
+                found.append([conv[number], turns[number], found[-1][2] + 1, ROLES[role], [rest]])
+            else:
+                found[-1][4].append(rest)
             last = (number, role)
         rows = [(c, t, part, role, render(role, "\n".join(text))) for c, t, part, role, text in found]
         return pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "rendered"]).astype(
@@ -180,7 +255,14 @@ def recover_turns(messages: DataFrame, model: RoleModel, staging: Staging, rules
 
     ship(messages.sparkSession.sparkContext)
     plain = messages.select("conv_id", "turn", "text").withColumn("role", F.lit(None).cast("string"))
-    return windows(plain, staging, rules).groupBy("conv_id", "window").applyInPandas(
+    placed = placed_messages(plain, staging).withColumn("window", F.expr(f"at div {rules.window}"))
+    states = window_states(placed.filter(F.col("messages") > rules.window), model, staging, rules)
+    if states is None:
+        known = placed.select("*", *(F.lit(None).cast("long").alias(c) for c in ("entry", "leave")))
+    else:
+        same = F.col("m.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("m.window") == F.col("s.window"))
+        known = placed.alias("m").join(states.alias("s"), same, "left").select("m.*", "entry", "leave")
+    return known.groupBy("conv_id", "window").applyInPandas(
         decoded, "conv_id long, turn long, part long, role string, rendered string"
     )
 

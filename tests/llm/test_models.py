@@ -174,6 +174,34 @@ def test_long_conversations_are_decoded_by_windows(spark, staging):
     assert {r.turn: r.role for r in found} == {t: role for _, t, role, _ in rows} and len(found) == 57
 
 
+def test_long_conversations_are_decoded_as_one_chain(spark, staging):
+    # Only the first message tells who speaks: afterwards users and assistants take turns, and no line says more than another.
+    size = len(transcripts.STATES)
+    user, assistant = (transcripts.STATES.index((role, True)) for role in (1, 2))
+    first, following = np.full(size, 0.001), np.full((size, size), 0.001)
+    first[assistant] = following[user, assistant] = following[assistant, user] = 0.995
+    model = transcripts.RoleModel(np.log(first), np.log(following), tuple(np.full((size, n), -np.log(n)) for n in transcripts.SHAPE))
+    rows = [(c, t, f"line {t}") for c, n in ((1, 301), (2, 10), (None, 45), (3, 11)) for t in range(n)]
+    rules = transcripts.TranscriptRules(window=10, context=4, fan=4)
+    found = transcripts.recover_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model, staging, rules).collect()
+    assert {(r.conv_id, r.turn): r.role for r in found} == {(c, t): "user" if t % 2 else "assistant" for c, t, _ in rows}
+    assert len(found) == len(rows)
+
+
+def test_crossings_join_to_the_whole():
+    rng = np.random.default_rng(4)
+    size = len(transcripts.STATES)
+    logs = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    model = transcripts.RoleModel(logs(1, size)[0], logs(size, size), tuple(logs(size, n) for n in transcripts.SHAPE))
+    features = np.stack([rng.integers(0, n, 60) for n in transcripts.SHAPE], axis=1)
+    path = transcripts.viterbi(features, model, True)
+    one, other = transcripts.crossing(features[:25], model, True), transcripts.crossing(features[25:], model, False)
+    best = (one[0][:, None] + other).max(axis=0)
+    assert best == pytest.approx(transcripts.crossing(features, model, True)[0])
+    assert best.argmax() == path[-1]
+    assert (transcripts.viterbi(features[25:], model, False, path[24], path[-1]) == path[25:]).all()
+
+
 def test_neighbours(spark, staging):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=16).round(3).tolist(), "x") for i in range(1200)]
