@@ -8,6 +8,7 @@ from fairlead.llm.lm_scoring import op8_lm_scoring
 from fairlead.llm.mixing import op1_mixing
 from fairlead.llm.neighbours import op5_neighbours
 from fairlead.llm.packing import op4_packing
+from fairlead.llm.periodic_runs import op11_periodic_runs
 from fairlead.llm.shingle_join import op10_shingle_join
 from fairlead.llm.tokens import op2_token_counts
 from fairlead.llm.toxicity import op9_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_shingle_join": op10_shingle_join,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL = {
