@@ -10,33 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.schema import DAY, POSITION_COLUMNS, POSITION_SCHEMA, expect
-
-# The batch that wrote a row.
-BATCH = "ingest"
-
+from fairlead.sources.daytable import BATCH, DayTable
 
 def with_day(positions: DataFrame) -> DataFrame:
     return positions.withColumn(DAY, F.to_date("timestamp"))
 
 
-def write_positions(positions: DataFrame, path: str, mode: str = "append", batch: str | None = None) -> None:
+def write_positions(
+    positions: DataFrame, path: str, mode: str = "append", batch: str | None = None, again: str = "refuse"
+) -> None:
     """Positions as Parquet, one folder per day and batch, so that a period query reads only its days.
 
     A batch written again under its name takes the place of what it wrote before, so a job that is repeated after a
     failure adds nothing twice; batches of other names, also from other jobs, stay. Without a name it
-    is a new batch. ``mode="overwrite"`` begins the table anew. No shuffle: report files come by day, so a task writes to one or two folders.
+    is a new batch. Days merged by ``merge_positions`` are final; see ``DayTable.append`` for ``again``.
+    ``mode="overwrite"`` begins the table anew. No shuffle: report files come by day, so a task writes to one or two folders.
     """
-    rows = with_day(expect(positions, POSITION_SCHEMA)).withColumn(BATCH, F.lit(batch or f"batch-{uuid.uuid4().hex}"))
-    writer = rows.write.partitionBy(DAY, BATCH)
+    rows = with_day(expect(positions, POSITION_SCHEMA))
     if mode == "append":
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        DayTable(positions.sparkSession, path).append(rows, batch, again)
     else:
-        writer.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
+        named = rows.withColumn(BATCH, F.lit(batch or f"batch-{uuid.uuid4().hex}"))
+        named.write.partitionBy(DAY, BATCH).mode(mode).option("partitionOverwriteMode", "static").parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """Positions written by ``write_positions``, optionally of some days only (both ends included)."""
-    table = spark.read.parquet(path)
+    table = DayTable(spark, path).read(first=first_day, last=last_day)
     if first_day is not None:
         table = table.filter(F.col(DAY) >= F.lit(first_day).cast("date"))
     if last_day is not None:
@@ -44,6 +44,14 @@ def read_positions(spark: SparkSession, path: str, first_day: str | None = None,
     return expect(table, POSITION_SCHEMA).select(*POSITION_COLUMNS)
 
 
+def merge_positions(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> list[str]:
+    """Merges the batches of each day into one folder, while other jobs read and add; returns the days that had several.
+
+    The hidden folders stay until ``DayTable(spark, path).clean()``.
+    """
+    return DayTable(spark, path).merge(first_day, last_day, by="mmsi")
+
+
 def write_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
     table.write.mode(mode).parquet(path)
 

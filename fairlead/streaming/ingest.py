@@ -6,7 +6,7 @@ file names: each batch reads its files by their own headers and writes as the ba
 
 from __future__ import annotations
 
-import hashlib
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -27,24 +27,27 @@ def start_ingest(
 ) -> StreamingQuery:
     """Clean the files that arrived in ``folder`` since the last call, append them to ``table``, stop.
 
-    ``max_files`` bounds a batch, and with it the names that reach the driver. A batch repeated after a failure is written
-    under the same name and so replaces what it wrote.
+    ``max_files`` bounds a batch, and with it the names that reach the driver. A batch is named by the query's own id, which its
+    checkpoint keeps, and its number: repeated after a failure it replaces what it wrote, and a new checkpoint,
+    also at an old path, is another query.
     """
-    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    known: Future[str] = Future()
 
     def write(names: DataFrame, number: int) -> None:
         files = sorted({row.path for row in names.collect()})
         if files:
             positions = clean_reports(read_mixed_reports(spark, folder, files), rules)
-            write_positions(positions, table, batch=f"stream-{source}-{number}")
+            write_positions(positions, table, batch=f"stream-{known.result()}-{number}", again="skip")
 
-    return (
+    query = (
         stream_files(spark, folder, max_files)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    known.set_result(str(query.id))
+    return query
 
 
 def ingest_new_files(*args, **options) -> None:

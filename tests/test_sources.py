@@ -4,7 +4,7 @@ import glob
 import json
 
 import pytest
-from helpers import position, positions, report
+from helpers import START, position, positions, report
 
 from fairlead.operators.cleaning import clean_reports
 from fairlead.params import CollisionRules, ReportRules, Rules
@@ -12,7 +12,8 @@ from fairlead.plans.pipeline import ingest, run
 from fairlead.schema import RAW_COLUMNS
 from fairlead.sources.reports import list_report_files, read_mixed_reports, read_reports
 from fairlead.sources.sample import sample_reports
-from fairlead.sources.tables import Staging, read_positions, shared_folder, write_positions
+from fairlead.sources.daytable import DayConflict, DayTable
+from fairlead.sources.tables import Staging, merge_positions, read_positions, shared_folder, write_positions
 from fairlead.streaming.ingest import ingest_new_files
 
 GLOBE = ReportRules(area=None)
@@ -106,6 +107,109 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     assert read_positions(spark, path).count() == 3
 
 
+def test_a_new_checkpoint_at_an_old_path_is_another_stream(spark, tmp_path):
+    """Five rows, then the checkpoint is removed and seven rows of other files come: all twelve are there."""
+    one, two, table, seen = tmp_path / "one", tmp_path / "two", str(tmp_path / "table"), tmp_path / "seen"
+    one.mkdir(), two.mkdir()
+    write_csv(one / "a.csv", [report(Latitude=f"55.{i}") for i in range(5)])
+    write_csv(two / "b.csv", [report(Latitude=f"56.{i}") for i in range(7)])
+    ingest_new_files(spark, str(one), table, str(seen), GLOBE)
+    seen.rename(tmp_path / "seen-before")
+    ingest_new_files(spark, str(two), table, str(seen), GLOBE)
+    assert read_positions(spark, table).count() == 12
+    # The first checkpoint still knows its query: what it has seen it does not take again.
+    ingest_new_files(spark, str(one), table, str(tmp_path / "seen-before"), GLOBE)
+    assert read_positions(spark, table).count() == 12
+
+
+def three_batches(spark, path):
+    for batch, seconds in (("a", (0, 1)), ("b", (2, 86_400)), ("c", (3,))):
+        write_positions(positions(spark, [position(seconds=s) for s in seconds]), path, batch=batch)
+
+
+def seconds_of(table):
+    return sorted((row.timestamp - START).total_seconds() for row in table.collect())
+
+
+def test_merged_days_lie_in_one_folder(spark, tmp_path):
+    path = str(tmp_path / "positions")
+    three_batches(spark, path)
+    before = DayTable(spark, path).batches()
+    assert merge_positions(spark, path) == ["2021-12-13"]
+    table = DayTable(spark, path)
+    assert {day: len(folders) for day, folders in table.visible().items()} == {"2021-12-13": 1, "2021-12-14": 1}
+    assert table.batches() == before == {"2021-12-13": {"a", "b", "c"}, "2021-12-14": {"b"}}
+    read = read_positions(spark, path)
+    assert seconds_of(read) == [0, 1, 2, 3, 86_400] and len({f.rsplit("/", 1)[0] for f in read.inputFiles()}) == 2
+    assert merge_positions(spark, path) == []
+    assert len(glob.glob(f"{path}/event_date=2021-12-13/*")) == 4
+    assert table.clean() == 3 and len(glob.glob(f"{path}/event_date=2021-12-13/*")) == 1
+    assert seconds_of(read_positions(spark, path)) == [0, 1, 2, 3, 86_400]
+
+
+def test_writers_go_on_while_a_day_is_merged(spark, tmp_path, monkeypatch):
+    """A batch job and a stream add to the day between the reading and the commit of a merge; a reader sees each row once throughout."""
+    path, folder, seen = str(tmp_path / "positions"), tmp_path / "in", []
+    folder.mkdir()
+    three_batches(spark, path)
+    commit = DayTable._commit
+
+    def busy(self, before, change):
+        seen.append(seconds_of(read_positions(spark, path)))
+        write_positions(positions(spark, [position(seconds=10)]), path, batch="late")
+        write_csv(folder / "a.csv", [report(**{"# Timestamp": "2021-12-13T02:00:20"})])
+        ingest_new_files(spark, str(folder), path, str(tmp_path / "checkpoint"), GLOBE)
+        commit(self, before, change)
+
+    monkeypatch.setattr(DayTable, "_commit", busy)
+    merge_positions(spark, path)
+    monkeypatch.undo()
+    assert seen == [[0, 1, 2, 3, 86_400]]
+    assert seconds_of(read_positions(spark, path)) == [0, 1, 2, 3, 10, 20, 86_400]
+    assert merge_positions(spark, path) == ["2021-12-13"]
+    assert seconds_of(read_positions(spark, path)) == [0, 1, 2, 3, 10, 20, 86_400]
+
+
+def test_of_two_merges_of_a_day_one_gives_way(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "positions")
+    three_batches(spark, path)
+    commit = DayTable._commit
+
+    def overtaken(self, before, change):
+        monkeypatch.undo()
+        merge_positions(spark, path)
+        commit(self, before, change)
+
+    monkeypatch.setattr(DayTable, "_commit", overtaken)
+    with pytest.raises(DayConflict):
+        merge_positions(spark, path)
+    assert seconds_of(read_positions(spark, path)) == [0, 1, 2, 3, 86_400]
+
+
+def test_batches_of_merged_days_are_final(spark, tmp_path):
+    path = str(tmp_path / "positions")
+    three_batches(spark, path)
+    merge_positions(spark, path)
+    again = positions(spark, [position(seconds=s) for s in (2, 86_400)])
+    with pytest.raises(ValueError, match="b is final.*2021-12-13"):
+        write_positions(again, path, batch="b")
+    write_positions(again, path, batch="b", again="skip")
+    assert seconds_of(read_positions(spark, path)) == [0, 1, 2, 3, 86_400]
+    with pytest.raises(ValueError, match="not a batch name"):
+        write_positions(again, path, batch="day-1")
+
+
+def test_replaced_days_change_together_and_may_become_empty(spark, tmp_path):
+    path = str(tmp_path / "positions")
+    three_batches(spark, path)
+    table = DayTable(spark, path)
+    kept = table.read().filter("minute(timestamp) = 59").drop("ingest")
+    table.replace(kept, ["2021-12-13"])
+    assert seconds_of(read_positions(spark, path)) == [86_400]
+    table.replace(table.read().drop("ingest").limit(0), ["2021-12-14"])
+    assert read_positions(spark, path).count() == 0
+
+
 def test_staged_tables_can_be_removed(spark):
     staging = Staging(spark)
     staging.keep(spark.range(3), "numbers")
