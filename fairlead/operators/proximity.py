@@ -8,7 +8,7 @@ constant, and cells wrap at 180 degrees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.clock import epoch_seconds, from_epoch
@@ -24,6 +24,11 @@ _PART = ("early_part", "late_part")
 _SLOT_SECONDS = 10
 _ENCOUNTER = "encounter"
 
+# The bitmap of crowded cells has 2**22 bits in words of 64: at most 65,536 rows, however many cells are crowded.
+_BITMAP_BITS = 22
+# Tasks that share the reports of one crowded cell while they learn its parts.
+_SALTS = 16
+
 
 def _cell_degrees(rules: ProximityRules) -> float:
     return rules.cell_degrees or min(4 * latitude_reach(rules.distance_nm), 90.0)
@@ -86,32 +91,69 @@ def reached_cells(points: DataFrame, rules: ProximityRules = ProximityRules()) -
     )
 
 
-def crowded_cells(points: DataFrame, rules: ProximityRules = ProximityRules()) -> DataFrame:
-    """Cells with more than ``split_rows`` reports, and into how many parts to divide them.
+def crowded_cells(
+    points: DataFrame, rules: ProximityRules = ProximityRules(), seen: Observation | None = None
+) -> DataFrame:
+    """Cells that more than ``split_rows`` reports lie in or look into, and into how many parts to divide either side.
 
-    The count is pre-aggregated in each map task and reads three columns. The result has at most
-    one row per ``split_rows`` reports; write it out before the join, so that Spark knows its size
-    and broadcasts it only if it is small.
+    The count is pre-aggregated in each map task and reads three columns. The result has at most a few
+    rows per ``split_rows`` reports; write it out before the join, so that Spark knows its size. ``seen`` notes
+    how many ``visits`` there are: the rows of the replicated side of the join.
     """
-    counts = home_cells(points.select("timestamp", "latitude", "longitude"), rules).groupBy(*CELL).count()
-    return counts.filter(F.col("count") > rules.split_rows).select(
-        *CELL, F.ceil(F.col("count") / F.lit(rules.split_rows)).cast("int").alias("parts")
+    fixes = points.select("timestamp", "latitude", "longitude")
+    lying = home_cells(fixes, rules).select(*CELL, F.lit(True).alias("home"))
+    looking = reached_cells(fixes, rules).select(*CELL, F.lit(False).alias("home"))
+    if seen is not None:
+        looking = looking.observe(seen, F.count(F.lit(1)).alias("visits"))
+    counts = lying.unionByName(looking).groupBy(*CELL)
+    both = counts.agg(F.count(F.when(F.col("home"), 1)).alias("reports"), F.count(F.when(~F.col("home"), 1)).alias("visits"))
+    crowded = both.filter((F.least("reports", "visits") > 0) & (F.greatest("reports", "visits") > rules.split_rows))
+    return crowded.select(
+        *CELL,
+        *(
+            F.ceil(F.col(rows) / F.lit(rules.split_rows)).cast("int").alias(f"{part}s")
+            for rows, part in zip(("reports", "visits"), _PART)
+        ),
     )
 
 
-def _divide(cells: DataFrame, crowded: DataFrame, own: str, other: str) -> DataFrame:
-    """Spread the reports of a crowded cell over ``parts`` x ``parts`` sub-keys.
+def _bit_of_cell() -> tuple[Column, Column]:
+    """The word of the bitmap that a cell falls in, and its bit there."""
+    slot = F.pmod(F.xxhash64(*CELL), F.lit(1 << _BITMAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    return F.shiftright(slot, 6), bit
+
+
+def _parted(met: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows that know their cell's parts, with a part of their own side, once for each part of the other."""
+    mine = F.pmod(F.hash("mmsi", "timestamp"), F.coalesce(f"{own}s", F.lit(1)))
+    theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}s", F.lit(1)) - 1))
+    return met.withColumn(own, mine).withColumn(other, theirs)
+
+
+def _divide(cells: DataFrame, crowded: DataFrame, stored: bool, own: str, other: str) -> DataFrame:
+    """Spread the reports of a crowded cell over ``early_parts`` x ``late_parts`` sub-keys.
 
     A report takes one part of its own side and visits every part of the other, so each pair of
-    reports still meets under exactly one key and no task gets the square of a crowded cell.
+    reports still meets under exactly one key and no task gets the product of a crowded cell's sides.
+
+    Which reports may lie in a crowded cell is told by a bitmap, broadcast because its size is bounded. The others get their key in
+    the scan; only those few meet the crowded cells, by cell and salt, so that not even this join gathers a cell.
+    Cells that are not stored would be counted for the bitmap and again for the join; they are joined as they are.
     """
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    return (
-        cells.join(crowded, list(CELL), "left")
-        .withColumn(own, F.pmod(F.hash("mmsi", "timestamp"), parts))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("parts")
-    )
+    columns = [*cells.columns, own, other]
+    if not stored:
+        return _parted(cells.join(crowded, list(CELL), "left"), own, other).select(*columns)
+    word, bit = _bit_of_cell()
+    bitmap = crowded.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = cells.withColumn("word", word).join(F.broadcast(bitmap), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    plain = marked.filter(~may).select(*cells.columns, F.lit(0).alias(own), F.lit(0).alias(other))
+
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    salted = marked.filter(may).withColumn("salt", F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(_SALTS)).cast("int"))
+    met = salted.join(crowded.withColumn("salt", F.explode(salts)), [*CELL, "salt"], "left")
+    return plain.unionByName(_parted(met, own, other).select(*columns))
 
 
 def _distance(one: str, two: str) -> Column:
@@ -120,13 +162,20 @@ def _distance(one: str, two: str) -> Column:
     )
 
 
-def _meetings(points: DataFrame, rules: ProximityRules, crowded: DataFrame | None) -> DataFrame:
-    """The join: an ``early`` and a ``late`` report of two vessels within both limits, each pair once."""
-    if crowded is None:
-        crowded = crowded_cells(points, rules)
+def _meetings(points: DataFrame, rules: ProximityRules, crowded: DataFrame | None, visits: int | None) -> DataFrame:
+    """The join: an ``early`` and a ``late`` report of two vessels within both limits, each pair once.
+
+    Spark's estimate does not see how often reports are replicated. So the kind of join follows from the counted ``visits``:
+    many, or unknown, are merged whatever Spark's threshold; few are left to Spark.
+    """
+    stored = crowded is not None
+    crowded = crowded if stored else crowded_cells(points, rules)
     points = points.withColumn("seconds", epoch_seconds(F.col("timestamp")))
-    early = _divide(home_cells(points, rules), crowded, *_PART).alias("early")
-    late = _divide(reached_cells(points, rules), crowded, *reversed(_PART)).alias("late")
+    early = _divide(home_cells(points, rules), crowded, stored, *_PART).alias("early")
+    late = _divide(reached_cells(points, rules), crowded, stored, *reversed(_PART)).alias("late")
+
+    if visits is None or visits > rules.broadcast_visits:
+        late = late.hint("merge")
 
     early_seconds, late_seconds = F.col("early.seconds"), F.col("late.seconds")
     earlier = (early_seconds < late_seconds) | (
@@ -158,15 +207,18 @@ def _fixes(points: DataFrame, *more: str) -> DataFrame:
 
 
 def proximity_pairs(
-    points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
+    points: DataFrame,
+    rules: ProximityRules = ProximityRules(),
+    crowded: DataFrame | None = None,
+    visits: int | None = None,
 ) -> DataFrame:
     """Every pair of reports of two vessels within both limits, once; ``mmsi_1 < mmsi_2``.
 
     ``points`` holds one row per vessel and time (see ``unique_positions``). ``crowded`` is the
-    stored result of ``crowded_cells``; left out, it becomes part of the plan. For the closest
+    stored result of ``crowded_cells``, ``visits`` what that counted; left out, the first becomes part of the plan (for small tables only, see ``_divide``). For the closest
     approaches alone, ``nearest_slots`` and ``pinpoint`` do without the list of all pairs.
     """
-    return _meetings(_fixes(points, "name"), rules, crowded).select(
+    return _meetings(_fixes(points, "name"), rules, crowded, visits).select(
         _of_first("mmsi").alias("mmsi_1"),
         _of_second("mmsi").alias("mmsi_2"),
         _of_first("name").alias("name_1"),
@@ -183,22 +235,34 @@ def _slot(timestamp: Column) -> Column:
     return F.floor(epoch_seconds(timestamp) / _SLOT_SECONDS)
 
 
-def nearest_slots(
-    points: DataFrame, rules: ProximityRules = ProximityRules(), crowded: DataFrame | None = None
+def meeting_slots(
+    points: DataFrame,
+    rules: ProximityRules = ProximityRules(),
+    crowded: DataFrame | None = None,
+    visits: int | None = None,
 ) -> DataFrame:
-    """Per vessel pair, or per encounter of one: the least distance, and the first time slot of vessel 1 with that distance.
+    """Per vessel pair and time slot of vessel 1 in which they met: the least distance.
 
     Two ships moored side by side meet with every report. Their meetings go from the join straight
     into a hash aggregation of one number per pair and slot; they are never sorted or shuffled.
     """
     slotted = _fixes(points).withColumn("slot", _slot(F.col("timestamp")))
-    met = _meetings(slotted, rules, crowded).select(
+    met = _meetings(slotted, rules, crowded, visits).select(
         F.least("early.mmsi", "late.mmsi").alias("mmsi_1"),
         F.greatest("early.mmsi", "late.mmsi").alias("mmsi_2"),
         _of_first("slot").alias("slot"),
         _distance("early", "late").alias("distance_nm"),
     )
-    slots = met.groupBy("mmsi_1", "mmsi_2", "slot").agg(F.min("distance_nm").alias("distance_nm"))
+    return met.groupBy("mmsi_1", "mmsi_2", "slot").agg(F.min("distance_nm").alias("distance_nm"))
+
+
+def slot_day(slot: Column) -> Column:
+    """The day a time slot lies in."""
+    return F.to_date(from_epoch(slot * _SLOT_SECONDS))
+
+
+def nearest_of(slots: DataFrame, rules: ProximityRules = ProximityRules()) -> DataFrame:
+    """Of ``meeting_slots``: per vessel pair, or per encounter of one, the least distance and the first slot with it."""
     kept = ["mmsi_1", "mmsi_2"]
     if rules.per == "encounter":
         in_time = Window.partitionBy("mmsi_1", "mmsi_2").orderBy("slot")
@@ -210,6 +274,16 @@ def nearest_slots(
     return nearest.select(*kept, "nearest.slot", "nearest.distance_nm")
 
 
+def nearest_slots(
+    points: DataFrame,
+    rules: ProximityRules = ProximityRules(),
+    crowded: DataFrame | None = None,
+    visits: int | None = None,
+) -> DataFrame:
+    """Per vessel pair, or per encounter of one: the least distance, and the first time slot of vessel 1 with that distance."""
+    return nearest_of(meeting_slots(points, rules, crowded, visits), rules)
+
+
 def _pair_key(table: DataFrame) -> list[str]:
     """What a row of the result is for: the vessel pair, and its encounter if there may be several."""
     return ["mmsi_1", "mmsi_2", *([_ENCOUNTER] if _ENCOUNTER in table.columns else [])]

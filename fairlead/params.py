@@ -67,7 +67,8 @@ class ProximityRules:
     ``cell_degrees`` (height of a grid row), ``bucket_seconds`` and ``split_rows`` shape the plan
     only. Cells left at ``None`` follow from the limits: four times the distance limit and twice the
     time limit, which replicates a report about 3.4 times instead of the 27 of a full neighbourhood.
-    ``split_rows`` is the number of reports above which one cell is divided between tasks.
+    ``split_rows`` is the number of reports, or of visits by reports near it, above which one cell is divided between tasks.
+    Up to ``broadcast_visits`` visits in all, Spark may broadcast the side of the join that holds them.
 
     ``per="pair"`` keeps one closest approach per vessel pair. ``per="encounter"`` keeps one per encounter: meetings of a pair
     with no more than ``encounter_gap_seconds`` between them, counted in slots of ten seconds.
@@ -78,6 +79,7 @@ class ProximityRules:
     cell_degrees: float | None = None
     bucket_seconds: int | None = None
     split_rows: int = 4096
+    broadcast_visits: int = 200_000
     per: str = "pair"
     encounter_gap_seconds: int = 3600
 

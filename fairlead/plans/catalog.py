@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,13 +195,16 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.sum("home").alias("reports"), F.sum(1 - F.col("home")).alias("visits"))
 
 
-def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(proximity.proximity_pairs(within_area(tracks(spark, sf_dir))))
+def proximity_pairs(spark: SparkSession, sf_dir: str, rules: ProximityRules = ProximityRules()) -> DataFrame:
+    staging, seen = Staging(spark), Observation("visits of cells")
+    points = within_area(stage_tracks(positions(spark, sf_dir), staging))
+    crowded = staging.keep(proximity.crowded_cells(points, rules, seen), "crowded")
+    return shown(proximity.proximity_pairs(points, rules, crowded, seen.get.get("visits", 0)))
 
 
 def proximity_pairs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs, with cells of more than four reports divided."""
-    return shown(proximity.proximity_pairs(within_area(tracks(spark, sf_dir)), ProximityRules(split_rows=4)))
+    """The same pairs, with cells of more than four reports or visits divided, and merged, not broadcast."""
+    return proximity_pairs(spark, sf_dir, ProximityRules(split_rows=4, broadcast_visits=0))
 
 
 def closest_approach(spark: SparkSession, sf_dir: str) -> DataFrame:

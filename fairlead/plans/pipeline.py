@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.operators.area import within_area
@@ -58,8 +58,9 @@ def stage_candidates(tracks: DataFrame, staging: Staging, rules: Rules = Rules()
     """Candidates. The area is stored once, with the five columns that the next steps read, each more than once."""
     inside = within_area(tracks, rules.area).select("mmsi", "timestamp", "latitude", "longitude", "name")
     points = staging.keep(inside, "area")
-    crowded = staging.keep(crowded_cells(points, rules.proximity), "crowded")
-    nearest = staging.keep(nearest_slots(points, rules.proximity, crowded), "nearest")
+    seen = Observation("visits of cells")
+    crowded = staging.keep(crowded_cells(points, rules.proximity, seen), "crowded")
+    nearest = staging.keep(nearest_slots(points, rules.proximity, crowded, seen.get.get("visits", 0)), "nearest")
     return staging.keep(closest_approach(pinpoint(nearest, points, rules.proximity)), "candidates")
 
 

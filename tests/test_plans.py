@@ -105,6 +105,30 @@ def test_meetings_are_hashed_down_before_any_sort_or_shuffle(tables, no_broadcas
     assert "name" not in re.sub(r"\S*fairlead\S*|tracks", "", plan)
 
 
+def test_no_exchange_gathers_a_crowded_cell(tables, no_broadcast):
+    """Reports that lie in no crowded cell are shuffled once, by cell and part; the others first by cell and salt."""
+    track, _, staging = tables
+    plan = planned(nearest_slots(track, crowded=staging.keep(crowded_cells(track), "crowded_again")))
+    by_cell = [key(text) for text in shuffles(plan) if "time_bucket" in text]
+    assert by_cell.count(["time_bucket", "lat_cell", "lon_cell", "early_part", "late_part"]) == 2
+    assert by_cell.count(["time_bucket", "lat_cell", "lon_cell", "salt"]) == len(by_cell) - 2 > 0
+    # Only the bitmap is broadcast; its rows are bounded.
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+?)#", plan)) == {"word"}
+
+
+@pytest.mark.parametrize("visits, kind", [(None, "SortMergeJoin"), (7_000_000, "SortMergeJoin"), (5_000, "BroadcastHashJoin")])
+def test_the_replicated_side_is_broadcast_only_if_few_rows_were_counted(spark, tables, visits, kind):
+    track, _, staging = tables
+    crowded = staging.keep(crowded_cells(track), f"crowded_{visits}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100g")
+    try:
+        plan = planned(nearest_slots(track, crowded=crowded, visits=visits))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.findall(r"(\w+) \[time_bucket#\d+L, lat_cell#\d+L, lon_cell#\d+L, early_part", plan) == [kind]
+
+
 def test_looking_up_the_nearest_reports_scans_once_and_does_not_shuffle_points(tables):
     track, _, staging = tables
     nearest = staging.keep(nearest_slots(track), "nearest")

@@ -6,8 +6,19 @@ import random
 import pytest
 from helpers import START, at, miles, position, positions
 
-from fairlead.operators.proximity import closest_approach, crowded_cells, find_candidates, home_cells, proximity_pairs
+from pyspark.sql import Observation
+
+from fairlead.functions.geo import latitude_reach
+from fairlead.operators.proximity import (
+    closest_approach,
+    crowded_cells,
+    find_candidates,
+    home_cells,
+    proximity_pairs,
+    reached_cells,
+)
 from fairlead.params import ProximityRules
+from fairlead.sources.tables import Staging
 
 
 def brute_force(rows, rules=ProximityRules()):
@@ -69,11 +80,26 @@ def test_cells_and_splitting_change_nothing(spark, shape):
 def test_one_cell_holding_everything_is_divided(spark):
     rows = [position(f"2190{n:05d}", n % 50, 55.2 + n * 1e-7, 14.2) for n in range(120)]
     table, rules = positions(spark, rows), ProximityRules(split_rows=10)
-    assert [row.parts for row in crowded_cells(table, rules).collect()] == [12]
+    parts = {(row.early_parts, row.late_parts) for row in crowded_cells(table, rules).collect()}
+    assert parts == {(12, 12)}
     assert pairs(proximity_pairs(table, rules)) == brute_force(rows)
     assert proximity_pairs(table, rules).count() == 120 * 119 // 2
 
 
+def test_a_quiet_cell_beside_a_crowded_one_is_divided_on_its_late_side(spark):
+    """Few reports lie in the cell, many next to it look into it: the few are repeated, the many are dealt."""
+    height = 4 * latitude_reach(ProximityRules().distance_nm)
+    edge = 9000 * height
+    rows = [position(f"2190{n:05d}", n % 50, edge + 1e-5, 14.2) for n in range(100)]
+    rows += [position(f"2191{n:05d}", n % 50, edge - 1e-5, 14.2) for n in range(4)]
+    table, rules, seen = positions(spark, rows), ProximityRules(split_rows=10), Observation("visits")
+    parts = {(row.early_parts, row.late_parts) for row in crowded_cells(table, rules, seen).collect()}
+    assert parts == {(1, 11), (10, 11)}
+    assert seen.get["visits"] == sum(len(row) > 0 for row in reached_cells(table, rules).collect())
+    for stored in (None, Staging(spark).keep(crowded_cells(table, rules), "crowded")):
+        assert pairs(proximity_pairs(table, rules, stored)) == brute_force(rows)
+
+
 def test_time_gap_is_closed(spark):
     for gap, met in ((60, 1), (61, 0)):
         for start in range(0, 120, 17):
