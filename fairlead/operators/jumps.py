@@ -19,9 +19,11 @@ _REST = tuple(name for name in POSITION_COLUMNS if name not in _INSTANT + _PLACE
 
 def conflicting_instants(positions: DataFrame) -> DataFrame:
     """(mmsi, timestamp) keys at which a vessel reports more than one position."""
-    place = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct(*_PLACE))
-    spread = positions.groupBy(*_INSTANT).agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    return spread.filter(F.col("low") != F.col("high")).select(*_INSTANT)
+    placed = positions.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    # Plain numbers, which a hash aggregation can hold; places differ if one of their numbers does.
+    spread = placed.groupBy(*_INSTANT).agg(*(f(c).alias(f"{n}_{c}") for c in _PLACE for n, f in (("low", F.min), ("high", F.max))))
+    differs = reduce(Column.__or__, (F.col(f"low_{c}") != F.col(f"high_{c}") for c in _PLACE))
+    return spread.filter(differs).select(*_INSTANT)
 
 
 def drop_conflicts(positions: DataFrame) -> DataFrame:
@@ -66,27 +68,55 @@ def _leg(start: str, end: str) -> tuple[Column, Column]:
     return hours, F.when(hours > 0, miles / hours)
 
 
-def neighbour_speeds(unique: DataFrame, segment_seconds: int = JumpRules.segment_seconds) -> DataFrame:
+SEGMENT = "segment"
+_ENDS = (("head", F.min, F.min_by), ("tail", F.max, F.max_by))
+
+
+def with_segment(unique: DataFrame, segment_seconds: int = JumpRules.segment_seconds) -> DataFrame:
+    return unique.withColumn(SEGMENT, F.floor(epoch_seconds(F.col("timestamp")) / segment_seconds))
+
+
+def segment_ends(slices: DataFrame) -> DataFrame:
+    """First and last fix (``head``, ``tail``) of each vessel and segment, by a hash aggregation of single numbers."""
+    ends = slices.groupBy("mmsi", SEGMENT).agg(
+        *(edge("timestamp").alias(f"{name}_timestamp") for name, edge, _ in _ENDS),
+        *(at(place, "timestamp").alias(f"{name}_{place}") for name, _, at in _ENDS for place in _PLACE),
+    )
+    fixes = (
+        F.struct(*(F.col(f"{name}_{column}").alias(column) for column in ("timestamp", *_PLACE))).alias(name)
+        for name, _, _ in _ENDS
+    )
+    return ends.select("mmsi", SEGMENT, *fixes)
+
+
+def segment_links(ends: DataFrame) -> DataFrame:
+    """For each vessel and segment the last fix before it and the first one after it; a table of one row per segment."""
+    along = Window.partitionBy("mmsi").orderBy(SEGMENT)
+    return ends.select(
+        "mmsi",
+        SEGMENT,
+        F.lag("tail").over(along).alias("tail_before"),
+        F.lead("head").over(along).alias("head_after"),
+    )
+
+
+def neighbour_speeds(
+    unique: DataFrame, segment_seconds: int = JumpRules.segment_seconds, links: DataFrame | None = None
+) -> DataFrame:
     """Adds hours and implied knots to the vessel's previous and next position.
 
     ``unique`` holds one row per vessel and time. A track is cut into time segments, so the largest
     window group is one segment of one vessel, however many reports the vessel has in total. The
-    neighbours across a segment border come from a small table with one row per vessel and segment.
+    neighbours across a segment border come from a small table with one row per vessel and segment. ``links``, if given, is
+    that table, of all segments; ``unique`` may then hold some segments only, each whole.
     """
     fix = F.struct(F.col("timestamp"), *(F.col(name) for name in _PLACE))
-    slices = unique.withColumn("segment", F.floor(epoch_seconds(F.col("timestamp")) / segment_seconds))
-    ends = slices.groupBy("mmsi", "segment").agg(F.min(fix).alias("head"), F.max(fix).alias("tail"))
-    along = Window.partitionBy("mmsi").orderBy("segment")
-    links = ends.select(
-        "mmsi",
-        "segment",
-        F.lag("tail").over(along).alias("tail_before"),
-        F.lead("head").over(along).alias("head_after"),
-    )
-    within = Window.partitionBy("mmsi", "segment").orderBy("timestamp")
+    slices = with_segment(unique, segment_seconds)
+    links = segment_links(segment_ends(slices)) if links is None else links
+    within = Window.partitionBy("mmsi", SEGMENT).orderBy("timestamp")
     # A left join: it adds no null test to ``slices``, so both readings of the input stay alike and
     # Spark shuffles it once.
-    linked = slices.join(links, ["mmsi", "segment"], "left").select(
+    linked = slices.join(links, ["mmsi", SEGMENT], "left").select(
         *unique.columns,
         fix.alias("here"),
         F.coalesce(F.lag(fix).over(within), F.col("tail_before")).alias("previous"),

@@ -8,6 +8,8 @@ constant, and cells wrap at 180 degrees.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -328,10 +330,11 @@ def pinpoint(nearest: DataFrame, points: DataFrame, rules: ProximityRules = Prox
     )
 
 
-def closest_approach(pairs: DataFrame) -> DataFrame:
+def closest_approach(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One candidate per vessel pair (or encounter): its closest two reports, ties broken by the earlier times.
 
-    An aggregation, not a ranking: each map task sends on one row per vessel pair.
+    An aggregation, not a ranking: each map task sends on one row per vessel pair. ``keep``: columns of the pair's key to
+    carry along.
     """
     best = pairs.groupBy(*_pair_key(pairs)).agg(
         F.min(
@@ -351,7 +354,8 @@ def closest_approach(pairs: DataFrame) -> DataFrame:
         F.col("best.latitude").alias("collision_latitude"),
         F.col("best.longitude").alias("collision_longitude"),
         F.col("best.distance_nm").alias("minimum_distance_nm"),
-    ).select(*CANDIDATE_COLUMNS)
+        *(name for name in keep if name not in CANDIDATE_COLUMNS),
+    ).select(*CANDIDATE_COLUMNS, *(name for name in keep if name not in CANDIDATE_COLUMNS))
 
 
 def find_candidates(

@@ -20,10 +20,11 @@ from fairlead.operators import behaviour, collisions, jumps, proximity, results
 from fairlead.operators.area import within_area
 from fairlead.operators.cleaning import clean_reports, type_reports
 from fairlead.params import Circle, CollisionRules, JumpRules, ProximityRules, Rules
-from fairlead.plans.pipeline import ingest, stage_candidates, stage_tracks
+from fairlead.plans.incremental import Store
+from fairlead.plans.pipeline import ingest, run, stage_candidates, stage_tracks
 from fairlead.schema import POSITION_COLUMNS, RAW_COLUMNS, RAW_TIME
 from fairlead.sources.sample import sample_reports
-from fairlead.sources.tables import DAY, Staging, read_positions, with_day
+from fairlead.sources.tables import DAY, Staging, merge_positions, read_positions, with_day, write_positions
 from fairlead.streaming.ingest import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,10 +266,7 @@ def collision_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(results.collision_rows(stored))
 
 
-def collision_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the result document, read back."""
-    stored = Staging(spark).keep(validated(spark, sf_dir), "validated")
-    lines = results.collision_document(stored)
+def _document_fields(lines: DataFrame) -> DataFrame:
     entry = F.regexp_replace("value", "^,", "")
     is_entry = F.col("value").contains("candidate_id")
     fields = ("candidate_id", "mmsi_1", "mmsi_2", "name_1", "name_2", "collision_time")
@@ -278,6 +276,12 @@ def collision_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def collision_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the result document, read back."""
+    stored = Staging(spark).keep(validated(spark, sf_dir), "validated")
+    return _document_fields(results.collision_document(stored))
+
+
 def trajectory_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, candidates = encounters(spark, sf_dir)
     return shown(results.trajectory_points(candidates, stored))
@@ -288,11 +292,7 @@ def trajectory_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(results.trajectory_paths(candidates, stored).drop("path"))
 
 
-def trajectory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The GeoJSON lines, read back."""
-    stored, candidates = encounters(spark, sf_dir)
-    lines = results.trajectory_features(results.trajectory_paths(candidates, stored))
-
+def _feature_fields(lines: DataFrame) -> DataFrame:
     def part(path: str) -> Column:
         return F.get_json_object("value", path)
 
@@ -308,6 +308,43 @@ def trajectory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trajectory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The GeoJSON lines, read back."""
+    stored, candidates = encounters(spark, sf_dir)
+    return _feature_fields(results.trajectory_features(results.trajectory_paths(candidates, stored)))
+
+
+def _whole_run(spark: SparkSession, sf_dir: str) -> str:
+    """From report files to the written results; returns their folder."""
+    staging = Staging(spark)
+    output = f"{staging.folder}/run"
+    run(spark, _report_files(spark, sf_dir, staging), output, Rules(collisions=SAMPLE_COLLISIONS))
+    return output
+
+
+def pipeline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from report files; the result document as it was written."""
+    return _document_fields(spark.read.text(f"{_whole_run(spark, sf_dir)}/collision_result"))
+
+
+def pipeline_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from report files; the trajectories as they were written."""
+    return _feature_fields(spark.read.text(f"{_whole_run(spark, sf_dir)}/collision_trajectories"))
+
+
+def incremental_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates after two updates: two thirds of the reports, then the rest, which fall on the same days."""
+    staging = Staging(spark)
+    table = f"{staging.folder}/positions"
+    store = Store(spark, table, f"{staging.folder}/store")
+    for which, name in (("event_id % 3 > 0", "first"), ("event_id % 3 = 0", "rest")):
+        write_positions(clean_reports(sample_reports(spark, sf_dir).filter(which)), table, batch=name)
+        store.update()
+    merge_positions(spark, table)
+    store.update()
+    return shown(store.encounters(staging).candidates)
+
+
 QUERIES: dict[str, Query] = {
     "parse_timestamps": parse_timestamps,
     "cast_numerics": cast_numerics,
@@ -346,6 +383,9 @@ QUERIES: dict[str, Query] = {
     "trajectory_points": trajectory_points,
     "trajectory_paths": trajectory_paths,
     "trajectory_features": trajectory_features,
+    "pipeline_document": pipeline_document,
+    "pipeline_trajectories": pipeline_trajectories,
+    "incremental_candidates": incremental_candidates,
 }
 
 

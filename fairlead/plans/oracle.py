@@ -1,7 +1,7 @@
 """DuckDB statements that answer the registered queries on the same tables.
 
-Written from the definitions (plain windows, plain joins, no segments, cells or staged tables), so
-that they check the Spark plans rather than repeat them.
+Written from the definitions (plain windows, plain joins, no segments or staged tables), so that they check the Spark plans rather
+than repeat them. One exception: ``grid_cells`` repeats the formula of the cells; whether cells find all pairs is checked by ``proximity_pairs``.
 """
 
 from __future__ import annotations
@@ -383,6 +383,15 @@ def statements() -> dict[str, str]:
     no_entry = ", ".join(
         f"CAST(NULL AS VARCHAR) AS {n}" for n in ("candidate_id", "mmsi_1", "mmsi_2", "name_1", "name_2", "collision_time")
     )
+    features = f"""SELECT candidate_id, vessel_side, label, {_text_time("start_ts", "start_time")}, {_text_time("end_ts", "end_time")},
+                CASE WHEN n_points > 1 THEN 'LineString' ELSE 'Point' END AS geometry,
+                CASE WHEN n_points > 1 THEN n_points ELSE 0 END AS points"""
+    document = _with(
+        _scores(rules),
+        f"""SELECT frame, {no_entry} FROM ({frame}) WHERE frame IS NOT NULL
+            UNION ALL SELECT CAST(NULL AS VARCHAR) AS frame, {entry_columns} FROM validated""",
+    )
+    found_paths = paths.replace("FROM sides s", "FROM (SELECT * FROM sides WHERE candidate_id IN (SELECT candidate_id FROM validated)) s")
     before_columns = f"candidate_id, vessel_side, {_rounded(_BEFORE)}"
     pairs = _with(
         PAIRS,
@@ -479,11 +488,7 @@ def statements() -> dict[str, str]:
             f"""SELECT {_wide()}, true AS collision_found, (SELECT count(*) FROM validated) AS collision_count
                 FROM validated ORDER BY collision_time, candidate_id""",
         ),
-        "collision_document": _with(
-            _scores(rules),
-            f"""SELECT frame, {no_entry} FROM ({frame}) WHERE frame IS NOT NULL
-                UNION ALL SELECT CAST(NULL AS VARCHAR) AS frame, {entry_columns} FROM validated""",
-        ),
+        "collision_document": document,
         "trajectory_points": _with(
             CANDIDATES,
             f"""SELECT s.candidate_id, s.vessel_side, s.mmsi, {_text_time("t.timestamp", "timestamp")},
@@ -496,10 +501,8 @@ def statements() -> dict[str, str]:
                 {_text_time("end_ts")}, round(end_latitude, 6) AS end_latitude, round(end_longitude, 6) AS end_longitude
                 FROM ({paths})""",
         ),
-        "trajectory_features": _with(
-            CANDIDATES,
-            f"""SELECT candidate_id, vessel_side, label, {_text_time("start_ts", "start_time")}, {_text_time("end_ts", "end_time")},
-                CASE WHEN n_points > 1 THEN 'LineString' ELSE 'Point' END AS geometry,
-                CASE WHEN n_points > 1 THEN n_points ELSE 0 END AS points FROM ({paths})""",
-        ),
+        "trajectory_features": _with(CANDIDATES, f"{features} FROM ({paths})"),
+        "pipeline_document": document,
+        "pipeline_trajectories": _with(_scores(rules), f"{features} FROM ({found_paths})"),
+        "incremental_candidates": _with(CANDIDATES, candidates),
     }

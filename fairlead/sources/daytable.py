@@ -106,6 +106,10 @@ class DayTable:
             held[day] = {b for b in folders if not b.startswith(_REWRITTEN)} | set(known.get("covers", ()))
         return held
 
+    def sources(self) -> dict[str, list[str]]:
+        """What each rewritten day was made from, as ``replace`` was told."""
+        return {day: known["sources"] for day, known in self._state()[1].items() if "sources" in known}
+
     def covered_days(self, batch: str) -> list[str]:
         """Days in which ``batch`` was merged with others."""
         return sorted(day for day, known in self._state()[1].items() if batch in known["covers"])
@@ -146,16 +150,21 @@ class DayTable:
             return reader.schema(layout).parquet(*wanted).select(*schema.names)
         return reader.parquet(*wanted)
 
-    def replace(self, rows: DataFrame, days: Iterable[str], by: str | None = None) -> None:
+    def replace(
+        self, rows: DataFrame, days: Iterable[str], by: str | None = None, sources: dict[str, list[str]] | None = None
+    ) -> None:
         """``rows`` become the content of ``days``, at once; a day without rows becomes empty. ``by``: a column to deal a day's rows by.
 
-        Raises ``DayConflict`` if one of the days was rewritten meanwhile. Batches that arrive meanwhile stay.
+        ``sources`` is kept with each day and tells later what it was made from. Raises ``DayConflict`` if one of the days was rewritten meanwhile. Batches that arrive meanwhile stay.
         """
         _, before = self._state()
         folders = self._folders()
-        self._rewrite(rows, {day: self._shown(folders.get(day, set()), before.get(day, {})) for day in days}, before, by)
+        read = {day: self._shown(folders.get(day, set()), before.get(day, {})) for day in days}
+        self._rewrite(rows, read, before, by, sources or {})
 
-    def _rewrite(self, rows: DataFrame, read: dict[str, set[str]], before: dict[str, dict], by: str | None) -> None:
+    def _rewrite(
+        self, rows: DataFrame, read: dict[str, set[str]], before: dict[str, dict], by: str | None, sources: dict[str, list[str]]
+    ) -> None:
         if not read:
             return
         made = f"{_REWRITTEN}{uuid.uuid4().hex}"
@@ -167,6 +176,8 @@ class DayTable:
         for day, shown in read.items():
             covers = set(before.get(day, {}).get("covers", ())) | {b for b in shown if not b.startswith(_REWRITTEN)}
             change[day] = {"shown": made if day in written else None, "covers": sorted(covers)}
+            known = sources.get(day, before.get(day, {}).get("sources"))
+            change[day] |= {} if known is None else {"sources": known}
         self._commit(before, change)
 
     def merge(self, first: str | None = None, last: str | None = None, by: str | None = None) -> list[str]:
@@ -184,7 +195,7 @@ class DayTable:
         if read:
             paths = [f"{self.path}/{DAY}={day}/{BATCH}={batch}" for day in read for batch in sorted(read[day])]
             rows = self.spark.read.option("basePath", self.path).parquet(*paths).drop(BATCH)
-            self._rewrite(rows, read, before, by)
+            self._rewrite(rows, read, before, by, {})
         return sorted(read)
 
     def clean(self) -> int:
