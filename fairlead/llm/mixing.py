@@ -164,7 +164,8 @@ def _drawn(docs: DataFrame, staging: Staging, rules: MixRules) -> DataFrame:
         _same("d", "q", ["source", "shard"]),
     ).select(
         "d.doc_id", "d.source", "size", "draw", "source_size", "target", "quota", "blocks", "ends",
-        F.pmod(F.xxhash64(F.lit(rules.seed + 2), F.col("d.source"), F.col("d.shard")), "blocks").alias("start"),
+        # A shard without words has no block.
+        F.pmod(F.xxhash64(F.lit(rules.seed + 2), F.col("d.source"), F.col("d.shard")), F.greatest("blocks", F.lit(1))).alias("start"),
     )
 
 

@@ -73,7 +73,10 @@ class Encoder:
 
     def part(self, text: str) -> np.ndarray:
         if self.fast:
-            return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
+            except ValueError:  # Its pattern engine gives up on about a million blanks in a row; the library does not.
+                pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

@@ -73,7 +73,7 @@ def word_features(column: pa.Array, bits: int, wanted: np.ndarray | None = None)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> DataFrame:
-    """doc_id, grade and features of at most ``max_labels`` labelled documents.
+    """doc_id, grade and features of at most ``max_labels`` labelled documents; features that fewer than ``least_rows`` of them hold are left out.
 
     Of several labels of one document the largest counts; labels without doc_id or grade are left out.
     """
@@ -85,11 +85,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> D
         .limit(rules.max_labels)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labels rows of two numbers
+    bits = rules.feature_bits
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, np.int64)
+        for batch in portions(batches):
+            held += np.bincount(word_features(batch.column("text"), bits)[0], minlength=1 << bits)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], ["feature", "held"])
+
+    counts = in_batches(rows, counted, "feature int, held long").groupBy("feature").agg(F.sum("held").alias("held"))
+    # At most 2**feature_bits numbers, and far fewer: most features are rare.
+    frequent = counts.filter(F.col("held") >= rules.least_rows).select("feature").toArrow().column(0).to_numpy()
+    wanted = np.zeros(1 << bits, bool)
+    wanted[frequent] = True
+    mask = np.packbits(wanted)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.unpackbits(mask).astype(bool)
         for batch in portions(batches):
-            values, bounds = word_features(batch.column("text"), rules.feature_bits)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+            values, bounds = word_features(batch.column("text"), bits)
+            held = np.concatenate([[0], np.cumsum(kept[values])])
+            lists = pa.ListArray.from_arrays(pa.array(held[bounds], pa.int32()), pa.array(values[kept[values]], pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grade"), lists], ["doc_id", "grade", "features"]
             )
@@ -97,6 +114,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> D
     return in_batches(rows, features, "doc_id long, grade long, features array<int>")
 
 
+#: Entries of a sparse matrix that are worked on at once.
+_SLICE = 1 << 19
+
+
 class _Rows:
     """A sparse 0/1 matrix of texts and features."""
 
@@ -104,11 +125,20 @@ class _Rows:
         self.features, self.bounds, self.width = features, bounds, width
         self.row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
 
+    def _slices(self) -> Iterator[slice]:
+        return (slice(low, low + _SLICE) for low in range(0, len(self.features), _SLICE))
+
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.features], minlength=len(self.bounds) - 1)
+        total = np.zeros(len(self.bounds) - 1)
+        for part in self._slices():
+            total += np.bincount(self.row[part], weights[self.features[part]], minlength=len(total))
+        return total
 
     def back(self, slopes: np.ndarray) -> np.ndarray:
-        return np.bincount(self.features, slopes[self.row], minlength=self.width)
+        total = np.zeros(self.width)
+        for part in self._slices():
+            total += np.bincount(self.features[part], slopes[self.row[part]], minlength=self.width)
+        return total
 
     def only(self, columns: np.ndarray) -> _Rows:
         place = np.full(self.width, -1, np.int32)
@@ -169,12 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     lists = table.column("features").combine_chunks()
     bounds = np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
     features = lists.flatten().to_numpy(zero_copy_only=False)
-    frequent = np.bincount(features, minlength=1 << rules.feature_bits) >= rules.least_rows
+    frequent = np.zeros(1 << rules.feature_bits, bool)
+    frequent[features] = True
     known = np.flatnonzero(frequent)
-    keep = frequent[features]
-    held = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
-    rows = _Rows((np.cumsum(frequent, dtype=np.int32) - 1)[features[keep]], held[bounds], len(known))
-    del table, lists, features, keep, held
+    rows = _Rows((np.cumsum(frequent, dtype=np.int32) - 1)[features], bounds, len(known))
+    del table, lists, features
     shares = np.cumsum(np.bincount(grade))[:-1] / len(grade)
     start = np.log(shares / (1 - shares))
     weights, _ = _descend(rows, grade, start, rules.sparsity + 1 / len(grade), 0.0, rules.steps)

@@ -10,7 +10,7 @@ from compare import bag, connect
 
 from fairlead.llm.exact_dedup import exact_duplicates
 from fairlead.llm.line_dedup import LineRules, remove_boilerplate
-from fairlead.llm.mixing import MixRules, mix, mixed_documents
+from fairlead.llm.mixing import MixRules, apportion, mix, mixed_documents
 from fairlead.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,6 +111,43 @@ def test_mix_meets_its_targets(spark, staging, mixture):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in found)
 
 
+@pytest.mark.parametrize("texts", [{"a": "x y z " * 40, "b": None}, {"a": "", "b": None, None: " "}, {"a": "one two three", "b": "four " * 3}])
+def test_mix_with_sources_or_shards_without_words(spark, staging, texts):
+    """Collected, not only counted: a source without words, no words at all, and more shards than documents."""
+    rows = [(i, t, s) for i, (s, t) in enumerate(texts.items())] + [(9, None, "a"), (10, "\t", "a")]
+    rules = MixRules(shard_words=1, block_words=2)
+    found = mix(docs(spark, *rows), staging, rules).collect()
+    sizes = {i: len((t or "").split()) for i, t, _ in rows}
+    assert {r.doc_id: r.size for r in found} == sizes
+    assert all(0 <= r.taken <= 2 * r.size for r in found)
+    want = targets({s: sum(sizes[i] for i, _, own in rows if own == s) for _, _, s in rows})
+    assert all(r.target == pytest.approx(want[r.source]) for r in found)
+    assert sum(r.taken for r in found) == pytest.approx(sum(want.values()), abs=2 * len(rows))
+    taken = mixed_documents(docs(spark, *rows), staging, rules).collect()
+    assert sum(len(r.text.split()) for r in taken) == sum(r.taken for r in found)
+
+
+def test_mix_of_a_very_long_text(spark, staging):
+    rows = [(1, "word " * 300_000, "a"), (2, "other " * 50, "b"), (2, "other " * 50, "b")]
+    found = {(r.doc_id, r.size): r.taken for r in mix(docs(spark, *rows), staging).collect()}
+    assert set(found) == {(1, 300_000), (2, 50)} and 0 < found[1, 300_000] <= 600_000
+
+
+def test_seats_go_to_the_highest_quotients(spark, staging):
+    """Against dealing one seat after the other: Sainte-Lague's divisors 1, 3, 5, ...; equal quotients by name, null last."""
+    groups = {"g": {"a": 53, "b": 24, "c": 23, "d": 0}, "h": {"a": 7, None: 7, "b": 7}, None: {"z": 1000, "y": 1}, "k": {"x": 0}}
+    seats = {"g": 17, "h": 4, None: 9, "k": 0}
+    rows = [(g, p, float(v), seats[g]) for g, parties in groups.items() for p, v in parties.items()]
+    table = spark.createDataFrame(rows, "key string, party string, votes double, seats long")
+    got = {(r.key, r.party): r.quota for r in apportion(table, ["key"], "party", staging, "q").collect()}
+    for g, parties in groups.items():
+        won = dict.fromkeys(parties, 0)
+        for _ in range(seats[g]):
+            best = min(parties, key=lambda p: (-parties[p] / (2 * won[p] + 1), p is None, p or ""))
+            won[best] += 1
+        assert {p: got[g, p] for p in parties} == won
+
+
 def test_mixed_texts_hold_what_is_taken(spark, staging, mixture):
     table = docs(spark, *mixture)
     rules = MixRules(shard_words=1000, block_words=64)

@@ -96,3 +96,15 @@ def test_packing_is_a_partition(spark, staging, library):
                 end += length
             assert end == len(ids[name]) if full is None else end == full or end & (end - 1) == 0
     assert pack(spark.createDataFrame([], LAYOUT), PATH, staging).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 1_000_000 + "y", "\n" * 3_000_000, " " * 3_000_000 + "<|endoftext|> a"])
+def test_long_white_space_has_the_library_s_ids(library, text):
+    assert encode([text], tokens.tokenizer_file())[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_a_text_of_white_space(spark, staging, library):
+    text = "a" + " " * 1_000_000 + "b"
+    n = len(library.encode(text, add_special_tokens=False).ids) + 1
+    rows = pack(spark.createDataFrame([(1, text), (2, "c")], "doc_id long, text string"), tokens.tokenizer_file(), staging).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == n and {r.doc_tokens for r in rows if r.doc_id == 1} == {n}
