@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlead.schema import RAW_COLUMNS
@@ -35,6 +38,41 @@ def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
     return tuple(spark.read.option("header", True).csv(as_written(file)).columns)
 
 
+#: No file is cut, and none shares a task with another, below this size.
+_APART = 1 << 40
+
+
+def first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """path and digest of the first line that isn't blank, of each file that has one: one job, which reads the files' beginnings only.
+
+    Each file is a task of its own, and the task ends with the line it looks for. No built-in operator
+    stops there, hence the function in Python; it sees one batch of lines a file.
+    """
+    alone = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        alone.conf.set(f"spark.sql.files.{name}", str(_APART))
+    lines = alone.read.text([as_written(file) for file in files]).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.trim("value").alias("line")
+    )
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (line, start) in enumerate(zip(batch.column("line"), batch.column("start"))):
+                if line.as_py() and start.as_py() == 0:
+                    yield batch.slice(at, 1).select(["path", "line"])
+                    # A worker that has seen the end of its input, as of a small file, serves the next task.
+                    next(batches, None)
+                    return
+
+    found = lines.mapInArrow(first, "path string, line string")
+    return found.select("path", F.sha2("line", 256).alias("digest"))
+
+
+def _plain(path: str) -> str:
+    """A path with one slash after its scheme; Spark's readers write one or three."""
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
 def as_written(path: str) -> str:
     """A listed path with its glob characters escaped, so that reading it finds that file."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
@@ -56,18 +94,28 @@ def read_reports(spark: SparkSession, paths: str | list[str], header: tuple[str,
     return reader.csv(paths).select(*(f"`{name}`" for name in RAW_COLUMNS))
 
 
+def files_by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. A constant number of jobs, and one file opened again for each kind of first line."""
+    named = {_plain(file): file for file in files}
+    alike: dict[str, list[str]] = defaultdict(list)
+    for path, digest in first_lines(spark, files).collect():
+        alike[digest].append(named[_plain(unquote(path))])
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for group in alike.values():
+        groups[header_of(spark, min(group))] += group
+    return {header: sorted(group) for header, group in sorted(groups.items())}
+
+
 def read_mixed_reports(spark: SparkSession, folder: str, files: list[str] | None = None) -> DataFrame:
     """Reports of a folder, or of listed files in it, that differ in column order or in extra columns.
 
-    One read per distinct header, then a union by name. The headers are read eight files at a time;
-    a folder with one known layout needs only ``read_reports``.
+    The files' first lines are read in one job, then there is one read per distinct header, and a union by name; files without any line
+    hold no report. A folder with one known layout needs only ``read_reports``.
     """
     files = list_report_files(spark, folder) if files is None else files
     if not files:
         raise FileNotFoundError(f"no CSV file in {folder}")
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda file: header_of(spark, file), files))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for header, file in zip(headers, files):
-        groups[header].append(file)
+    groups = files_by_header(spark, files)
+    if not groups:
+        raise FileNotFoundError(f"no CSV file with a header in {folder}")
     return reduce(DataFrame.unionByName, (read_reports(spark, [as_written(f) for f in group], header) for header, group in groups.items()))

@@ -10,7 +10,7 @@ from fairlead.operators.cleaning import clean_reports
 from fairlead.params import CollisionRules, ReportRules, Rules
 from fairlead.plans.pipeline import ingest, run
 from fairlead.schema import RAW_COLUMNS
-from fairlead.sources.reports import list_report_files, read_mixed_reports, read_reports
+from fairlead.sources.reports import files_by_header, list_report_files, read_mixed_reports, read_reports
 from fairlead.sources.sample import sample_reports
 from fairlead.sources.daytable import DayConflict, DayTable
 from fairlead.sources.tables import Staging, merge_positions, read_positions, shared_folder, write_positions
@@ -46,6 +46,29 @@ def test_one_read_refuses_another_column_order(spark, tmp_path):
         read_reports(spark, str(tmp_path)).collect()
 
 
+def test_headers_of_many_files_take_a_constant_number_of_jobs(spark, tmp_path):
+    """Three layouts, blank lines before a header, empty files, names with blanks and per cent signs."""
+    jobs = {}
+    for many in (12, 120):
+        folder = tmp_path / str(many)
+        folder.mkdir()
+        for n in range(many):
+            columns = (RAW_COLUMNS, tuple(reversed(RAW_COLUMNS)), RAW_COLUMNS[5:] + RAW_COLUMNS[:5])[n % 3]
+            file = folder / f"a {n}%20 [x].csv"
+            write_csv(file, [report(Latitude=f"55.{n:03d}")] * 2, columns=columns)
+            file.write_text("\n \n" * (n % 2) + file.read_text())
+        (folder / "empty.csv").write_text("")
+        files = list_report_files(spark, str(folder))
+        spark.sparkContext.setJobGroup(f"headers {many}", "")
+        groups = files_by_header(spark, files)
+        jobs[many] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers {many}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted(map(len, groups.values())) == [many // 3] * 3
+        rows = clean_reports(read_mixed_reports(spark, str(folder)), GLOBE).collect()
+        assert sorted(row.latitude for row in rows) == sorted(float(f"55.{n:03d}") for n in range(many) for _ in range(2))
+    assert jobs[120] <= jobs[12] + 1 < 10, jobs
+
+
 def test_missing_column_fails(spark, tmp_path):
     write_csv(tmp_path / "a.csv", [report()], columns=RAW_COLUMNS[:-1])
     with pytest.raises(Exception, match="Draught"):
