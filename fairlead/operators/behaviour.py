@@ -13,6 +13,8 @@ from fairlead.schema import (
     BEFORE_FIELDS,
     CANDIDATE_SCHEMA,
     DAY,
+    HOUR,
+    HOUR_SECONDS,
     POSITION_SCHEMA,
     SIDE_SCHEMA,
     SIDES,
@@ -38,32 +40,29 @@ def reports_around(
 ) -> DataFrame:
     """The track rows of each side from ``before_seconds`` before to ``after_seconds`` after, both included.
 
-    An interval join turned into an equi-join: track rows fall into slots as long as the interval,
-    a side visits the at most two slots its interval touches, and the exact bounds are checked
-    on what meets. A slot of one vessel holds at most one row per second, so the work per side is
-    bounded whatever the length of the track. If the tracks have their day as a column, as stored tracks do,
-    it takes part in the join, and Spark reads only the days that some side looks at.
+    An interval join turned into an equi-join on (vessel, hour): a side visits the hours its interval
+    touches, and the exact bounds are checked on what meets. An hour of one vessel holds at most one row per second, so the work per
+    side is bounded whatever the length of the track. Stored tracks are bucketed by vessel and hour; they are then joined where they lie. If the
+    tracks have their day as a column, as stored tracks do, Spark reads only the days that some side looks at.
     """
     expect(sides, SIDE_SCHEMA)
     needed = ["mmsi", "timestamp", *columns]
-    by_day = DAY in tracks.columns
-    track = expect(tracks, POSITION_SCHEMA, needed).select(*needed, *([DAY] if by_day else []))
-    slot = max(before_seconds + after_seconds, 1)
+    stored = [name for name in (HOUR, DAY) if name in tracks.columns]
+    track = expect(tracks, POSITION_SCHEMA, needed).select(*needed, *stored)
+    if HOUR not in stored:
+        track = track.withColumn(HOUR, F.floor(epoch_seconds(F.col("timestamp")) / HOUR_SECONDS))
     when = epoch_seconds(F.col("collision_time"))
-    visits = sides.withColumn(
-        "slot",
-        F.explode(
-            F.sequence(F.floor((when - before_seconds) / slot), F.floor((when + after_seconds) / slot))
-        ),
-    )
-    slotted = track.withColumn("slot", F.floor(epoch_seconds(F.col("timestamp")) / slot))
     start = F.col("collision_time") - F.expr(f"INTERVAL {int(before_seconds)} SECONDS")
     end = F.col("collision_time") + F.expr(f"INTERVAL {int(after_seconds)} SECONDS")
-    if by_day:
-        # A condition on the sides lets Spark prune days while it runs.
-        visits = visits.filter(F.col("vessel_side").isin(*SIDES)).withColumn(DAY, F.explode(F.sequence(F.to_date(start), F.to_date(end))))
-    met = visits.join(slotted, ["mmsi", "slot", *([DAY] if by_day else [])])
-    return met.filter(F.col("timestamp").between(start, end)).drop("slot", DAY)
+    if DAY in stored:
+        # The days looked at as one value, a few bytes a day; days of the table are tested with it while the query runs.
+        looked = sides.select(F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("day"))
+        track = track.filter(F.array_contains(looked.agg(F.collect_set("day")).scalar(), F.col(DAY)))
+    hours = F.sequence(
+        F.floor((when - before_seconds) / HOUR_SECONDS), F.floor((when + after_seconds) / HOUR_SECONDS)
+    )
+    met = sides.withColumn(HOUR, F.explode(hours)).join(track, ["mmsi", HOUR])
+    return met.filter(F.col("timestamp").between(start, end)).drop(HOUR, DAY)
 
 
 def _lower_median(condition: str) -> Column:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.functions.clock import epoch_seconds
 from fairlead.operators.area import within_area
 from fairlead.operators.cleaning import clean_reports
 from fairlead.operators.collisions import score_candidates, validate_candidates
@@ -18,7 +19,7 @@ from fairlead.operators.jumps import remove_gps_jumps
 from fairlead.operators.proximity import closest_approach, crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths
 from fairlead.params import Rules
-from fairlead.schema import DAY
+from fairlead.schema import DAY, HOUR, HOUR_SECONDS
 from fairlead.sources.documents import write_collision_document, write_trajectories
 from fairlead.sources.reports import read_mixed_reports
 from fairlead.sources.tables import Staging, read_positions, with_day, write_positions
@@ -43,15 +44,12 @@ def ingest(spark: SparkSession, folder: str, table: str, rules: Rules = Rules(),
     write_positions(clean_reports(read_mixed_reports(spark, folder), rules.reports), table, mode)
 
 
-#: Tasks that write one day of tracks.
-_TASKS_PER_DAY = 8
-
-
 def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
-    """Tracks, laid out by day: what looks at reports around an encounter reads only its days."""
+    """Tracks, laid out by day and bucketed by vessel and hour: what looks at reports around an encounter reads only its days, and
+    no track is shuffled for it again. A vessel with very many reports is dealt to all buckets, hour by hour."""
     tracks = with_day(remove_gps_jumps(positions, rules.jumps))
-    dealt = tracks.repartition(DAY, F.pmod(F.hash("mmsi"), F.lit(_TASKS_PER_DAY)))
-    return staging.keep(dealt, "tracks", by=DAY)
+    hour = F.floor(epoch_seconds(F.col("timestamp")) / HOUR_SECONDS)
+    return staging.keep(tracks.withColumn(HOUR, hour), "tracks", by=DAY, bucket_by=("mmsi", HOUR))
 
 
 def stage_candidates(tracks: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:

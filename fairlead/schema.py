@@ -21,6 +21,9 @@ def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
 
 # The day of a stored position, by which its table is laid out.
 DAY = "event_date"
+# The hour of a stored track position, counted from the epoch: with the vessel, what tracks are bucketed by.
+HOUR = "track_hour"
+HOUR_SECONDS = 3600
 
 _STRING, _DOUBLE, _LONG = T.StringType(), T.DoubleType(), T.LongType()
 _BOOLEAN, _TIME = T.BooleanType(), T.TimestampNTZType()

@@ -8,13 +8,14 @@ import pytest
 from helpers import candidate, candidates, position, positions
 
 from fairlead.operators.area import within_area
-from fairlead.operators.behaviour import after_stats, candidate_sides, side_stats, vessel_types
+from fairlead.operators.behaviour import after_stats, before_stats, candidate_sides, side_stats, vessel_types
 from fairlead.operators.cleaning import clean_reports
 from fairlead.operators.collisions import score_candidates
-from fairlead.operators.jumps import remove_gps_jumps, unique_positions
+from fairlead.operators.jumps import conflicting_instants, remove_gps_jumps, segment_ends, unique_positions, with_segment
 from fairlead.operators.proximity import crowded_cells, nearest_slots, pinpoint
-from fairlead.operators.results import trajectory_paths
+from fairlead.operators.results import trajectory_paths, trajectory_points
 from fairlead.params import JumpRules
+from fairlead.plans.pipeline import stage_tracks
 from fairlead.schema import DAY
 from fairlead.sources.sample import sample_reports
 from fairlead.sources.tables import Staging, with_day
@@ -55,6 +56,21 @@ def executed(frame) -> str:
     return execution.executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def above(plan: str, line: str) -> list[str]:
+    """The operators from ``line`` up to the next join."""
+    lines = plan.split("\n")
+    at, found = lines.index(line), []
+    depth = re.search(r"[A-Za-z*]", line).start()
+    for other in reversed(lines[:at]):
+        start = re.search(r"[A-Za-z*]", other)
+        if start and start.start() < depth:
+            depth = start.start()
+            found.append(other)
+            if "Join" in other:
+                break
+    return found
+
+
 def shuffles(plan: str) -> list[str]:
     fresh = "\n".join(line for line in plan.split("\n") if "ReusedExchange" not in line)
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", fresh)
@@ -83,6 +99,12 @@ def test_duplicates_take_one_shuffle_with_map_side_combine(tables):
     assert "partial_min" in plan and "Join" not in plan
 
 
+def test_ends_and_conflicts_are_found_by_hash_aggregation(tables):
+    for frame in (segment_ends(with_segment(tables[0])), conflicting_instants(tables[0])):
+        plan = planned(frame)
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_jump_filter_never_shuffles_a_whole_track_to_one_task(tables, no_broadcast):
     plan = executed(remove_gps_jumps(tables[0]))
     whole = [key(text) for text in shuffles(plan)]
@@ -149,11 +171,31 @@ def test_a_small_stored_candidate_table_is_broadcast_and_the_tracks_stay(tables)
         assert [keys for keys in map(key, shuffles(plan)) if "mmsi" in keys or "slot" in keys] == []
 
 
-def test_large_candidates_join_on_bounded_slots(tables, no_broadcast):
+def test_large_candidates_join_on_vessel_and_hour(tables, no_broadcast):
     track, stored, _ = tables
     plan = planned(side_stats(candidate_sides(stored), track))
-    assert [key(text) for text in shuffles(plan)].count(["mmsi", "slot"]) == 2
-    assert "SortMergeJoin [mmsi" in plan and "slot" in plan
+    assert [key(text) for text in shuffles(plan)].count(["mmsi", "track_hour"]) == 2
+    assert "SortMergeJoin [mmsi" in plan and "track_hour" in plan
+
+
+def test_stored_tracks_are_joined_where_they_lie(spark, no_broadcast):
+    """Without a broadcast, the sides are shuffled to the buckets of the tracks; results are those of tracks that aren't stored."""
+    staging = Staging(spark)
+    rows = [position(mmsi, 60 * s, 55.0 + s / 1000) for mmsi in ("219000001", "219000002") for s in range(300)]
+    plain = remove_gps_jumps(positions(spark, rows))
+    stored = staging.keep(candidates(spark, [candidate(seconds=s * 900.0, cid=f"c{s}") for s in range(18)]), "candidates")
+    track = stage_tracks(positions(spark, rows), staging)
+    for measure in (before_stats, after_stats, trajectory_points):
+        sides = stored if measure is trajectory_points else candidate_sides(stored)
+        frame = measure(sides, track)
+        plan = executed(frame)
+        scans = [line for line in plan.split("\n") if "FileScan" in line and "track_hour" in line]
+        assert len(scans) == 1 and "Bucketed: true" in scans[0]
+        path = above(plan, scans[0])
+        assert "SortMergeJoin" in path[-1] and not any("Exchange" in line for line in path), path
+        assert sorted(map(str, frame.collect())) == sorted(map(str, measure(sides, plain).collect()))
+    staging.remove()
+    assert not [t for t in spark.catalog.listTables() if t.name in staging.tables]
 
 
 def test_types_shrink_before_the_shuffle(tables):
@@ -193,5 +235,6 @@ def test_only_days_near_an_encounter_are_read(spark):
     track = staging.keep(with_day(positions(spark, rows)), "tracks", by=DAY)
     stored = staging.keep(candidates(spark, [candidate(seconds=2 * 86_400 + 600.0)]), "candidates")
     stats = side_stats(candidate_sides(stored), track)
-    assert "dynamicpruning" in planned(stats)
+    scan = next(line for line in executed(stats).split("\n") if "FileScan" in line and "event_date" in line)
+    assert re.search(r"PartitionFilters: \[.*array_contains\((Reused)?[sS]ubquery", scan)
     assert sorted(row.before_point_count for row in stats.collect()) == [61, 61]
