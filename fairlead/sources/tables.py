@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,23 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="fairlead-")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside gives its shuffle files back when it has ended, not only when the driver forgets it.
+
+    For writes: their result does not read the shuffles again.
+    """
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+
+
 class Staging:
     """Writes a table and reads it back: later steps scan columns of a file instead of recomputing.
 
@@ -91,14 +110,16 @@ class Staging:
         path = f"{self.folder}/{name}"
         if not bucket_by:
             writer = table.write.mode("overwrite")
-            (writer.partitionBy(by) if by else writer).parquet(path)
+            with shuffles_cleaned(self.spark):
+                (writer.partitionBy(by) if by else writer).parquet(path)
             return self.spark.read.schema(table.schema).parquet(path)
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         own = f"staged_{uuid.uuid4().hex}"
         self.tables.append(own)
         # Dealt as the buckets are: a task writes one file a folder.
         writer = table.repartition(buckets, *bucket_by).write.mode("overwrite").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
-        (writer.partitionBy(by) if by else writer).option("path", path).format("parquet").saveAsTable(own)
+        with shuffles_cleaned(self.spark):
+            (writer.partitionBy(by) if by else writer).option("path", path).format("parquet").saveAsTable(own)
         return self.spark.table(own).select(*table.columns)
 
     def remove(self) -> None:

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from helpers import START, position, positions, report
+from pyspark.sql import functions as F
 
 from fairlead.operators.cleaning import clean_reports
 from fairlead.params import CollisionRules, ReportRules, Rules
@@ -241,6 +242,13 @@ def test_staged_tables_can_be_removed(spark):
         spark.read.parquet(f"{staging.folder}/numbers")
 
 
+def test_storing_leaves_the_session_as_it_was(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    kept = Staging(spark).keep(spark.range(100).groupBy(F.col("id") % 3).count(), "groups")
+    assert kept.count() == 3 and spark.conf.get(name, None) == before
+
+
 def test_staging_uses_the_configured_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     staging = Staging(spark)
