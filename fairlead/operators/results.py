@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.functions.clock import time_text
+from fairlead.functions.clock import epoch_seconds, time_text
 from fairlead.operators.behaviour import candidate_sides, reports_around
 from fairlead.params import BehaviourRules
 from fairlead.schema import CANDIDATE_SCHEMA, SIDES, VALIDATED_COLUMNS, VALIDATED_SCHEMA, expect
 
 _NO_COLLISION = '{"collision_found":false}'
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+_PATH = ("candidate_id", "vessel_side", "mmsi")
+#: Length in seconds of the pieces a path is kept in.
+PIECE_SECONDS = 3600
 _IN_ORDER = ("collision_time", "candidate_id")
 
 
@@ -73,13 +76,18 @@ def trajectory_points(
     )
 
 
-def trajectory_paths(
-    candidates: DataFrame, tracks: DataFrame, rules: BehaviourRules = BehaviourRules()
-) -> DataFrame:
-    """One row per candidate and side: label, ordered path, number of points, first and last point.
+def path_pieces(candidates: DataFrame, tracks: DataFrame, rules: BehaviourRules = BehaviourRules()) -> DataFrame:
+    """The trajectories in pieces of an hour: candidate_id, vessel_side, mmsi, piece (its number, growing with time) and its points in order.
 
-    A path holds at most one point per second of the window.
+    However long the window, a row holds at most one point per second of an hour.
     """
+    piece = F.floor(epoch_seconds(F.col("timestamp")) / PIECE_SECONDS).alias("piece")
+    points = F.array_sort(F.collect_list(F.struct("timestamp", "latitude", "longitude"))).alias("points")
+    return trajectory_points(candidates, tracks, rules).groupBy(*_PATH, piece).agg(points)
+
+
+def paths_of(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One row per candidate and side of ``path_pieces``: label, number of points, first and last point."""
     names = candidates.select(
         "candidate_id",
         F.inline(
@@ -94,36 +102,33 @@ def trajectory_paths(
             )
         ),
     )
-    paths = (
-        trajectory_points(candidates, tracks, rules)
-        .groupBy("candidate_id", "vessel_side", "mmsi")
-        .agg(F.array_sort(F.collect_list(F.struct("timestamp", "latitude", "longitude"))).alias("path"))
+    ends = (("start", 1, F.min_by), ("end", -1, F.max_by))
+    fields = (("ts", "timestamp"), ("latitude", "latitude"), ("longitude", "longitude"))
+    paths = pieces.groupBy(*_PATH).agg(
+        F.sum(F.size("points")).cast("bigint").alias("n_points"),
+        *(at(F.element_at("points", place)[field], "piece").alias(f"{end}_{name}") for end, place, at in ends for name, field in fields),
     )
-    start, end = F.element_at("path", 1), F.element_at("path", -1)
     return paths.join(names, ["candidate_id", "vessel_side"]).select(
-        "candidate_id",
-        "vessel_side",
-        "mmsi",
-        "label",
-        F.size("path").cast("bigint").alias("n_points"),
-        start["timestamp"].alias("start_ts"),
-        start["latitude"].alias("start_latitude"),
-        start["longitude"].alias("start_longitude"),
-        end["timestamp"].alias("end_ts"),
-        end["latitude"].alias("end_latitude"),
-        end["longitude"].alias("end_longitude"),
-        "path",
+        *_PATH, "label", "n_points", *(f"{end}_{name}" for end, _, _ in ends for name, _ in fields)
     )
 
 
-def trajectory_features(paths: DataFrame) -> DataFrame:
-    """Each path as one GeoJSON ``Feature`` line (column ``value``): a LineString, or a Point if it has one fix."""
-    coordinates = F.transform("path", lambda point: F.array(point["longitude"], point["latitude"]))
+def trajectory_paths(
+    candidates: DataFrame, tracks: DataFrame, rules: BehaviourRules = BehaviourRules()
+) -> DataFrame:
+    """``paths_of`` the pieces that ``path_pieces`` finds."""
+    return paths_of(candidates, path_pieces(candidates, tracks, rules))
+
+
+def feature_parts(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Each path as the parts of one GeoJSON ``Feature`` (column ``value``): its beginning, each piece's coordinates, its end.
+
+    Put together in order of (candidate_id, vessel_side, part, piece) the values of a path are a LineString, or a Point if it has one fix.
+    """
+    paths = paths_of(candidates, pieces)
     properties = F.to_json(
         F.struct(
-            "candidate_id",
-            "vessel_side",
-            "mmsi",
+            *_PATH,
             "label",
             "n_points",
             time_text(F.col("start_ts")).alias("start"),
@@ -131,11 +136,24 @@ def trajectory_features(paths: DataFrame) -> DataFrame:
         ),
         _KEEP_NULLS,
     )
-    geometry = F.when(
-        F.size("path") > 1, F.to_json(F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")))
-    ).otherwise(
-        F.to_json(F.struct(F.lit("Point").alias("type"), F.element_at(coordinates, 1).alias("coordinates")))
+    line = F.col("n_points") > 1
+    opening = F.format_string(
+        '{"type":"Feature","properties":%s,"geometry":{"type":"%s","coordinates":%s',
+        properties,
+        F.when(line, F.lit("LineString")).otherwise(F.lit("Point")),
+        F.when(line, F.lit("[")).otherwise(F.lit("")),
     )
-    return paths.select(
-        F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', properties, geometry).alias("value")
+    closing = F.when(line, F.lit("]}}")).otherwise(F.lit("}}"))
+    coordinates = F.to_json(F.transform("points", lambda point: F.array(point["longitude"], point["latitude"])))
+    first = F.floor(epoch_seconds(F.col("start_ts")) / PIECE_SECONDS)
+    inner = F.substring(coordinates, F.lit(2), F.length(coordinates) - 2)
+    body = pieces.join(paths.select("candidate_id", "vessel_side", "start_ts"), ["candidate_id", "vessel_side"]).select(
+        "candidate_id",
+        "vessel_side",
+        F.lit(1).alias("part"),
+        "piece",
+        F.concat(F.when(F.col("piece") > first, F.lit(",")).otherwise(F.lit("")), inner).alias("value"),
     )
+    edges = F.array(*(F.struct(F.lit(part).alias("part"), value.alias("value")) for part, value in ((0, opening), (2, closing))))
+    frame = paths.select("candidate_id", "vessel_side", F.inline(edges)).withColumn("piece", F.lit(None).cast("bigint"))
+    return body.unionByName(frame)

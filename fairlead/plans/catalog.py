@@ -23,6 +23,7 @@ from fairlead.params import Circle, CollisionRules, JumpRules, ProximityRules, R
 from fairlead.plans.incremental import Store
 from fairlead.plans.pipeline import ingest, run, stage_candidates, stage_tracks
 from fairlead.schema import POSITION_COLUMNS, RAW_COLUMNS, RAW_TIME
+from fairlead.sources.documents import write_trajectories
 from fairlead.sources.sample import sample_reports
 from fairlead.sources.tables import DAY, Staging, merge_positions, read_positions, with_day, write_positions
 from fairlead.streaming.ingest import ingest_new_files
@@ -289,7 +290,7 @@ def trajectory_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajectory_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, candidates = encounters(spark, sf_dir)
-    return shown(results.trajectory_paths(candidates, stored).drop("path"))
+    return shown(results.trajectory_paths(candidates, stored))
 
 
 def _feature_fields(lines: DataFrame) -> DataFrame:
@@ -311,7 +312,9 @@ def _feature_fields(lines: DataFrame) -> DataFrame:
 def trajectory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The GeoJSON lines, read back."""
     stored, candidates = encounters(spark, sf_dir)
-    return _feature_fields(results.trajectory_features(results.trajectory_paths(candidates, stored)))
+    staging = Staging(spark)
+    write_trajectories(candidates, staging.keep(results.path_pieces(candidates, stored), "pieces"), f"{staging.folder}/trajectories")
+    return _feature_fields(spark.read.text(f"{staging.folder}/trajectories"))
 
 
 def _whole_run(spark: SparkSession, sf_dir: str) -> str:

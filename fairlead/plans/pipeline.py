@@ -17,7 +17,7 @@ from fairlead.operators.cleaning import clean_reports
 from fairlead.operators.collisions import score_candidates, validate_candidates
 from fairlead.operators.jumps import remove_gps_jumps
 from fairlead.operators.proximity import closest_approach, crowded_cells, nearest_slots, pinpoint
-from fairlead.operators.results import trajectory_paths
+from fairlead.operators.results import path_pieces
 from fairlead.params import Rules
 from fairlead.schema import DAY, HOUR, HOUR_SECONDS
 from fairlead.sources.documents import write_collision_document, write_trajectories
@@ -79,9 +79,9 @@ def run(spark: SparkSession, folder: str, output: str, rules: Rules = Rules()) -
     """
     positions = f"{output}/positions"
     ingest(spark, folder, positions, rules, mode="overwrite")
-    found = find_encounters(read_positions(spark, positions), Staging(spark, f"{output}/tables"), rules)
+    staging = Staging(spark, f"{output}/tables")
+    found = find_encounters(read_positions(spark, positions), staging, rules)
     write_collision_document(found.validated, f"{output}/collision_result")
-    write_trajectories(
-        trajectory_paths(found.validated, found.tracks, rules.behaviour), f"{output}/collision_trajectories"
-    )
+    pieces = staging.keep(path_pieces(found.validated, found.tracks, rules.behaviour), "pieces")
+    write_trajectories(found.validated, pieces, f"{output}/collision_trajectories")
     return found

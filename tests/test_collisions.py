@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import json
 
 import pytest
@@ -10,12 +11,15 @@ from fairlead.operators.collisions import features, is_collision, score_candidat
 from fairlead.operators.results import (
     collision_document,
     collision_rows,
-    trajectory_features,
+    feature_parts,
+    path_pieces,
     trajectory_paths,
     trajectory_points,
 )
-from fairlead.params import CollisionRules
-from fairlead.schema import CANDIDATE_SCHEMA, VALIDATED_COLUMNS, VALIDATED_SCHEMA
+from fairlead.params import BehaviourRules, CollisionRules
+from fairlead.schema import CANDIDATE_SCHEMA, POSITION_COLUMNS, POSITION_SCHEMA, VALIDATED_COLUMNS, VALIDATED_SCHEMA
+from fairlead.sources.documents import write_trajectories
+from fairlead.sources.tables import Staging
 
 ONE, TWO = "219000001", "219000002"
 
@@ -165,26 +169,50 @@ def test_result_rows(spark):
     assert {(row.collision_found, row.collision_count) for row in rows} == {(True, 2)}
 
 
-def test_trajectories(spark):
+def test_trajectories(spark, tmp_path):
     tracks, table = tracks_of_a_collision(spark), candidates(spark, [candidate(seconds=1000)])
     points = trajectory_points(table, tracks)
     assert points.groupBy("vessel_side").count().orderBy("vessel_side").collect() == [("1", 31), ("2", 61)]
-    paths = trajectory_paths(table, tracks)
+    paths, pieces = trajectory_paths(table, tracks), path_pieces(table, tracks)
     first = paths.filter("vessel_side = '1'").first()
     assert (first.label, first.n_points) == (f"ONE ({ONE})", 31)
     assert (first.start_ts, first.end_ts) == (at(400), at(1000))
-    assert [p.timestamp for p in first.path] == sorted(p.timestamp for p in first.path)
-    shapes = [json.loads(row.value) for row in trajectory_features(paths).orderBy("value").collect()]
+    points = [p.timestamp for row in pieces.filter("vessel_side = '1'").orderBy("piece").collect() for p in row.points]
+    assert points == sorted(points) and len(points) == 31
+    shapes = sorted(written(table, pieces, tmp_path), key=lambda shape: shape["properties"]["vessel_side"])
     assert [shape["properties"]["vessel_side"] for shape in shapes] == ["1", "2"]
     assert shapes[0]["geometry"]["type"] == "LineString"
     assert shapes[0]["geometry"]["coordinates"][-1] == [14.0, 55.0]
     assert shapes[0]["properties"]["start"] == str(at(400))
 
 
-def test_single_fix_is_a_point(spark):
-    tracks = positions(spark, [position(ONE, 600)])
-    (line,) = trajectory_features(trajectory_paths(candidates(spark, [candidate()]), tracks)).collect()
-    assert json.loads(line.value)["geometry"] == {"type": "Point", "coordinates": [14.0, 55.0]}
+def written(table, pieces, folder):
+    """The features in the written files, one on each line."""
+    write_trajectories(table, pieces, f"{folder}/trajectories")
+    files = [open(name).read() for name in glob.glob(f"{folder}/trajectories/part-*")]
+    return [json.loads(line) for text in files for line in (text.split("\n") if text else ())]
+
+
+def test_single_fix_is_a_point(spark, tmp_path):
+    tracks, table = positions(spark, [position(ONE, 600)]), candidates(spark, [candidate()])
+    (shape,) = written(table, path_pieces(table, tracks), tmp_path)
+    assert shape["geometry"] == {"type": "Point", "coordinates": [14.0, 55.0]}
+
+
+def test_no_row_holds_a_whole_day_s_path(spark, tmp_path):
+    """A window of a day, a point every second: rows of at most an hour, and the file has the whole path on its line."""
+    row = position(ONE, 0)
+    tracks = spark.range(86_400).selectExpr(
+        *(f"timestampadd(SECOND, id, TIMESTAMP_NTZ'{at(0)}') AS timestamp" if name == "timestamp" else f"{'NULL' if value is None else repr(value)} AS {name}" for name, value in zip(POSITION_COLUMNS, row)),
+    )
+    tracks = tracks.select(*(F.col(f.name).cast(f.dataType) for f in POSITION_SCHEMA)).withColumn("latitude", 55 + F.second("timestamp") / 1000)
+    table = candidates(spark, [candidate(cid=cid, seconds=43_200.0) for cid in ("c1", "c2", "c3")])
+    pieces = Staging(spark).keep(path_pieces(table, tracks, BehaviourRules(window_minutes=720)), "pieces")
+    assert pieces.selectExpr("max(size(points))").first()[0] == 3600
+    assert feature_parts(table, pieces).selectExpr("max(length(value))").first()[0] < 3600 * 25
+    shapes = written(table, pieces, tmp_path)
+    assert sorted(shape["properties"]["candidate_id"] for shape in shapes) == ["c1", "c2", "c3"]
+    assert all(shape["geometry"]["coordinates"] == [[14.0, 55 + s % 60 / 1000] for s in range(86_400)] for shape in shapes)
 
 
 def test_layout_errors_name_the_column(spark):

@@ -270,5 +270,5 @@ def test_pipeline_from_files(spark, tmp_path, metres, points, found):
     assert document["collision_count"] == found == len(document["collisions"])
     times = [item["collision_time"] for item in document["collisions"]]
     assert times == sorted(times)
-    lines = "".join(open(part).read() for part in glob.glob(f"{output}/collision_trajectories/part-*")).splitlines()
+    lines = [line for part in glob.glob(f"{output}/collision_trajectories/part-*") for line in open(part).read().splitlines()]
     assert len(lines) == 2 * found and all(json.loads(line)["type"] == "Feature" for line in lines)
