@@ -85,25 +85,27 @@ def remove_boilerplate(docs: DataFrame, staging: Staging, rules: LineRules = Lin
     drops = (
         found.join(spread(boilerplate), ["h", "g", "__salt"])
         .filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.col("first").isNull()))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
-        .agg(F.sort_array(F.collect_set("at")).alias("__drop"))
+        .groupBy(F.col("doc_id").alias("dropped_id"), F.col("row").alias("dropped_row"))
+        .agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     )
     drops = staging.keep(drops, "dropped_lines")
-    kept = docs.drop("n_lines", "n_removed").withColumn("__key", F.xxhash64(whole()))
+    # The caller's columns go by number, so that none clashes with a helper.
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = {c: f"column_{i}" for i, c in enumerate(columns)}
+    kept = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in columns), F.xxhash64(whole()).alias("key"))
     joined = kept.join(
-        drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left"
+        drops, F.col(own["doc_id"]).eqNullSafe(F.col("dropped_id")) & (F.col("key") == F.col("dropped_row")), "left"
     )
     # What lies between two dropped lines is taken as a slice, so that the work grows with the lines only.
     pieces = F.expr(
-        "flatten(transform(sequence(0, size(__drop)), i -> slice(__lines, if(i = 0, 0, __drop[i - 1] + 1) + 1,"
-        " if(i = size(__drop), size(__lines), __drop[i]) - if(i = 0, 0, __drop[i - 1] + 1))))"
+        "flatten(transform(sequence(0, size(dropped)), i -> slice(lines, if(i = 0, 0, dropped[i - 1] + 1) + 1,"
+        " if(i = size(dropped), size(lines), dropped[i]) - if(i = 0, 0, dropped[i - 1] + 1))))"
     )
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.withColumn("__lines", F.split("text", "\n")).select(
-        *columns,
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("long").alias("n_removed"),
+    text = F.when(F.col("dropped").isNull(), F.col(own["text"])).otherwise(F.array_join(pieces, "\n"))
+    return joined.withColumn("lines", F.split(own["text"], "\n")).select(
+        *((text if c == "text" else F.col(own[c])).alias(c) for c in columns),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

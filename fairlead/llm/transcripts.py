@@ -38,13 +38,17 @@ STATES = [(role, begins) for role in range(len(ROLES)) for begins in (True, Fals
 class TranscriptRules:
     """A task decodes ``window`` messages of a conversation, or joins ``fan`` such stretches. Counts start at ``prior``.
 
-    For counting, a window has ``context`` more messages on either side.
+    For counting, a window has ``context`` more messages on either side. Pseudo-counts: a state has markers as if ``marked`` of its lines had
+    been read once with each, nine tenths of that for the marker of a beginning state's own role and a hundredth for any other; a turn
+    begins inside a message ``inner`` times as often as at the start of one.
     """
 
     window: int = 256
     context: int = 16
     prior: float = 0.5
     fan: int = 256
+    marked: float = 0.01
+    inner: float = 1 / 9
 
 
 @dataclass(frozen=True)
@@ -122,14 +126,17 @@ def fit(messages: DataFrame, staging: Staging, rules: TranscriptRules = Transcri
     tables.update((f"seen{i}", np.zeros((size, n))) for i, n in enumerate(SHAPE))
     for row in table:
         tables[row["kind"]][0 if row["kind"] == "first" else row["i"], row["j"]] += row["n"]
-    logs = {k: np.log((t + rules.prior) / (t + rules.prior).sum(axis=1, keepdims=True)) for k, t in tables.items()}
-    # Tables of messages have one turn each and no markers. A marker says by its name whose line it is, and a turn may also begin
-    # inside a message.
+    # Smoothed counts. Tables of messages have few markers or none, and one turn each, so what a marker says and that a turn may also begin
+    # inside a message comes from pseudo-counts, in proportion to a state's lines; counted ones are added to.
+    smooth = {kind: table + rules.prior for kind, table in tables.items()}
+    lines = tables["seen0"].sum(axis=1) + rules.prior
     for state, (owner, begins) in enumerate(STATES):
         for role in range(len(ROLES)):
-            logs["seen0"][state, role + 1] = np.log(0.9 if owner == role and begins else 0.01)
+            share = rules.marked * (0.9 if owner == role and begins else 0.01)
+            smooth["seen0"][state, role + 1] = tables["seen0"][state, role + 1] + share * lines[state]
         if begins:
-            logs["seen1"][state] = np.log([0.1, 0.9])
+            smooth["seen1"][state, 0] += rules.inner * smooth["seen1"][state, 1]
+    logs = {kind: np.log(table / table.sum(axis=1, keepdims=True)) for kind, table in smooth.items()}
     return RoleModel(logs["first"][0], logs["next"], tuple(logs[f"seen{i}"] for i in range(len(SHAPE))))
 
 

@@ -149,6 +149,36 @@ def test_roles_are_recovered(spark, staging):
     assert transcripts.recover_turns(messages.filter("false"), model, staging).count() == 0
 
 
+def test_fit_counts_every_line(spark, staging):
+    """Against counting in plain Python; markers in the table count, and every table's rows sum to one."""
+    rules = transcripts.TranscriptRules(window=4, context=2)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", ("User: hi\nmore" if c == 1 else f"line {t}?") + "\nlast" * (c % 3)) for c in range(4) for t in range(11)]
+    rows += [(1, 10, *rows[21][2:]), (9, 0, "narrator", "left out"), (None, 0, "system", None), (9, 1, "system", "")]
+    model = transcripts.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), staging, rules)
+    assert all(np.allclose(np.exp(table).sum(axis=-1), 1) for table in (model.first, model.following, *model.seen))
+    seen = [np.zeros((len(transcripts.STATES), n)) for n in transcripts.SHAPE]
+    following = np.zeros((len(transcripts.STATES),) * 2)
+    known = sorted((r for r in rows if r[2] in transcripts.ROLES), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3] or ""))
+    last = None
+    for conv, _, role, text in known:
+        for i, line in enumerate((text or "").split("\n")):
+            state = transcripts.STATES.index((transcripts.ROLES.index(role), i == 0))
+            for table, value in zip(seen, transcripts.line_features(line, i == 0)[0]):
+                table[state, value] += 1
+            if last is not None and last[0] == conv:
+                following[last[1], state] += 1
+            last = (conv, state)
+    counted = following + rules.prior
+    assert np.allclose(np.exp(model.following), counted / counted.sum(axis=1, keepdims=True))
+    for table, logs in list(zip(seen, model.seen))[2:]:
+        assert np.allclose(np.exp(logs), (table + rules.prior) / (table + rules.prior).sum(axis=1, keepdims=True))
+    assert seen[0][:, 1:].sum() > 0
+    for state, (owner, begins) in enumerate(transcripts.STATES):
+        lines = seen[0][state].sum() + rules.prior
+        want = seen[0][state] + [rules.prior, *(lines * rules.marked * (0.9 if owner == r and begins else 0.01) for r in range(len(transcripts.ROLES)))]
+        assert np.allclose(np.exp(model.seen[0][state]), want / want.sum())
+
+
 def test_viterbi_finds_the_best_path():
     from itertools import product
 

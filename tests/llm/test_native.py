@@ -65,6 +65,20 @@ def test_lines_on_many_sites_stay_once(spark, staging):
     assert got[51, None] == (0, 0) and got[52, ""] == (1, 0) and got[None, ""] == (1, 1)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark, staging):
+    """Columns named as helpers come back as they were; a very long text, repeated rows and a line of many sites."""
+    extra = ["__key", "__drop", "__id", "__row", "key", "dropped", "lines", "column_0", "h", "g", "n_lines", "a.b"]
+    rows = [(i, f"own {i}\nshared", f"s{i}", *(f"{c} {i}" for c in extra)) for i in range(10)]
+    rows += [(20, "x\n" * 200_000 + "shared", "s1", *extra), (0, "own 0\nshared", "s0", *(f"{c} 0" for c in extra))]
+    layout = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in extra)
+    table = spark.createDataFrame(rows, layout)
+    found = remove_boilerplate(table, staging, LineRules(min_sites=8))
+    assert found.columns == [c for c in table.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert found.count() == 12 and got[0].n_removed == 0 and got[3].text == "own 3" and got[20].n_lines == 200_001
+    assert all(got[3][c] == f"{c} 3" for c in extra if c != "n_lines")
+
+
 def targets(sizes: dict, weights=(3, 1, 2)) -> dict:
     """The definition, by filling sources one at a time."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
