@@ -44,12 +44,16 @@ def ingest(spark: SparkSession, folder: str, table: str, rules: Rules = Rules(),
     write_positions(clean_reports(read_mixed_reports(spark, folder), rules.reports), table, mode)
 
 
-def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
-    """Tracks, laid out by day and bucketed by vessel and hour: what looks at reports around an encounter reads only its days, and
+def keep_tracks(tracks: DataFrame, staging: Staging, name: str = "tracks") -> DataFrame:
+    """Cleaned positions, stored by day and bucketed by vessel and hour: what looks at reports around an encounter reads only its days, and
     no track is shuffled for it again. A vessel with very many reports is dealt to all buckets, hour by hour."""
-    tracks = with_day(remove_gps_jumps(positions, rules.jumps))
     hour = F.floor(epoch_seconds(F.col("timestamp")) / HOUR_SECONDS)
-    return staging.keep(tracks.withColumn(HOUR, hour), "tracks", by=DAY, bucket_by=("mmsi", HOUR))
+    return staging.keep(with_day(tracks).withColumn(HOUR, hour), name, by=DAY, bucket_by=("mmsi", HOUR))
+
+
+def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
+    """Tracks without jumps, stored by ``keep_tracks``."""
+    return keep_tracks(remove_gps_jumps(positions, rules.jumps), staging)
 
 
 def stage_candidates(tracks: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:
