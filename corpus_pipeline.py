@@ -2,6 +2,9 @@
 
 Each function takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents, with ``n_chars`` counted anew where texts change.
+
+Every stage takes null doc_ids, sources and texts, repeated rows, tables without rows and further columns of any name. What a stage makes of
+texts without words is said in its docstring; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,27 +31,39 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the severity model, fitted on the labels of ``sf_dir``, rejects."""
+    """Without the documents that the severity model, fitted on the labels of ``sf_dir``, rejects.
+
+    A null or empty text has no features, so it is judged by the thresholds alone and stays. Without labels of two grades all stay.
+    """
     return without_toxic(docs, fitted(spark, sf_dir, docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; lines that many sources share stay only in the first document that has them."""
+    """All documents; lines that many sources share stay only in the first document that has them.
+
+    A null text stays null and an empty one empty; a document may become empty. Rows of one doc_id and text are treated alike.
+    """
     return _counted(remove_boilerplate(docs, Staging(spark)).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents linked by similar sets of shingles."""
+    """One document of each group of documents linked by similar sets of shingles.
+
+    Documents without words are linked with nothing and stay, repeated rows of them too; of other repeated rows one stays.
+    """
     return one_of_each_group(docs, Staging(spark), NEAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes; a document taken more than once gives more than one row."""
+    """The words that the mix takes; a document taken more than once gives more than one row.
+
+    Documents without words are not part of a mix; without any words there is no row.
+    """
     return _counted(mixed_documents(docs, Staging(spark), MIX))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. Every document has at least its end token; null counts as empty."""
     return pack(docs, tokenizer_file(), Staging(spark))
 
 
