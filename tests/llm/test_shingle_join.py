@@ -141,3 +141,16 @@ def test_pipeline(spark):
         sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "mixing", "packing"]
+
+
+def test_pipeline_without_texts(spark, tmp_path):
+    """No document at all, and documents without words: every stage runs and gives what its docstring says."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (2, "", None, None, None), (3, " \n ", "x", "b", 3)]
+    for name, table in (("none", docs.filter("false")), ("blank", spark.createDataFrame(rows, docs.schema))):
+        staging, kept, left = Staging(spark), table, []
+        for stage, function in corpus_pipeline.STAGES:
+            kept = staging.keep(function(spark, kept, str(tmp_path)), f"{name}_{stage}")
+            left.append(kept.count())
+        assert left == ([0] * 5 if name == "none" else [5, 5, 5, 0, 0])
