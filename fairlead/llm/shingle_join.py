@@ -13,7 +13,8 @@ sketches are close: first just enough to connect them, at last all. What is not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,12 +155,13 @@ def part_keys(docs: DataFrame, rules: JoinRules) -> DataFrame:
     return in_batches(docs.select("text"), keyed, "key long, c long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
-    """c, size, sketch, wide (a sketch as long as the set needs) and items (the sorted shingles) of the sets whose texts have the hashes ``wanted`` (text_hash), and maybe of others."""
+def _per_class(docs: DataFrame, wanted: DataFrame, rules: JoinRules, read: Callable[[np.ndarray], tuple], kinds: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
+    """c and what ``read`` makes of a set (columns ``kinds``), for the sets whose texts have the hashes ``wanted`` (text_hash), and maybe for others."""
     rows = docs.select("text", F.xxhash64(whole()).alias("text_hash"))
     rows = may_hold(rows, "text_hash", row_filter(wanted, "text_hash"))
+    arrow = [pa.int64(), *(kind for kind, _ in kinds.values())]
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in portions(batches):
             found = []
@@ -167,22 +169,33 @@ def class_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFram
                 name = int(_name(values).view(np.int64)) if len(values) else None
                 if name is not None and name not in seen:
                     seen.add(name)
-                    wide = _sketch(values, _wide_words(len(values))).tobytes()
-                    found.append((name, len(values), _sketch(values), wide, values.tobytes()))
+                    found.append((name, *read(values)))
             if found:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["c", "size", "sketch", "wide", "items"])
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["c", *kinds])
 
-    sets = in_batches(rows.select("text"), whole_sets, "c long, size long, sketch array<long>, wide binary, items binary")
-    return sets.groupBy("c").agg(*(F.first(n).alias(n) for n in ("size", "sketch", "wide", "items")))
+    schema = ", ".join(["c long", *(f"{n} {kind}" for n, (_, kind) in kinds.items())])
+    sets = in_batches(rows.select("text"), made, schema)
+    return sets.groupBy("c").agg(*(F.first(n).alias(n) for n in kinds))
 
 
-def close_in_sketch(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+def class_looks(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
+    """c, size, sketch and wide (a sketch as long as the set needs: about a byte for each shingle at most)."""
+    kinds = {"size": (pa.int64(), "long"), "sketch": (pa.list_(pa.int64()), "array<long>"), "wide": (pa.binary(), "binary")}
+    read = lambda v: (len(v), _sketch(v), _sketch(v, _wide_words(len(v))).tobytes())
+    return _per_class(docs, wanted, rules, read, kinds)
+
+
+def class_items(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
+    """c and items (the sorted shingles, eight bytes each)."""
+    return _per_class(docs, wanted, rules, lambda v: (v.tobytes(),), {"items": (pa.binary(), "binary")})
+
+
+def close_in_sketch(pairs: DataFrame, looks: DataFrame, rules: JoinRules) -> DataFrame:
     """The pairs (x, y) whose sizes and sketches allow a link, and how many bits their sketches are apart."""
     p = rules.percent
     for side in ("x", "y"):
-        shape = sets.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
+        shape = looks.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
         pairs = pairs.join(shape, side)
         if side == "y":
             pairs = pairs.filter(F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * p)
@@ -319,6 +332,27 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return counted.filter("apart").drop("apart")
 
 
+@dataclass(frozen=True)
+class Classes:
+    """The documents, a text_hash for each class c (``texts``), and ``class_looks`` of those that share a bucket with others (``looks``)."""
+
+    docs: DataFrame
+    texts: DataFrame
+    looks: DataFrame
+
+    @contextmanager
+    def whole_sets(self, pairs: DataFrame, staging: Staging, rules: JoinRules, name: str) -> Iterator[DataFrame]:
+        """``class_items`` of the classes in ``pairs`` (x, y), read off the texts again; they are deleted at the end.
+
+        Most classes that share a bucket are far apart by their sketches, which have an eighth of the size. Inside, results must be stored.
+        """
+        apart = Staging(staging.spark, f"{staging.folder}/items_{name}")
+        both = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
+        wanted = self.texts.join(both, "c", "left_semi").select("text_hash")
+        yield apart.keep(class_items(self.docs, wanted, rules), "items")
+        apart.remove()
+
+
 def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRules) -> DataFrame:
     """c and root of the classes that are linked with another; what the module's head describes."""
     bucket = Window.partitionBy("key")
@@ -336,10 +370,13 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
     stars = staging.keep(
         members.filter("c <> lead").select(F.col("lead").alias("x"), F.col("c").alias("y")).distinct(), "stars"
     )
-    one_text = shape.groupBy("c").agg(F.min("text_hash").alias("text_hash"))
-    wanted = one_text.join(members.select("c").distinct(), "c", "left_semi").select("text_hash")
-    sets = staging.keep(class_sets(docs, wanted, rules), "sets")
-    links = staging.keep(linked_pairs(close_in_sketch(stars, sets, rules), sets, rules), "links_1")
+    texts = staging.keep(shape.groupBy("c").agg(F.min("text_hash").alias("text_hash")), "texts")
+    wanted = texts.join(members.select("c").distinct(), "c", "left_semi").select("text_hash")
+    looks = staging.keep(class_looks(docs, wanted, rules), "looks")
+    classes = Classes(docs, texts, looks)
+    close = staging.keep(close_in_sketch(stars, looks, rules), "close_1")
+    with classes.whole_sets(close, staging, rules, "1") as sets:
+        links = staging.keep(linked_pairs(close, sets, rules), "links_1")
 
     left = staging.keep(_rooted(members, components(links, staging, "roots_1")), "left_1")
     small = left.filter(F.col("members") <= rules.small)
@@ -351,36 +388,38 @@ def set_links(docs: DataFrame, shape: DataFrame, staging: Staging, rules: JoinRu
         .distinct()
     )
     large = left.filter(F.col("members") > rules.small)
-    looks = sets.select("c", "size", "sketch")
-    connecting = close_pairs(large.join(looks, "c"), rules, all_of_them=False)
-    pairs = pairs.unionByName(connecting).distinct().join(stars, ["x", "y"], "left_anti")
-    links = _more_links(links, pairs, sets, staging, rules, "2")
+    short = looks.select("c", "size", "sketch")
+    connecting = close_pairs(large.join(short, "c"), rules, all_of_them=False)
+    # Stored, so that the shuffles of the buckets are gone when the sketches of pairs are sent.
+    pairs = staging.keep(pairs.unionByName(connecting).distinct().join(stars, ["x", "y"], "left_anti"), "pairs_2")
+    links = _more_links(links, pairs, classes, staging, rules, "2")
     roots = components(links, staging, "roots_2")
 
     large = staging.keep(_rooted(large, roots), "left_2")
     if large.isEmpty():
         return roots
-    rest = close_pairs(large.join(looks, "c"), rules, all_of_them=True)
-    return components(_more_links(links, rest, sets, staging, rules, "3"), staging, "roots_3")
+    rest = staging.keep(close_pairs(large.join(short, "c"), rules, all_of_them=True), "pairs_3")
+    return components(_more_links(links, rest, classes, staging, rules, "3"), staging, "roots_3")
 
 
-def _more_links(links: DataFrame, pairs: DataFrame, sets: DataFrame, staging: Staging, rules: JoinRules, name: str) -> DataFrame:
+def _more_links(links: DataFrame, pairs: DataFrame, classes: Classes, staging: Staging, rules: JoinRules, name: str) -> DataFrame:
     """``links`` and enough of those among ``pairs`` to connect the same classes as all of them would.
 
     Whole sets are sent only where they can matter: first for the closest pairs of each class, then for the pairs that these have not connected.
     """
-    close = close_in_sketch(pairs, sets, rules)
+    close = close_in_sketch(pairs, classes.looks, rules)
     places = (F.row_number().over(Window.partitionBy(side).orderBy("apart", "x", "y")) for side in ("x", "y"))
     close = staging.keep(close.withColumn("first", F.least(*places) <= 2), f"close_{name}")
-    best = linked_pairs(close.filter("first").select("x", "y"), sets, rules)
-    links = staging.keep(links.unionByName(best), f"links_{name}a")
-    roots = components(links, staging, f"roots_{name}a")
-    rest = close.filter("not first").select("x", "y")
-    for side in ("x", "y"):
-        top = roots.select(F.col("c").alias(side), F.col("root").alias(f"root_{side}"))
-        rest = rest.join(top, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    rest = staging.keep(rest.filter("root_x <> root_y").select("x", "y"), f"rest_{name}")
-    return staging.keep(links.unionByName(linked_pairs(rest, sets, rules)), f"links_{name}")
+    with classes.whole_sets(close, staging, rules, name) as sets:
+        best = linked_pairs(close.filter("first").select("x", "y"), sets, rules)
+        links = staging.keep(links.unionByName(best), f"links_{name}a")
+        roots = components(links, staging, f"roots_{name}a")
+        rest = close.filter("not first").select("x", "y")
+        for side in ("x", "y"):
+            top = roots.select(F.col("c").alias(side), F.col("root").alias(f"root_{side}"))
+            rest = rest.join(top, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        rest = staging.keep(rest.filter("root_x <> root_y").select("x", "y"), f"rest_{name}")
+        return staging.keep(links.unionByName(linked_pairs(rest, sets, rules)), f"links_{name}")
 
 
 def similar_documents(docs: DataFrame, staging: Staging, rules: JoinRules = JoinRules()) -> DataFrame:
