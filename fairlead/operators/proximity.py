@@ -28,8 +28,9 @@ _ENCOUNTER = "encounter"
 
 # The bitmap of crowded cells has 2**22 bits in words of 64: at most 65,536 rows, however many cells are crowded.
 _BITMAP_BITS = 22
-# Tasks that share the reports of one crowded cell while they learn its parts.
+# Tasks that share the reports of one crowded cell while they learn its parts, and the rows of a cell up to which one task is enough.
 _SALTS = 16
+_UNSALTED_ROWS = 65_536
 
 
 def _cell_degrees(rules: ProximityRules) -> float:
@@ -133,28 +134,36 @@ def _parted(met: DataFrame, own: str, other: str) -> DataFrame:
     return met.withColumn(own, mine).withColumn(other, theirs)
 
 
-def _divide(cells: DataFrame, crowded: DataFrame, stored: bool, own: str, other: str) -> DataFrame:
+def _divide(cells: DataFrame, crowded: DataFrame, stored: bool, split_rows: int, own: str, other: str) -> DataFrame:
     """Spread the reports of a crowded cell over ``early_parts`` x ``late_parts`` sub-keys.
 
     A report takes one part of its own side and visits every part of the other, so each pair of
     reports still meets under exactly one key and no task gets the product of a crowded cell's sides.
 
     Which reports may lie in a crowded cell is told by a bitmap, broadcast because its size is bounded. The others get their key in
-    the scan; only those few meet the crowded cells, by cell and salt, so that not even this join gathers a cell.
+    the scan; only those few meet the crowded cells, by cell and salt, so that not even this join gathers a cell. It is merged: Spark
+    knows the stored cells' size, not how often the salts repeat them, and would send them through the driver. A second bitmap tells the
+    few cells that need salts.
     Cells that are not stored would be counted for the bitmap and again for the join; they are joined as they are.
     """
     columns = [*cells.columns, own, other]
     if not stored:
         return _parted(cells.join(crowded, list(CELL), "left"), own, other).select(*columns)
     word, bit = _bit_of_cell()
-    bitmap = crowded.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    full = F.greatest(*(F.col(f"{part}s") for part in _PART)).cast("bigint") * split_rows > _UNSALTED_ROWS
+    bits = crowded.select(word.alias("word"), bit.alias("bit"), F.when(full, bit).otherwise(F.lit(0)).alias("full"))
+    bitmap = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or("full").alias("full_bits"))
     marked = cells.withColumn("word", word).join(F.broadcast(bitmap), "word", "left")
     may = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
     plain = marked.filter(~may).select(*cells.columns, F.lit(0).alias(own), F.lit(0).alias(other))
 
-    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-    salted = marked.filter(may).withColumn("salt", F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(_SALTS)).cast("int"))
-    met = salted.join(crowded.withColumn("salt", F.explode(salts)), [*CELL, "salt"], "left")
+    salts = F.when(F.col("full_bits").bitwiseAND(bit) != 0, F.lit(_SALTS)).otherwise(F.lit(1))
+    salted = marked.filter(may).withColumn("salt", F.pmod(F.xxhash64("mmsi", "timestamp"), salts).cast("int"))
+    # Cells of one bit have the same salts, as their reports do.
+    sizes = [f"{part}s" for part in _PART]
+    parts = crowded.select(*sizes, *CELL, word.alias("word")).join(F.broadcast(bitmap), "word")
+    parts = parts.select(*sizes, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *CELL)
+    met = salted.join(parts.hint("merge"), [*CELL, "salt"], "left")
     return plain.unionByName(_parted(met, own, other).select(*columns))
 
 
@@ -173,8 +182,8 @@ def _meetings(points: DataFrame, rules: ProximityRules, crowded: DataFrame | Non
     stored = crowded is not None
     crowded = crowded if stored else crowded_cells(points, rules)
     points = points.withColumn("seconds", epoch_seconds(F.col("timestamp")))
-    early = _divide(home_cells(points, rules), crowded, stored, *_PART).alias("early")
-    late = _divide(reached_cells(points, rules), crowded, stored, *reversed(_PART)).alias("late")
+    early = _divide(home_cells(points, rules), crowded, stored, rules.split_rows, *_PART).alias("early")
+    late = _divide(reached_cells(points, rules), crowded, stored, rules.split_rows, *reversed(_PART)).alias("late")
 
     if visits is None or visits > rules.broadcast_visits:
         late = late.hint("merge")

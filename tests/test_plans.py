@@ -138,6 +138,20 @@ def test_no_exchange_gathers_a_crowded_cell(tables, no_broadcast):
     assert set(re.findall(r"BroadcastHashJoin \[(\w+?)#", plan)) == {"word"}
 
 
+def test_crowded_cells_are_never_sent_through_the_driver(spark, tables):
+    """Spark knows the size of the stored cells, not that their rows are repeated for the salts."""
+    track, _, staging = tables
+    crowded = staging.keep(crowded_cells(track), "crowded_many")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100g")
+    try:
+        plan = planned(nearest_slots(track, crowded=crowded))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+?)#", plan)) == {"word"}
+    assert len(re.findall(r"SortMergeJoin \[time_bucket#\d+L, lat_cell#\d+L, lon_cell#\d+L, salt", plan)) == 2
+
+
 @pytest.mark.parametrize("visits, kind", [(None, "SortMergeJoin"), (7_000_000, "SortMergeJoin"), (5_000, "BroadcastHashJoin")])
 def test_the_replicated_side_is_broadcast_only_if_few_rows_were_counted(spark, tables, visits, kind):
     track, _, staging = tables

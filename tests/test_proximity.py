@@ -9,6 +9,7 @@ from helpers import START, at, miles, position, positions
 from pyspark.sql import Observation
 
 from fairlead.functions.geo import latitude_reach
+from fairlead.operators import proximity
 from fairlead.operators.proximity import (
     closest_approach,
     crowded_cells,
@@ -100,6 +101,22 @@ def test_a_quiet_cell_beside_a_crowded_one_is_divided_on_its_late_side(spark):
         assert pairs(proximity_pairs(table, rules, stored)) == brute_force(rows)
 
 
+@pytest.mark.parametrize("unsalted, factor", [(65_536, 1), (60, 16)])
+def test_only_cells_of_very_many_reports_are_salted(spark, monkeypatch, unsalted, factor):
+    """One cell of 100 reports, one of 20; both are divided, their pairs stay."""
+    monkeypatch.setattr(proximity, "_UNSALTED_ROWS", unsalted)
+    rows = [position(f"2190{n:05d}", n % 50, 55.2 + n * 1e-7, 14.2) for n in range(100)]
+    rows += [position(f"2191{n:05d}", n % 50, 55.9 + n * 1e-7, 14.2) for n in range(20)]
+    table, rules = positions(spark, rows), ProximityRules(split_rows=10)
+    crowded = Staging(spark).keep(crowded_cells(table, rules), "crowded")
+    assert crowded.count() == 2
+    assert pairs(proximity_pairs(table, rules, crowded)) == brute_force(rows)
+    exploded = []
+    monkeypatch.setattr(type(crowded), "hint", lambda frame, *_: exploded.append(frame) or frame)
+    proximity._divide(home_cells(table, rules), crowded, True, rules.split_rows, *proximity._PART)
+    assert exploded[0].count() == factor + 1
+
+
 def test_time_gap_is_closed(spark):
     for gap, met in ((60, 1), (61, 0)):
         for start in range(0, 120, 17):
