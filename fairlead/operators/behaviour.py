@@ -13,8 +13,10 @@ from fairlead.schema import (
     BEFORE_FIELDS,
     CANDIDATE_SCHEMA,
     DAY,
+    FIRST_DAY,
     HOUR,
     HOUR_SECONDS,
+    LAST_DAY,
     POSITION_SCHEMA,
     SIDE_SCHEMA,
     SIDES,
@@ -43,26 +45,28 @@ def reports_around(
     An interval join turned into an equi-join on (vessel, hour): a side visits the hours its interval
     touches, and the exact bounds are checked on what meets. An hour of one vessel holds at most one row per second, so the work per
     side is bounded whatever the length of the track. Stored tracks are bucketed by vessel and hour; they are then joined where they lie. If the
-    tracks have their day as a column, as stored tracks do, Spark reads only the days that some side looks at.
+    tracks have their day as a column, or the days of their folder, as stored tracks do, Spark reads only the days that some side looks at.
     """
     expect(sides, SIDE_SCHEMA)
     needed = ["mmsi", "timestamp", *columns]
-    stored = [name for name in (HOUR, DAY) if name in tracks.columns]
+    stored = [name for name in (HOUR, DAY, FIRST_DAY, LAST_DAY) if name in tracks.columns]
     track = expect(tracks, POSITION_SCHEMA, needed).select(*needed, *stored)
     if HOUR not in stored:
         track = track.withColumn(HOUR, F.floor(epoch_seconds(F.col("timestamp")) / HOUR_SECONDS))
     when = epoch_seconds(F.col("collision_time"))
     start = F.col("collision_time") - F.expr(f"INTERVAL {int(before_seconds)} SECONDS")
     end = F.col("collision_time") + F.expr(f"INTERVAL {int(after_seconds)} SECONDS")
-    if DAY in stored:
+    if DAY in stored or FIRST_DAY in stored:
         # The days looked at as one value, a few bytes a day; days of the table are tested with it while the query runs.
         looked = sides.select(F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("day"))
-        track = track.filter(F.array_contains(looked.agg(F.collect_set("day")).scalar(), F.col(DAY)))
+        days = looked.agg(F.collect_set("day")).scalar()
+        own = F.array_contains(days, F.col(DAY)) if DAY in stored else F.arrays_overlap(days, F.sequence(FIRST_DAY, LAST_DAY))
+        track = track.filter(own)
     hours = F.sequence(
         F.floor((when - before_seconds) / HOUR_SECONDS), F.floor((when + after_seconds) / HOUR_SECONDS)
     )
     met = sides.withColumn(HOUR, F.explode(hours)).join(track, ["mmsi", HOUR])
-    return met.filter(F.col("timestamp").between(start, end)).drop(HOUR, DAY)
+    return met.filter(F.col("timestamp").between(start, end)).drop(HOUR, DAY, FIRST_DAY, LAST_DAY)
 
 
 def _lower_median(condition: str) -> Column:

@@ -19,10 +19,10 @@ from fairlead.operators.jumps import remove_gps_jumps
 from fairlead.operators.proximity import closest_approach, crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import path_pieces
 from fairlead.params import Rules
-from fairlead.schema import DAY, HOUR, HOUR_SECONDS
+from fairlead.schema import FIRST_DAY, HOUR, HOUR_SECONDS, LAST_DAY
 from fairlead.sources.documents import write_collision_document, write_trajectories
 from fairlead.sources.reports import read_mixed_reports
-from fairlead.sources.tables import Staging, read_positions, with_day, write_positions
+from fairlead.sources.tables import Staging, read_positions, write_positions
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,30 @@ def ingest(spark: SparkSession, folder: str, table: str, rules: Rules = Rules(),
     write_positions(clean_reports(read_mixed_reports(spark, folder), rules.reports), table, mode)
 
 
+# Rows of a stored track file at least, if there are as many: a folder holds so many days.
+TRACK_FILE_ROWS = 20_000
+
+
 def keep_tracks(tracks: DataFrame, staging: Staging, name: str = "tracks") -> DataFrame:
-    """Cleaned positions, stored by day and bucketed by vessel and hour: what looks at reports around an encounter reads only its days, and
-    no track is shuffled for it again. A vessel with very many reports is dealt to all buckets, hour by hour."""
-    hour = F.floor(epoch_seconds(F.col("timestamp")) / HOUR_SECONDS)
-    return staging.keep(with_day(tracks).withColumn(HOUR, hour), name, by=DAY, bucket_by=("mmsi", HOUR))
+    """Cleaned positions, stored by days and bucketed by vessel and hour: what looks at reports around an encounter reads only its days, and
+    no track is shuffled for it again. A vessel with very many reports is dealt to all buckets, hour by hour.
+
+    A folder holds one day, or so many that its files, one a bucket, have about ``TRACK_FILE_ROWS`` rows. How many that are is counted on the
+    tracks, which are stored without buckets for it and deleted when they are dealt out.
+    """
+    apart = Staging(staging.spark, f"{staging.folder}/{name}_plain")
+    plain = apart.keep(tracks, "rows")
+    day, second = F.to_date("timestamp"), epoch_seconds(F.col("timestamp"))
+    counted = plain.agg(F.count(F.lit(1)), F.count_distinct(day), F.min(day), F.datediff(F.max(day), F.min(day)) + 1)
+    rows, days, origin, span = counted.first()
+    buckets = int(staging.spark.conf.get("spark.sql.shuffle.partitions"))
+    together = max(1, min(buckets * TRACK_FILE_ROWS * days // max(rows, 1), span or 1))
+    first = F.date_sub(day, F.pmod(F.datediff(day, F.lit(origin).cast("date")), F.lit(together)))
+    dated = plain.withColumn(FIRST_DAY, first).withColumn(LAST_DAY, F.date_add(first, together - 1))
+    by_hour = dated.withColumn(HOUR, F.floor(second / HOUR_SECONDS))
+    stored = staging.keep(by_hour, name, by=(FIRST_DAY, LAST_DAY), bucket_by=("mmsi", HOUR), buckets=buckets)
+    apart.remove()
+    return stored
 
 
 def stage_tracks(positions: DataFrame, staging: Staging, rules: Rules = Rules()) -> DataFrame:

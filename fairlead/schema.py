@@ -21,6 +21,8 @@ def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
 
 # The day of a stored position, by which its table is laid out.
 DAY = "event_date"
+# The first and last day of the folder that a stored track position lies in.
+FIRST_DAY, LAST_DAY = "first_day", "last_day"
 # The hour of a stored track position, counted from the epoch: with the vessel, what tracks are bucketed by.
 HOUR = "track_hour"
 HOUR_SECONDS = 3600

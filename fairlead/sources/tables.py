@@ -101,17 +101,18 @@ class Staging:
         self.tables: list[str] = []
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 
-    def keep(self, table: DataFrame, name: str, by: str | None = None, bucket_by: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
-        """The table, stored; ``by``: a column to lay it out by, so that readers skip its other values.
+    def keep(self, table: DataFrame, name: str, by: str | tuple[str, ...] | None = None, bucket_by: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
+        """The table, stored; ``by``: a column, or several, to lay it out by, so that readers skip other values.
 
         ``bucket_by``: columns by whose hash rows are dealt to ``buckets`` files a folder, or as many as a shuffle has partitions. A later
         join or aggregation on these columns takes the rows where they lie. The session's catalog then knows the table until ``remove``.
         """
         path = f"{self.folder}/{name}"
+        by = [by] if isinstance(by, str) else by
         if not bucket_by:
             writer = table.write.mode("overwrite")
             with shuffles_cleaned(self.spark):
-                (writer.partitionBy(by) if by else writer).parquet(path)
+                (writer.partitionBy(*by) if by else writer).parquet(path)
             return self.spark.read.schema(table.schema).parquet(path)
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         own = f"staged_{uuid.uuid4().hex}"
@@ -119,7 +120,7 @@ class Staging:
         # Dealt as the buckets are: a task writes one file a folder.
         writer = table.repartition(buckets, *bucket_by).write.mode("overwrite").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
         with shuffles_cleaned(self.spark):
-            (writer.partitionBy(by) if by else writer).option("path", path).format("parquet").saveAsTable(own)
+            (writer.partitionBy(*by) if by else writer).option("path", path).format("parquet").saveAsTable(own)
         return self.spark.table(own).select(*table.columns)
 
     def remove(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import re
 
 import pytest
@@ -15,6 +17,7 @@ from fairlead.operators.jumps import conflicting_instants, remove_gps_jumps, seg
 from fairlead.operators.proximity import crowded_cells, nearest_slots, pinpoint
 from fairlead.operators.results import trajectory_paths, trajectory_points
 from fairlead.params import JumpRules
+from fairlead.plans import pipeline
 from fairlead.plans.pipeline import stage_tracks
 from fairlead.schema import DAY
 from fairlead.sources.sample import sample_reports
@@ -252,3 +255,22 @@ def test_only_days_near_an_encounter_are_read(spark):
     scan = next(line for line in executed(stats).split("\n") if "FileScan" in line and "event_date" in line)
     assert re.search(r"PartitionFilters: \[.*array_contains\((Reused)?[sS]ubquery", scan)
     assert sorted(row.before_point_count for row in stats.collect()) == [61, 61]
+
+
+@pytest.mark.parametrize("rows, folders", [(20_000, 1), (1, 6)])
+def test_tracks_are_stored_in_folders_of_so_many_days_that_files_are_not_small(spark, monkeypatch, rows, folders):
+    """Six days around a change of folders; statistics are those of tracks that aren't stored, and read only their folder."""
+    monkeypatch.setattr(pipeline, "TRACK_FILE_ROWS", rows)
+    staging = Staging(spark)
+    reports = [position(mmsi, day * 86_400 + s) for mmsi in ("219000001", "219000002") for day in range(6) for s in range(0, 900, 10)]
+    track = stage_tracks(positions(spark, reports), staging)
+    files = glob.glob(f"{staging.folder}/tracks/**/*.parquet", recursive=True)
+    assert len({os.path.dirname(f) for f in files}) == folders and len(files) <= folders * 8
+    assert not os.path.exists(f"{staging.folder}/tracks_plain")
+    stored = staging.keep(candidates(spark, [candidate(seconds=2 * 86_400 + 600.0)]), "candidates")
+    stats = side_stats(candidate_sides(stored), track)
+    scan = next(line for line in executed(stats).split("\n") if "FileScan" in line and "first_day" in line)
+    assert re.search(r"PartitionFilters: \[.*arrays_overlap\((Reused)?[sS]ubquery", scan)
+    plain = side_stats(candidate_sides(stored), remove_gps_jumps(positions(spark, reports)))
+    assert sorted(map(str, stats.collect())) == sorted(map(str, plain.collect())) and stats.count() == 2
+    staging.remove()
