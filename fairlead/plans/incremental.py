@@ -98,21 +98,18 @@ class Store:
             segment_links(table).join(moved.select("mmsi").distinct(), "mmsi", "left_semi").select("mmsi", SEGMENT, "tail_before", "head_after")
             for table, moved in ((before, before.filter(F.col(DAY).cast("string").isin(dirty))), (ends, fresh))
         ]
-        redo = set(dirty)
-        for links in touched:
-            for own, other in (("tail_before", "before"), ("head_after", "after")):
-                near = F.to_date(F.col(f"{own}.timestamp"))
-                day = F.date_from_unix_date(F.col(SEGMENT).cast("int"))
-                beside = links.filter(near.cast("string").isin(dirty)).select(day.alias(DAY))
-                redo |= _days(beside)
+        near = (F.to_date(F.col(f"{own}.timestamp")).cast("string").isin(dirty) for own in ("tail_before", "head_after"))
+        beside = reduce(DataFrame.unionByName, touched).filter(reduce(Column.__or__, near))
+        # One job: only days leave it.
+        redo = set(dirty) | _days(beside.select(F.date_from_unix_date(F.col(SEGMENT).cast("int")).alias(DAY)))
         borders = sorted(redo - set(dirty))
         rows = unique.unionByName(unique_positions(self._read_positions(borders))) if borders else unique
         speeds = neighbour_speeds(rows, links=segment_links(ends))
         tracks = with_day(speeds.filter(believable(self.rules.jumps)).select(*POSITION_COLUMNS))
         self.redone["tracks"] = sorted(redo)
         self.tracks.replace(tracks, redo, by="mmsi")
-        # Last: until the ends know the new batches, these days count as changed.
-        self.ends.replace(fresh, dirty, by="mmsi", sources={day: now.get(day, []) for day in dirty})
+        # Last: until the ends know the new batches, these days count as changed. One file a day, of one row a vessel.
+        self.ends.replace(fresh, dirty, sources={day: now.get(day, []) for day in dirty})
 
     def _update_slots(self, staging: Staging) -> None:
         shown = self.tracks.visible()

@@ -8,6 +8,7 @@ import pytest
 from helpers import position, positions
 
 from fairlead.params import JumpRules, ProximityRules, Rules
+from fairlead.plans import incremental
 from fairlead.plans.incremental import Store
 from fairlead.plans.pipeline import stage_candidates, stage_tracks
 from fairlead.schema import CANDIDATE_COLUMNS, POSITION_COLUMNS
@@ -84,6 +85,24 @@ def test_late_reports_of_a_day_change_its_neighbours(spark, tmp_path):
     same_as_from_scratch(spark, path, store, rules)
 
 
+def test_an_update_of_the_tracks_takes_few_jobs_and_files(spark, tmp_path, monkeypatch):
+    """The days beside changed ones are looked for once, and a day's ends, a row a vessel, are one file."""
+    path, asked = str(tmp_path / "positions"), []
+    for day in (0, 4):
+        write_positions(positions(spark, sail(day, day)), path, batch=f"d{day}")
+    store = Store(spark, path, str(tmp_path / "store"))
+    days = incremental._days
+    monkeypatch.setattr(incremental, "_days", lambda frame: asked.append(1) or days(frame))
+    staging = Staging(spark)
+    store._update_tracks(staging)
+    assert len(asked) == 1
+    write_positions(positions(spark, sail(2, 2, vessels=3)), path, batch="late")
+    store._update_tracks(staging)
+    assert len(asked) == 2 and store.redone["tracks"] == ["2021-12-13", "2021-12-15", "2021-12-17"]
+    files = [str(f.parent) for f in (tmp_path / "store" / "ends").rglob("*.parquet")]
+    assert len(files) == len(set(files)) == 3
+
+
 def test_an_update_that_broke_off_is_taken_up(spark, tmp_path, monkeypatch):
     path, rules = str(tmp_path / "positions"), Rules()
     write_positions(positions(spark, sail(0, 0)), path)
