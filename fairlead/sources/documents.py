@@ -24,7 +24,9 @@ def write_trajectories(candidates: DataFrame, pieces: DataFrame, path: str) -> N
     holds a whole path.
     """
     parts = feature_parts(candidates, pieces)
-    dealt = parts.repartition("candidate_id", "vessel_side").sortWithinPartitions("candidate_id", "vessel_side", "part", "piece")
+    # By a hash of its own: dealt by the columns, as both tables under the union are, Spark leaves this exchange out, and coalesces the
+    # partitions of either table by themselves, so that a path's parts come into several files.
+    dealt = parts.repartition(F.xxhash64("candidate_id", "vessel_side")).sortWithinPartitions("candidate_id", "vessel_side", "part", "piece")
     # Every feature but a file's first begins with the end of the line before.
     begins = (F.col("part") == 0) & (F.col("at") % _IDS > 0)
     lines = dealt.withColumn("at", F.monotonically_increasing_id())

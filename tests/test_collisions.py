@@ -199,6 +199,14 @@ def test_single_fix_is_a_point(spark, tmp_path):
     assert shape["geometry"] == {"type": "Point", "coordinates": [14.0, 55.0]}
 
 
+def test_the_parts_of_a_path_come_into_one_file_every_time(spark, tmp_path):
+    """In one of some fifteen writes they did not; which stage ends first decides."""
+    tracks, table = positions(spark, [position(ONE, 600)]), candidates(spark, [candidate()])
+    for turn in range(20):
+        (shape,) = written(table, path_pieces(table, tracks), tmp_path / str(turn))
+        assert shape["geometry"]["coordinates"] == [14.0, 55.0]
+
+
 def test_no_row_holds_a_whole_day_s_path(spark, tmp_path):
     """A window of a day, a point every second: rows of at most an hour, and the file has the whole path on its line."""
     row = position(ONE, 0)
