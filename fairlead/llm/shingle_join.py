@@ -28,8 +28,8 @@ from fairlead.llm.mixing import WORD
 from fairlead.llm.words import scramble, shingles, word_hashes
 from fairlead.sources.tables import Staging
 
-#: 64-bit words of the bit sketch.
-SKETCH_WORDS = 16
+#: 64-bit words of the bit sketch: the least, and the most that are sent for each row of a bucket.
+SKETCH_WORDS, SKETCH_MOST = 16, 1024
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,20 @@ def _wide_words(size: int) -> int:
     return max(SKETCH_WORDS, 1 << (size // 16).bit_length())
 
 
+def _short_words(size: int) -> int:
+    """Words of a sketch with at least a bit for each shingle, a power of two. With fewer bits unrelated sets look as close as linked ones."""
+    return min(max(SKETCH_WORDS, 1 << (max(size - 1, 0) // 64).bit_length()), SKETCH_MOST)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer words."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _apart(one: np.ndarray, other: np.ndarray) -> int:
     """Bits in which two sketches differ, the longer one folded to the length of the other."""
     short = min(len(one), len(other))
-    one, other = (np.bitwise_xor.reduce(s.reshape(-1, short), axis=0) for s in (one, other))
-    return int(np.bitwise_count(one ^ other).sum())
+    return int(np.bitwise_count(_folded(one, short) ^ _folded(other, short)).sum())
 
 
 def shapes(docs: DataFrame, rules: JoinRules) -> DataFrame:
@@ -180,9 +189,9 @@ def _per_class(docs: DataFrame, wanted: DataFrame, rules: JoinRules, read: Calla
 
 
 def class_looks(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
-    """c, size, sketch and wide (a sketch as long as the set needs: about a byte for each shingle at most)."""
-    kinds = {"size": (pa.int64(), "long"), "sketch": (pa.list_(pa.int64()), "array<long>"), "wide": (pa.binary(), "binary")}
-    read = lambda v: (len(v), _sketch(v), _sketch(v, _wide_words(len(v))).tobytes())
+    """c, size, sketch (a bit or two for each shingle) and wide (about a byte for each shingle at most)."""
+    kinds = {"size": (pa.int64(), "long"), "sketch": (pa.binary(), "binary"), "wide": (pa.binary(), "binary")}
+    read = lambda v: (len(v), *(_sketch(v, words(len(v))).tobytes() for words in (_short_words, _wide_words)))
     return _per_class(docs, wanted, rules, read, kinds)
 
 
@@ -192,10 +201,19 @@ def class_items(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFra
 
 
 def close_in_sketch(pairs: DataFrame, looks: DataFrame, rules: JoinRules) -> DataFrame:
-    """The pairs (x, y) whose sizes and sketches allow a link, and how many bits their sketches are apart."""
+    """The pairs (x, y) whose sizes and sketches allow a link, and how many bits their wide sketches are apart.
+
+    Wide sketches are sent only for pairs whose short ones allow a link.
+    """
+    for kind in ("sketch", "wide"):
+        pairs = _close_in(kind, pairs.select("x", "y"), looks, rules)
+    return pairs
+
+
+def _close_in(kind: str, pairs: DataFrame, looks: DataFrame, rules: JoinRules) -> DataFrame:
     p = rules.percent
     for side in ("x", "y"):
-        shape = looks.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
+        shape = looks.select(F.col("c").alias(side), F.col("size").alias(f"size_{side}"), F.col(kind).alias(f"look_{side}"))
         pairs = pairs.join(shape, side)
         if side == "y":
             pairs = pairs.filter(F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * p)
@@ -203,13 +221,13 @@ def close_in_sketch(pairs: DataFrame, looks: DataFrame, rules: JoinRules) -> Dat
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("size_x").to_numpy() + batch.column("size_y").to_numpy()
-            wide = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"wide_{side}")] for side in "xy")
-            apart = np.array([_apart(one, other) for one, other in zip(*wide, strict=True)], np.int64)
+            seen = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"look_{side}")] for side in "xy")
+            apart = np.array([_apart(one, other) for one, other in zip(*seen, strict=True)], np.int64)
             near_enough = pa.array(apart * (100 + p) <= total * (100 - p))
             columns = [c.filter(near_enough) for c in (batch.column("x"), batch.column("y"), pa.array(apart))]
             yield pa.RecordBatch.from_arrays(columns, ["x", "y", "apart"])
 
-    columns = ("x", "y", "size_x", "size_y", "wide_x", "wide_y")
+    columns = ("x", "y", "size_x", "size_y", "look_x", "look_y")
     return in_batches(pairs.select(*columns), near, "x long, y long, apart long")
 
 
@@ -248,7 +266,10 @@ def close_pairs(rows: DataFrame, rules: JoinRules, all_of_them: bool) -> DataFra
     def near(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("c")
         names, roots, sizes = (group[n].to_numpy() for n in ("c", "root", "size"))
-        sketches = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        sketches = [np.frombuffer(v, np.uint64) for v in group["sketch"]]
+        length = np.array([len(s) for s in sketches])
+        # For each length, the sketches at least as long, folded to it, and each row's place among them.
+        folded = {n: (np.cumsum(length >= n) - 1, np.stack([_folded(s, n) for s in sketches if len(s) >= n])) for n in np.unique(length).tolist()}
         within = group["low"].iloc[0] == group["high"].iloc[0]
         side = group["own"].to_numpy()
         found: list[tuple[int, int, int]] = []
@@ -256,10 +277,14 @@ def close_pairs(rows: DataFrame, rules: JoinRules, all_of_them: bool) -> DataFra
             others = np.arange(i + 1, len(group)) if within else np.flatnonzero(side != side[i]) if side[i] == group["low"].iloc[0] else []
             others = np.asarray(others, np.int64)
             others = others[roots[others] != roots[i]]
-            apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            others = others[np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * rules.percent]
+            apart, shorter = np.zeros(len(others), np.int64), np.minimum(length[others], length[i])
+            for n in np.unique(shorter).tolist():
+                place, table = folded[n]
+                at = np.flatnonzero(shorter == n)
+                apart[at] = np.bitwise_count(table[place[others[at]]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
             total = sizes[others] + sizes[i]
             close = apart * (100 + rules.percent) <= total * (100 - rules.percent)
-            close &= np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * rules.percent
             found.extend(zip(apart[close].tolist(), [i] * int(close.sum()), others[close].tolist(), strict=True))
         if not all_of_them:
             # One order of pairs for all buckets: they then mostly choose the same ones.

@@ -9,10 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fairlead.llm import words
-from fairlead.llm.shingle_join import JoinRules, one_of_each_group, similar_documents
+from fairlead.llm.shingle_join import JoinRules, class_looks, close_in_sketch, close_pairs, one_of_each_group, shapes, similar_documents
 from fairlead.sources.tables import Staging
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +87,25 @@ def test_one_of_each_group_stays(spark, staging, rows):
     assert sum(1 for r in kept.collect() if not (r.text or "").strip()) == 3
 
 
+def test_large_sets_are_told_apart_in_their_bucket(spark, staging):
+    """Sets of thousands of shingles in one bucket: only near ones leave it, also across lengths of sketches."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 900, 1020, 1020, 2100, 2600, 4000, 4090, 4090, 7000)]
+    texts += [edited(rng, texts[i], 8) + " more words" * (4 * (i == 7)) for i in (1, 2, 6, 7, 9)] + [t + " " + texts[0] for t in texts[4:7]]
+    docs, rules = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], LAYOUT), JoinRules(5, 80)
+    shape = staging.keep(shapes(docs, rules), "shapes")
+    looks = staging.keep(class_looks(docs, shape, rules), "looks")
+    number = {r.c: r.doc_id for r in shape.collect()}
+    sets = [shingle_set(t, 5) for t in texts]
+    linked = {(i, j) for i, j in combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    numbered = lambda df: {tuple(sorted((number[r.x], number[r.y]))) for r in df.collect()}
+    for block in (2048, 4):
+        bucket = looks.select(F.lit(1).alias("key"), "c", F.col("c").alias("root"), F.lit(len(texts)).alias("members"), "size", "sketch")
+        assert numbered(close_pairs(bucket, JoinRules(5, 80, 2, block), all_of_them=True)) == linked
+    pairs = looks.select(F.col("c").alias("x")).crossJoin(looks.select(F.col("c").alias("y"))).filter("x < y")
+    assert len(linked) >= 8 and numbered(close_in_sketch(pairs, looks, rules)) == linked
+
+
 def test_nothing_in_nothing_out(spark, staging):
     none = spark.createDataFrame([], LAYOUT)
     assert similar_documents(none, staging).count() == 0
