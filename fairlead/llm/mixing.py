@@ -50,22 +50,21 @@ def source_targets(sizes: DataFrame, rules: MixRules, staging: Staging) -> DataF
     filling = numbered(
         weighed, [F.col("fills_at"), F.col("source").asc_nulls_last()], staging, "filling", ["weight", "most"]
     )
-    whole_mix = filling.agg(
-        (F.sum("source_size") * rules.share).alias("__all"), F.sum("weight").alias("__weights")
-    )
-    at_level = F.col("most_before") + F.col("fills_at") * (F.col("__weights") - F.col("weight_before"))
-    judged = filling.join(F.broadcast(whole_mix)).withColumn("full", at_level <= F.col("__all"))
-    level = judged.agg(
-        (
-            (F.first("__all") - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0.0)))
-            / F.sum(F.when(~F.col("full"), F.col("weight")))
-        ).alias("__level")
-    )
+    # Stored, as it is read three times: plans that hold it three times over cost the driver threads and memory.
+    filling = staging.keep(filling, "filled")
+    # Two rows of sums reach the driver.
+    words, weights = filling.agg((F.sum("source_size") * rules.share).cast("double"), F.sum("weight")).first()
+    words, weights = F.lit(words).cast("double"), F.lit(weights).cast("double")
+    at_level = F.col("most_before") + F.col("fills_at") * (weights - F.col("weight_before"))
+    judged = filling.withColumn("full", at_level <= words)
+    (level,) = judged.agg(
+        (words - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0.0)))
+        / F.sum(F.when(~F.col("full"), F.col("weight")))
+    ).first()
     share = F.when(F.col("full"), F.col("most")).otherwise(
-        F.least(F.col("most"), F.col("weight") * F.col("__level"))
+        F.least(F.col("most"), F.col("weight") * F.lit(level).cast("double"))
     )
-    # Both broadcast sides are one row, the result of a sum over the whole table.
-    return judged.join(F.broadcast(level)).select("source", "source_size", share.alias("target"))
+    return judged.select("source", "source_size", share.alias("target"))
 
 
 def apportion(parties: DataFrame, key: list[str], party: str, staging: Staging, name: str) -> DataFrame:
@@ -73,7 +72,7 @@ def apportion(parties: DataFrame, key: list[str], party: str, staging: Staging,
 
     ``parties`` has the key columns, ``party``, ``votes`` and the group's ``seats``. Half a seat per
     party less, one divisor gives every party seats it surely gets; half a seat more bounds what it can get. Only the quotients
-    between, about two per party, are ranked, in one global order.
+    between, about two per party, are ranked, in one global order. What several steps read is stored, so that each plan stays small.
     """
     groups = parties.groupBy(*key).agg(
         F.sum("votes").alias("__votes"), F.count(F.lit(1)).alias("__n"), F.first("seats").alias("__seats")
@@ -88,11 +87,12 @@ def apportion(parties: DataFrame, key: list[str], party: str, staging: Staging,
     rows = rows.withColumn("__sure", sure(F.col("__seats") - F.col("__n") / 2)).withColumn(
         "__high", sure(F.col("__seats") + F.col("__n") / 2) + 1
     )
+    rows = staging.keep(rows, f"{name}_parties")
     quotients = rows.filter("votes > 0").select(
         *key, party, "votes", F.explode(F.sequence("__sure", "__high")).alias("__next")
     ).withColumn("__quotient", F.col("votes") / (F.col("__next") * 2 + 1))
     order = [*(F.col(k).asc_nulls_last() for k in key), F.col("__quotient").desc(), F.col(party).asc_nulls_last()]
-    ranked = numbered(quotients, order, staging, name)
+    ranked = staging.keep(numbered(quotients, order, staging, name), f"{name}_ranked")
     left = rows.groupBy(*key).agg((F.first("__seats") - F.sum("__sure")).alias("__left"))
     starts = ranked.groupBy(*key).agg(F.min("position").alias("__start"))
     limits = left.alias("l").join(starts.alias("s"), _same("l", "s", key)).select("l.*", "__start")
@@ -130,10 +130,10 @@ def _drawn(docs: DataFrame, staging: Staging, rules: MixRules) -> DataFrame:
         "sizes",
     )
     targets = staging.keep(source_targets(sizes, rules, staging), "targets")
-    seats = targets.agg(F.round(F.sum("target") / rules.block_words).cast("long").alias("seats"))
+    (seats,) = targets.agg(F.round(F.sum("target") / rules.block_words).cast("long")).first()
     parties = targets.withColumn("votes", F.col("target")).withColumn("all", F.lit(0))
     shares = staging.keep(
-        apportion(parties.join(F.broadcast(seats)), ["all"], "source", staging, "source_quotients").select(
+        apportion(parties.withColumn("seats", F.lit(seats).cast("long")), ["all"], "source", staging, "source_quotients").select(
             "source",
             "source_size",
             "target",
@@ -147,7 +147,7 @@ def _drawn(docs: DataFrame, staging: Staging, rules: MixRules) -> DataFrame:
         .join(shares.select("source", "shards").alias("s"), _same("d", "s", ["source"]))
         .select("d.*", F.pmod(F.xxhash64(F.lit(rules.seed + 1), F.col("draw")), F.col("shards")).alias("shard"))
     )
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("votes"))
+    shards = staging.keep(rows.groupBy("source", "shard").agg(F.sum("size").alias("votes")), "shards")
     shards = shards.alias("h").join(shares.alias("s"), _same("h", "s", ["source"])).select(
         "h.*", "source_size", "target", "seats"
     )

@@ -10,7 +10,7 @@ from compare import bag, connect
 
 from fairlead.llm.exact_dedup import exact_duplicates
 from fairlead.llm.line_dedup import LineRules, remove_boilerplate
-from fairlead.llm.mixing import MixRules, apportion, mix, mixed_documents
+from fairlead.llm.mixing import MixRules, apportion, mix, mixed_documents, source_targets
 from fairlead.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -162,6 +162,18 @@ def test_seats_go_to_the_highest_quotients(spark, staging):
         assert {p: got[g, p] for p in parties} == won
 
 
+def test_plans_of_the_mix_stay_small(spark, staging):
+    """What several steps read is stored: the driver keeps a thread for each exchange of a plan."""
+    sizes = spark.createDataFrame([("a", 10), ("b", 500), (None, 40)], "source string, size long")
+    targets = source_targets(sizes, MixRules(), staging)
+    assert "Exchange" not in targets._jdf.queryExecution().executedPlan().toString()
+    assert {r.source: (r.source_size, round(r.target, 6)) for r in targets.collect()} == {"a": (10, 20.0), "b": (500, 725.0), None: (40, 80.0)}
+    parties = targets.selectExpr("0 as key", "source", "target as votes", "50L as seats")
+    quotas = apportion(parties, ["key"], "source", staging, "few")
+    assert quotas._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+    assert sum(r.quota for r in quotas.collect()) == 50
+
+
 def test_mixed_texts_hold_what_is_taken(spark, staging, mixture):
     table = docs(spark, *mixture)
     rules = MixRules(shard_words=1000, block_words=64)
