@@ -3,7 +3,7 @@
 The target model is counted on the documents of a wanted kind, the background model on all. Both have the same vocabulary, smoothing
 and order, so that a difference of losses says which kind of text a document is, not how the models were made.
 
-``score_whole`` counts every word and every bigram; its models are Spark tables that grow with the documents. ``fit`` and ``score``
+``score_whole`` counts every word and every bigram; its models are Spark tables that grow with the documents, dealt in parts. ``fit`` and ``score``
 are for models of a bounded vocabulary that fit into every task.
 """
 
@@ -16,17 +16,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import documents, in_batches, may_hold, portions, row_filter, ship
+from fairlead.llm.common import documents, in_batches, portions, ship
 from fairlead.llm.words import PUNCTUATION, scramble, word_hashes
 from fairlead.sources.tables import Staging
 
 #: Numbers of what is no word: a word outside the vocabulary, and the start of a document.
 UNKNOWN, START = 0, 1
-#: What ``score_whole`` reads off a text: a row of its own, and one per bigram that isn't common.
-NAMES = ["row", "doc_id", "n_words", "target_sum", "background_sum", "before", "word", "n"]
 
 
 @dataclass(frozen=True)
@@ -34,8 +32,8 @@ class ModelRules:
     """``vocabulary``: the most frequent words of the background, with two more entries for unknown words and starts.
 
     It bounds the models of ``fit``: two tables of its square. ``discount`` is taken off each bigram seen and given to the unigrams, whose
-    counts start at ``prior``. A task counts up to ``held`` distinct words or bigrams before it hands them on. Words and bigrams with more than
-    one ``common``-th of all counts, so fewer than ``common``, are looked up in each task; all others are joined.
+    counts start at ``prior``. A task counts up to ``held`` distinct words or bigrams before it hands them on; in ``score_whole`` it is the words
+    of a block, and about those of a part. ``common`` had words looked up in each task; no result depends on it, and it is not read any more.
     """
 
     vocabulary: int = 2048
@@ -182,155 +180,312 @@ def score(docs: DataFrame, models: BigramModels) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), scored, schema)
 
 
-def _word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash before each word, START for a text's first, the word's, and where each text's words begin (and the last end)."""
-    words, bounds = word_hashes(column, PUNCTUATION)
-    before, words = _bigrams(words.view(np.int64), bounds)
-    return before, words, bounds
-
-
-def _summed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """The distinct rows of the keys, in order, and the sums of ``n``."""
-    order = np.lexsort(keys[::-1])
-    keys, n = tuple(k[order] for k in keys), n[order]
-    fresh = np.ones(len(n), bool)
-    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    at = np.flatnonzero(fresh)
-    return tuple(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n
-
-
-def pair_counts(docs: DataFrame, rules: ModelRules) -> DataFrame:
-    """before, word (hashes) and n: all bigrams of ``docs``. Tasks sum first."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def batch() -> pa.RecordBatch:
-            before, words = (np.concatenate([np.zeros(0, np.int64), *(w[i] for w in waiting)]) for i in (0, 1))
-            keys, n = _summed((before, words), np.ones(len(words), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(n)], ["before", "word", "n"])
-
-        for part in portions(batches):
-            waiting.append(_word_pairs(part.column("text"))[:2])
-            if sum(len(w) for _, w in waiting) > rules.held:
-                yield batch()
-                waiting.clear()
-        yield batch()
-
-    counts = in_batches(docs.select("text"), counted, "before long, word long, n long")
-    return counts.groupBy("before", "word").agg(F.sum("n").alias("n"))
+def in_blocks(docs: DataFrame, rules: ModelRules) -> DataFrame:
+    """block, row, doc_id, text, target and size (bytes): rows one after the other whose texts have about ``held`` words are a block."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()).to_numpy()
+            ends, rows = seen + np.cumsum(sizes), batch.column("row").to_numpy()
+            # The upper bits of a row's number are its task's.
+            blocks = (rows >> 33 << 33) + (ends - sizes) // (rules.held * WORD_BYTES)
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), *batch.columns, pa.array(sizes)], ["block", *batch.schema.names, "size"])
 
-def _with_stats(bigrams: DataFrame, stats: DataFrame, side: str, size: str, least: float) -> DataFrame:
-    """Bigrams with the numbers of their word on this side. Those of common words are broadcast, their rows dealt out by bigram."""
-    names = [c for c in stats.columns if c != side]
-    common = stats.filter(F.col(size) > least).select(side, *(F.col(c).alias(f"common_{c}") for c in names))
-    rare = stats.filter(F.col(size) <= least).withColumnRenamed(side, "rare")
-    known = bigrams.join(F.broadcast(common), side, "left")
-    key = F.when(F.col(f"common_{size}").isNull(), F.col(side)).otherwise(F.xxhash64("before", "word"))
-    joined = known.withColumn("key", key).join(rare, F.col("key") == F.col("rare"), "left")
-    return joined.select(*bigrams.columns, *(F.coalesce(F.col(f"common_{c}"), F.col(c)).alias(c) for c in names))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "target")
+    return in_batches(texts, cut, "block long, row long, doc_id long, text string, target boolean, size long")
 
 
-def pair_losses(docs: DataFrame, target: DataFrame, staging: Staging, rules: ModelRules = ModelRules()) -> tuple[DataFrame, DataFrame]:
-    """before, word, target and background: the losses -log P(word | before) of both models, of the common and of the other bigrams of ``docs``.
-
-    ``target`` holds some of ``docs``. The vocabulary is all words of ``docs``, an unknown one and the start.
+@dataclass(frozen=True)
+class _Piece:
+    """The words and bigrams of some texts: distinct words (hashes, the start among them), distinct bigrams as their hash and the places of
+    both words, how often each occurs, and for each text's words in turn the place of the bigram."""
+
+    words: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    pairs: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+    bounds: np.ndarray
+
+    @staticmethod
+    def of(column: pa.Array | pa.ChunkedArray) -> _Piece:
+        found, bounds = word_hashes(column, PUNCTUATION)
+        words, numbers = np.unique(np.concatenate([np.array([START], np.uint64), found]), return_inverse=True)
+        before = numbers[:-1].copy()
+        before[bounds[:-1][bounds[:-1] < bounds[1:]]] = numbers[0]
+        cells, place, n = np.unique(before * len(words) + numbers[1:], return_inverse=True, return_counts=True)
+        before, word = cells // len(words), cells % len(words)
+        return _Piece(words, before, word, scramble(words[before]) + words[word], n, place, bounds)
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the hashes by part, in their order, and where each part's begin (and the last end)."""
+    part = (scramble(hashes) >> np.uint64(32)).astype(np.int64) % parts
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """Lists of numbers from 0, most of them small, as bytes: seven bits in each, the last below 128."""
+    values = values.astype(np.uint64)
+    lengths = np.ones(len(values), np.int64)
+    while (longer := values >> (7 * lengths).astype(np.uint64) > 0).any():
+        lengths += longer
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    data = np.empty(ends[-1], np.uint8)
+    for k in range(lengths.max(initial=0)):
+        some = np.flatnonzero(lengths > k)
+        data[ends[some] + k] = (values[some] >> np.uint64(7 * k)) & np.uint64(127) | np.where(lengths[some] > k + 1, 128, 0).astype(np.uint64)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of ``_packed`` lists, one after the other. Null is empty."""
+    data = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint8)
+    last = np.flatnonzero(data < 128)
+    begins = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    shifts = 7 * (np.arange(len(data)) - np.repeat(begins, last - begins + 1))
+    return np.add.reduceat((data & 127).astype(np.int64) << shifts, begins) if len(last) else last
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, one after the other, and where each list's begin (and the last end). Null is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return pc.list_flatten(column).to_numpy(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _rows(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch with the columns of the schema; those not given are null."""
+    return pa.RecordBatch.from_arrays([_array(columns.get(name), kind, rows) for name, kind in _fields(schema)], [name for name, _ in _fields(schema)])
+
+
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(field.split(" ")) for field in schema.split(", ")]
+
+
+def _array(values, kind: str, rows: int) -> pa.Array:
+    inner = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind.removeprefix("array<").removesuffix(">")]
+    wanted = pa.list_(inner) if kind.startswith("array") else inner
+    if values is None:
+        return pa.nulls(rows, wanted)
+    return (pa.array(np.full(rows, values)) if np.isscalar(values) else values if isinstance(values, pa.Array) else pa.array(values)).cast(wanted)
+
+
+SCORES = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+#: Bytes of a word, with what lies between words.
+WORD_BYTES = 7
+#: What a piece asks: of each of its bigrams, or (part null) of its words. n and t: how often they occur in it, and in its texts of the target;
+#: ``before`` holds steps from one place to the next. ``answer`` is 0 for pieces that are only counted.
+ASKED = "part int, block long, piece long, answer int, pairs array<long>, before binary, n binary, t binary, words array<long>, single_n binary, single_t binary, after_n binary, after_t binary"
+#: The answer, bigram by bigram; and of the bigrams that this piece stands for, by the place of their first word (in steps), what the discount
+#: is taken of: how many occur more often than its whole part says, and how often they occur up to that.
+ANSWERED = "part int, block long, piece long, answer int, n binary, t binary, at binary, more_n binary, more_t binary, full_n binary, full_t binary, words array<long>, single_n binary, single_t binary, after_n binary, after_t binary"
+COUNTS = ["single_n", "single_t", "after_n", "after_t"]
+TAKEN = ["more_n", "more_t", "full_n", "full_t"]
+_ALL = ", ".join(f"{c} binary" for c in COUNTS + TAKEN)
+WORDS = f"part int, block long, piece long, answer int, words array<long>, {_ALL}"
+#: Of a piece's words, or (block null) of all words of a part.
+STATS = f"part int, block long, piece long, {_ALL}, all_n long, all_t long, all_words long"
+
+
+def _asked(texts: DataFrame, parts: int, extra: bool = False) -> DataFrame:
+    """What the pieces of the texts ask. A piece is a block, or what a task reads of it; it is named by its first row.
+
+    Pieces of ``extra`` texts, all of the target, count for that alone and want no answer.
     """
-    kinds = pair_counts(docs, rules).withColumn("t", F.lit(0).cast("long")).unionByName(
-        pair_counts(target, rules).select("before", "word", F.lit(0).cast("long").alias("n"), F.col("n").alias("t"))
-    )
-    bigrams = staging.keep(kinds.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
-    taken = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(rules.discount))).alias(f"taken_{c}") for c in "nt"}
-    after = bigrams.groupBy("before").agg(F.sum("n").alias("after_n"), F.sum("t").alias("after_t"), *taken.values())
-    after = staging.keep(after, "after")
-    single = staging.keep(bigrams.groupBy("word").agg(F.sum("n").alias("single_n"), F.sum("t").alias("single_t")), "single")
-    whole = single.agg(F.sum("single_n").alias("n"), F.sum("single_t").alias("t"), F.count(F.lit(1)).alias("words")).first()
-    least = (whole["n"] or 0) / rules.common
-
-    def loss(c: str) -> Column:
-        mass = (whole[c] or 0) + rules.prior * (whole["words"] + 2)
-        alone = (F.col(f"single_{c}") + F.lit(rules.prior)) / F.lit(mass)
-        seen = F.col(c) - F.least(F.col(c).cast("double"), F.lit(rules.discount)) + F.col(f"taken_{c}") * alone
-        return -F.log(F.when(F.col(f"after_{c}") > 0, seen / F.col(f"after_{c}")).otherwise(alone))
-
-    losses = ["before", "word", loss("t").cast("float").alias("target"), loss("n").cast("float").alias("background")]
-    # Both words of a common bigram are common.
-    common = bigrams.filter(F.col("n") > least)
-    for stats, side, size in ((after, "before", "after_n"), (single, "word", "single_n")):
-        common = common.join(F.broadcast(stats.filter(F.col(size) > least)), side)
-    rare = _with_stats(bigrams.filter(F.col("n") <= least), after, "before", "after_n", least)
-    rare = _with_stats(rare, single, "word", "single_n", least)
-    return common.select(*losses), rare.select(*losses)
-
-
-def score_whole(docs: DataFrame, target: DataFrame, staging: Staging, rules: ModelRules = ModelRules()) -> DataFrame:
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            block, first = held[0].column("block")[0].as_py(), held[0].column("row")[0].as_py()
+            piece = _Piece.of(pa.chunked_array([b.column("text") for b in held]))
+            marked = np.concatenate([b.column("target").fill_null(False).to_numpy(zero_copy_only=False) for b in held])
+            held.clear()
+            order, bounds = _dealt(piece.pairs, parts)
+            some = np.flatnonzero(np.diff(bounds))
+            before = piece.before[order]
+            steps = np.diff(before, prepend=0)
+            steps[bounds[some]] = before[bounds[some]]
+            bounds = np.concatenate([bounds[some], bounds[-1:]])
+            same = {"block": block, "piece": first, "answer": int(not extra)}
+            text = np.repeat(np.arange(len(piece.bounds) - 1), np.diff(piece.bounds))
+            t = np.bincount(piece.place, marked[text], minlength=len(piece.n)).astype(np.int64)
+            n = np.zeros_like(t) if extra else piece.n
+            yield _rows(
+                ASKED, len(some), part=some, **same, pairs=_lists(piece.pairs.view(np.int64)[order], bounds), before=_packed(steps, bounds),
+                n=_packed(n[order], bounds), t=_packed(t[order], bounds),
+            )
+            whole = np.array([0, len(piece.words)])
+            counts = [np.bincount(at, c, minlength=len(piece.words)).astype(np.int64) for at in (piece.word, piece.before) for c in (n, t)]
+            yield _rows(ASKED, 1, **same, words=_lists(piece.words.view(np.int64), whole), **{c: _packed(v, whole) for c, v in zip(COUNTS, counts)})
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if held and low < high and held[0].column("block")[0].as_py() != blocks[low]:
+                    yield from asked()
+                if low < high:
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from asked()
+
+    return in_batches(texts.select("block", "row", "text", "target"), pieces, ASKED)
+
+
+def _answered(rules: ModelRules):
+    def answered(part: pa.Table) -> pa.Table:
+        if part.column("part")[0].as_py() is None:
+            return pa.Table.from_batches([_rows(ANSWERED, part.num_rows, **{c: part.column(c).combine_chunks() for c in ("block", "piece", "answer", "words", *COUNTS)})])
+        pairs, bounds = _flat(part.column("pairs"))
+        steps, pieces = _unpacked(part.column("before")), np.repeat(np.arange(part.num_rows), np.diff(bounds))
+        found, first, place = np.unique(pairs, return_index=True, return_inverse=True)
+        sums = [np.bincount(place, _unpacked(part.column(c)), minlength=len(found)).astype(np.int64) for c in "nt"]
+        # The first piece that has a bigram stands for it.
+        ends = np.cumsum(steps)
+        before = ends - np.repeat(ends[bounds[:-1]] - steps[bounds[:-1]], np.diff(bounds))
+        owner = np.zeros(len(pairs), bool)
+        owner[first] = True
+        cells, at = np.unique((pieces[owner] << 32) + before[owner], return_inverse=True)
+        limit = int(rules.discount)
+        taken = [np.bincount(at, x, minlength=len(cells)) for f in (lambda s: s > limit, lambda s: np.minimum(s, limit)) for x in (f(s[place[owner]]) for s in sums)]
+        own = np.searchsorted(cells >> 32, np.arange(part.num_rows + 1))
+        places = cells & 0xFFFFFFFF
+        steps = np.diff(places, prepend=0)
+        some = own[:-1][own[:-1] < own[1:]]
+        steps[some] = places[some]
+        same = {c: part.column(c).combine_chunks() for c in ("part", "block", "piece", "answer")}
+        return pa.Table.from_batches([_rows(
+            ANSWERED, part.num_rows, **same, n=_packed(sums[0][place], bounds), t=_packed(sums[1][place], bounds),
+            at=_packed(steps, own), **{c: _packed(v, own) for c, v in zip(TAKEN, taken)},
+        )])
+
+    return answered
+
+
+def _words_asked(parts: int):
+    def asked(piece: pa.Table) -> pa.Table:
+        """A piece's words by part, with what the discount takes in all."""
+        own = piece.filter(pc.is_valid(piece.column("words")))
+        words = _flat(own.column("words"))[0]
+        at = [np.cumsum(_unpacked(piece.column("at").slice(i, 1))) for i in range(piece.num_rows)]
+        at = np.concatenate(at).astype(np.int64)
+        taken = {c: np.bincount(at, _unpacked(piece.column(c)), minlength=len(words)) for c in TAKEN}
+        order, bounds = _dealt(words.view(np.uint64), parts)
+        some = np.flatnonzero(np.diff(bounds))
+        bounds = np.concatenate([bounds[some], bounds[-1:]])
+        same = {c: own.column(c)[0].as_py() for c in ("block", "piece", "answer")}
+        counts = {**{c: _unpacked(own.column(c)) for c in COUNTS}, **taken}
+        return pa.Table.from_batches([_rows(WORDS, len(some), part=some, **same, words=_lists(words[order], bounds), **{c: _packed(v[order], bounds) for c, v in counts.items()})])
+
+    return asked
+
+
+def _words_answered(part: pa.Table) -> pa.Table:
+    words, bounds = _flat(part.column("words"))
+    found, place = np.unique(words, return_inverse=True)
+    sums = {c: np.bincount(place, _unpacked(part.column(c)), minlength=len(found)).astype(np.int64) for c in (*COUNTS, *TAKEN)}
+    # The start is no word: it is never second in a bigram.
+    answer = part.column("answer").to_numpy()
+    asking = np.flatnonzero(answer)
+    mine = np.repeat(answer == 1, np.diff(bounds))
+    starts = np.concatenate([[0], np.cumsum(np.diff(bounds)[asking])])
+    same = {c: part.column(c).take(pa.array(asking)).combine_chunks() for c in ("part", "block", "piece")}
+    answers = _rows(STATS, len(asking), **same, **{c: _packed(s[place[mine]], starts) for c, s in sums.items()})
+    totals = {"all_n": int(sums["single_n"].sum()), "all_t": int(sums["single_t"].sum()), "all_words": int(((sums["single_n"] + sums["single_t"]) > 0).sum())}
+    return pa.Table.from_batches([answers, _rows(STATS, 1, **totals)])
+
+
+def score_whole(docs: DataFrame, target: DataFrame | str, staging: Staging, rules: ModelRules = ModelRules()) -> DataFrame:
     """As ``score``, by models of all words: the target's of ``target``, some of ``docs``, and the background's of all ``docs``.
 
-    Common bigrams are summed where a text is read. The others go to the table of losses as one row per text and bigram, and their sums back
-    to the text; none of them has more than one ``common``-th of all rows.
+    ``target`` may be the name of a boolean column of ``docs`` that tells the target's rows, which spares counting them again.
+
+    Texts lie in blocks. A block asks for the counts of its distinct bigrams, then of its distinct words, each of the part that its hash
+    belongs to, and is answered place by place; so a common word or bigram is one entry a block, and the answers need no hashes.
+    Bigrams are known by 64 bits. Null texts are empty.
     """
-    common, rare = pair_losses(docs, target, staging, rules)
-    common = common.orderBy("before", "word").toPandas()  # fewer than ``rules.common`` rows
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(common[c].to_numpy() for c in ("before", "word", "target", "background")))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_before, table_words, *tables = shared.value
-        keys = scramble(table_before.view(np.uint64)) + table_words.view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        for batch in portions(batches):
-            before, words, bounds = _word_pairs(batch.column("text"))
-            n = np.diff(bounds)
+    marked = isinstance(target, str)
+    texts = docs.select("doc_id", "text", (F.col(target) if marked else F.lit(False)).alias("target"))
+    # Stored, as a block's texts have to be the same when it asks and when it is answered.
+    blocks = staging.keep(in_blocks(texts, rules), "blocks", codec="zstd")
+    parts = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // (rules.held * WORD_BYTES)))
+    ship(docs.sparkSession.sparkContext)
+    asked = _asked(blocks, parts)
+    if not marked:
+        wanted = in_blocks(target.select(F.lit(None).alias("doc_id"), "text", F.lit(True).alias("target")), rules)
+        asked = asked.unionByName(_asked(wanted, parts, extra=True))
+    # The words' rows have no part: each goes a way of its own.
+    way = F.when(F.col("part").isNull(), -1 - F.pmod(F.xxhash64("block", "piece"), F.lit(parts))).otherwise(F.col("part"))
+    answered = staging.keep(asked.groupBy(way.alias("way")).applyInArrow(_answered(rules), ANSWERED), "answered", codec="zstd")
+    words = answered.select("block", "piece", "answer", "words", *COUNTS, "at", *TAKEN)
+    words = words.groupBy("answer", "block", "piece").applyInArrow(_words_asked(parts), WORDS)
+    stats = staging.keep(words.groupBy("part").applyInArrow(_words_answered, STATS), "stats", codec="zstd")
+    sums = stats.agg(*(F.sum(f"all_{c}") for c in ("n", "t", "words"))).first()
+    whole = dict(zip("nt", (s or 0 for s in sums)))
+    mass = {c: whole[c] + rules.prior * ((sums[2] or 0) + 2) for c in whole}
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.sort_by("row"), answers.sort_by([("piece", "ascending"), ("part", "ascending")])
+        rows, named = texts.column("row").to_numpy(), answers.column("piece").to_numpy()
+        begins = np.searchsorted(rows, np.unique(named)).tolist()
+        found = []
+        for low, high in zip(begins, [*begins[1:], len(rows)]):
+            part = texts.slice(low, high - low)
+            piece, mine = _Piece.of(part.column("text")), answers.filter(pa.array(named == rows[low]))
+            pairs, stats = mine.filter(pc.is_valid(mine.column("n"))), mine.filter(pc.is_valid(mine.column("single_n")))
+
+            def placed(table: pa.Table, column: str, hashes: np.ndarray) -> np.ndarray:
+                values = np.empty(len(hashes))
+                values[_dealt(hashes, parts)[0]] = _unpacked(table.column(column))
+                return values
+
+            n = np.diff(piece.bounds)
             text = np.repeat(np.arange(len(n)), n)
-            sums, known = [np.zeros(len(n))] * 2, np.zeros(len(words), bool)
-            if len(keys):
-                key = scramble(before.view(np.uint64)) + words.view(np.uint64)
-                at = order[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
-                known = (table_before[at] == before) & (table_words[at] == words)
-                sums = [np.bincount(text[known], table[at[known]], minlength=len(n)) for table in tables]
-            (row, before, words), times = _summed((text[~known], before[~known], words[~known]), np.ones((~known).sum(), np.int64))
-            rows, ids = batch.column("row"), batch.column("doc_id")
-            # A text's own row has n = 0 and meets no bigram.
-            alone = np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rows, ids, pa.array(n), *map(pa.array, sums), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(alone)],
-                NAMES,
-            )
-            nothing = [pa.nulls(len(row), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([rows.take(pa.array(row)), *nothing, *map(pa.array, (before, words, times))], NAMES)
-
-    layout = "row long, doc_id long, n_words long, target_sum double, background_sum double, before long, word long, n long"
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = in_batches(texts, read, layout)
-    key = F.when(F.col("n") > 0, F.xxhash64("before", "word")).otherwise(F.xxhash64("row")).alias("pair")
-    rare = rare.select(F.xxhash64("before", "word").alias("pair"), "target", "background")
-    met = parts.select("row", "doc_id", "n_words", "target_sum", "background_sum", "n", key).join(rare, "pair", "left")
-
-    def total(kind: str) -> Column:
-        own = F.coalesce(F.sum(f"{kind}_sum"), F.lit(0.0))
-        rest = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(kind))), F.lit(0.0))
-        return (own + rest).alias(f"{kind}_total")
-
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), total("target"), total("background"))
-    means = {kind: F.when(F.col("n_words") > 0, F.col(f"{kind}_total") / F.col("n_words")) for kind in ("target", "background")}
-    return sums.select(
-        "doc_id", "n_words", means["target"].alias("target_loss"), means["background"].alias("background_loss"),
-        (means["target"] - means["background"]).alias("score"),
-    )
+            means = []
+            for c in "tn":
+                count = placed(pairs, c, piece.pairs)
+                single, after, more, full = (placed(stats, f"{name}_{c}", piece.words) for name in ("single", "after", "more", "full"))
+                taken = full + (rules.discount - int(rules.discount)) * more
+                alone = ((single + rules.prior) / mass[c])[piece.word]
+                after = after[piece.before]
+                seen = count - np.minimum(count, rules.discount) + taken[piece.before] * alone
+                loss = -np.log(np.where(after > 0, seen / np.maximum(after, 1), alone)).astype(np.float32)
+                means.append(np.bincount(text, loss[piece.place].astype(np.float64), minlength=len(n)) / np.maximum(n, 1))
+            empty, nothing = pa.array(n == 0), pa.scalar(None, pa.float64())
+            losses = [pc.if_else(empty, nothing, pa.array(m)) for m in (*means, means[0] - means[1])]
+            found.append(pa.table([part.column("doc_id").combine_chunks(), pa.array(n), *losses], SCORES))
+        return pa.concat_tables(found)
+
+    answers = answered.filter("answer = 1 and n is not null").select("part", "block", "piece", "n", "t")
+    answers = answers.unionByName(stats.filter("block is not null").drop("all_n", "all_t", "all_words"), allowMissingColumns=True)
+    texts = blocks.select("block", "row", "doc_id", "text")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        scored, "doc_id long, n_words long, target_loss double, background_loss double, score double"
+    )
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents labelled as of high quality and not toxic. Only texts that pass the bitmap of their ids are joined.
+    """doc_id, text, and ``good``: whether the document is labelled as of high quality and not toxic.
 
     The join is by sorted ids at every size: labels grow with the documents, so they aren't broadcast while they are few.
+    Rows without an id are dealt out by their texts.
     """
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    likely = may_hold(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", row_filter(good, "doc_id"))
-    return likely.join(good.hint("merge"), "doc_id", "left_semi")
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"))
+    good = good.distinct().withColumn("good", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("none", F.col("doc_id").isNull())
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
+    found = rows.join(good.withColumn("none", F.lit(False)).hint("merge"), ["none", "id"], "left")
+    return found.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    target = labelled_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_whole(docs, target, Staging(spark))
+    docs = labelled_good(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_whole(docs, "good", Staging(spark))

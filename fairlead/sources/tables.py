@@ -101,16 +101,18 @@ class Staging:
         self.tables: list[str] = []
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 
-    def keep(self, table: DataFrame, name: str, by: str | tuple[str, ...] | None = None, bucket_by: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
+    def keep(self, table: DataFrame, name: str, by: str | tuple[str, ...] | None = None, bucket_by: tuple[str, ...] = (), buckets: int = 0, codec: str | None = None) -> DataFrame:
         """The table, stored; ``by``: a column, or several, to lay it out by, so that readers skip other values.
 
         ``bucket_by``: columns by whose hash rows are dealt to ``buckets`` files a folder, or as many as a shuffle has partitions. A later
         join or aggregation on these columns takes the rows where they lie. The session's catalog then knows the table until ``remove``.
+        ``codec``: how a table that isn't bucketed is compressed, if not as the session says.
         """
         path = f"{self.folder}/{name}"
         by = [by] if isinstance(by, str) else by
         if not bucket_by:
             writer = table.write.mode("overwrite")
+            writer = writer.option("compression", codec) if codec else writer
             with shuffles_cleaned(self.spark):
                 (writer.partitionBy(*by) if by else writer).parquet(path)
             return self.spark.read.schema(table.schema).parquet(path)

@@ -268,3 +268,38 @@ def test_neighbours_are_missed_with_two_per_cent_at_most():
 def test_quantile_of_chi_square():
     assert chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
     assert chi_square_quantile(0.99, 2) == pytest.approx(9.2103, abs=1e-3)
+
+
+@pytest.mark.parametrize("discount", [0.75, 1.5])
+def test_marked_target_and_pieces_of_blocks(spark, staging, discount):
+    """The target as a column, bigrams in many blocks and texts longer than one; and a discount above one."""
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(1 + i % 9)) for i in range(60)] + ["a b " * 300, None, "... !"]
+    rows = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, good boolean")
+    words = {w for t in texts[:-1] for w in (t or "").split()}
+    rules = lm_scoring.ModelRules(vocabulary=len(words) + 2, held=7, discount=discount)
+    want = brute_losses(texts[:-1] + [""], [t for i, t in enumerate(texts[:-1]) if i % 3 == 0], words, rules)
+    for target in ("good", rows.filter("good")):
+        found = {r.doc_id: r for r in lm_scoring.score_whole(rows.repartition(5), target, staging, rules).collect()}
+        assert len(found) == 63
+        for i, r in found.items():
+            assert (r.target_loss, r.background_loss) == (want["target"][i], want["background"][i]) == (None, None) or (
+                (r.target_loss, r.background_loss) == pytest.approx((want["target"][i], want["background"][i]), rel=1e-5)
+            )
+
+
+def test_no_row_is_shuffled_for_each_bigram(spark, staging):
+    """A text's bigrams leave it as a few rows of lists, however many they are."""
+    rows = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(50_000)))], "doc_id long, text string")
+    blocks = lm_scoring.in_blocks(rows.selectExpr("doc_id", "text", "true as target"), lm_scoring.ModelRules())
+    asked = lm_scoring._asked(blocks, 4).toArrow()
+    assert asked.num_rows == 5
+    values, _ = lm_scoring._flat(asked.column("pairs"))
+    assert len(values) == len(set(values.tolist())) == 50_000
+    assert sum(len(x) for c in ("before", "n", "t") for x in asked.column(c).to_pylist() if x) < 200_000
+
+
+def test_numbers_in_bytes_come_back():
+    values = np.array([0, 1, 127, 128, 300, 1 << 31, (1 << 62) + 5, 0])
+    packed = lm_scoring._packed(values, np.array([0, 0, 3, 8]))
+    assert [len(x) for x in packed.to_pylist()][:2] == [0, 3]
+    assert lm_scoring._unpacked(pa.chunked_array([packed])).tolist() == values.tolist()
